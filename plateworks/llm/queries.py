@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from plateworks.llm import mixing
+from plateworks.llm import bpe, mixing
 from plateworks.sources import table
-from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +21,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.position")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **rules).drop("text")
+    both = bpe.decode(coded, **rules)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP4_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
@@ -38,6 +53,7 @@ from e
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op4_mix_sources": op4_mix_sources,
 }
 SQL: dict[str, str] = {
