@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateworks.llm import bpe, mixing
+from plateworks.llm import bpe, counts, mixing, packing
 from plateworks.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = counts.count_tokens(docs, path=public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = packing.write_packed(docs, packing.folder_for(spark), path=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return packing.read_packed(spark, folder, ids=False)
+
+
 OP4_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
@@ -55,6 +67,8 @@ from e
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_mix_sources": op4_mix_sources,
+    "op5_token_counts": op5_token_counts,
+    "op10_packed_ids": op10_packed_ids,
 }
 SQL: dict[str, str] = {
     "op4_mix_sources": OP4_SQL,
