@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateworks.llm import bpe, counts, mixing, packing
+from plateworks.llm import bpe, chat, counts, mixing, packing
 from plateworks.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,12 +39,28 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = packing.write_packed(docs, packing.folder_for(spark), path=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return packing.read_packed(spark, folder, ids=False)
 
 
+OP6_SQL = r"""
+with t as (select distinct conv_id, turn, role, text from conversations),
+r as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as n from t),
+e as (select *, md5(n || '|' || coalesce('r' || role, '') || '|' || coalesce('t' || text, '')) as m from r),
+p as (select *, string_agg(m, '') over (partition by conv_id order by n) as k, count(*) over (partition by conv_id) as total from e),
+f as (select k, min(conv_id) as conv_id, count(*) as n_copies from p where n = total group by k),
+kept as (select conv_id, n_copies from f where k not in (select k from p where n < total))
+select kept.conv_id, count(*) as n_turns, max(n_copies) as n_copies,
+  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), '' order by n) as chat
+from kept join p on kept.conv_id is not distinct from p.conv_id group by kept.conv_id
+"""
+
 OP4_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
@@ -68,10 +84,12 @@ QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
+    "op6_chat_format": op6_chat_format,
     "op10_packed_ids": op10_packed_ids,
 }
 SQL: dict[str, str] = {
     "op4_mix_sources": OP4_SQL,
+    "op6_chat_format": OP6_SQL,
 }
 
 
