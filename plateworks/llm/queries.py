@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateworks.llm import bpe, chat, counts, mixing, packing
+from plateworks.llm import bpe, chat, counts, mixing, packing, quality
 from plateworks.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return judged.select("doc_id", *[F.col(f"quality.{c}") for c in names])
+
+
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = packing.write_packed(docs, packing.folder_for(spark), path=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -85,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
+    "op7_quality_rules": op7_quality_rules,
     "op10_packed_ids": op10_packed_ids,
 }
 SQL: dict[str, str] = {
