@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateworks.llm import bpe, chat, counts, mixing, packing, quality
+from plateworks.llm import bpe, chat, counts, mixing, neighbours, packing, quality
 from plateworks.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = counts.count_tokens(docs, path=public_tokenizers.path("word_bpe_49k.json"))
@@ -89,6 +94,7 @@ from e
 
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_nearest": op3_nearest,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
