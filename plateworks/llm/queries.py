@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateworks.llm import bpe, chat, counts, mixing, neighbours, packing, quality
+from plateworks.llm import bpe, chat, counts, langid, mixing, neighbours, packing, quality
 from plateworks.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.position")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    model = langid.fit(docs.where(~held_out), key="doc_id", text="text", lang="lang")
+    said = langid.predict(docs.select("doc_id", "text"), model).drop("text")
+    return said.select("doc_id", held_out.alias("held_out"), F.col("lang_id.lang").alias("lang_pred"), F.col("lang_id.score").alias("score"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **rules).drop("text")
@@ -93,6 +101,7 @@ from e
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_nearest": op3_nearest,
     "op4_mix_sources": op4_mix_sources,
