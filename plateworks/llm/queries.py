@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateworks.llm import bpe, chat, counts, langid, mixing, neighbours, packing, quality
+from plateworks.llm import bpe, chat, counts, jaccard, langid, mixing, neighbours, packing, quality
 from plateworks.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}") for c in names])
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_hash")
+
+
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = packing.write_packed(docs, packing.folder_for(spark), path=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -108,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
     "op7_quality_rules": op7_quality_rules,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_packed_ids": op10_packed_ids,
 }
 SQL: dict[str, str] = {
