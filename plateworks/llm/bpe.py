@@ -12,9 +12,10 @@ import base64
 import functools
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -22,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that each of a worker's memos (pre-tokens; runs of them; candidates for a merge) keeps at most before it starts anew.
-MEMO = 700_000
+#: Entries that each of a worker's memos of pre-tokens and of runs of them keeps at most after a batch (about 200 bytes each).
+MEMO = 300_000
+#: The same for candidates for a merge; few are frequent.
+CANDIDATES = 100_000
 #: Texts of this many bytes make a batch at most (one text always fits).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _MIX = (1 << 64) - 1
 
 
@@ -109,7 +112,7 @@ class Ranks(dict):
         self.hashed = hashed
 
     def __missing__(self, key: bytes) -> int:
-        if len(self) > MEMO:
+        if len(self) > CANDIDATES:
             self.clear()
         self[key] = found = self.hashed.get(key)
         return found
@@ -122,21 +125,22 @@ class Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.hash = PerfectHash(ranks)
-        self.find = regex.compile(pattern).findall
         self.rank = Ranks(self.hash).__getitem__
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.memo = Memo(pattern, self.pretokens)
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for key, r in ranks.items():
             self.bytes[r] = key
 
-    def pretoken(self, piece: str) -> bytes:
-        raw = piece.encode()
-        r = self.hash.get(raw)
-        return packed([r] if r >= 0 else merge_bytes(raw, self.rank))
+    def pretokens(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for piece in pieces:
+            raw = piece.encode()
+            r = self.hash.get(raw)
+            out.append(packed([r] if r >= 0 else merge_bytes(raw, self.rank)))
+        return out
 
-    def encode(self, text: str) -> np.ndarray:
-        return runs_to_ids(text, self.find, self.runs, self.pieces, self.pretoken)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.memo.encode(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -151,37 +155,52 @@ def packed(ids: list[int]) -> bytes:
 _WIDE = re.compile(r"\s | \s")
 
 
-def runs_to_ids(text: str, find, runs: dict[str, bytes], pieces: dict[str, bytes], pretoken) -> np.ndarray:
-    """Ids (int32) of a text, each match of find apart; pretoken(str) gives the packed ids of one match.
+class Memo:
+    """Packed ids of pre-tokens and of what stands between spaces, for whole batches of texts.
 
-    In a text without double white space a single space begins a pre-token whatever stands around it, so that what lies
-    between two spaces is looked up in the memo as one run. Other texts go match by match.
+    resolve gives the packed ids of a list of pre-tokens. In a text without double white space a single space begins a
+    pre-token whatever stands around it, so that what lies between two spaces is looked up as one run. Other texts go match by match.
     """
-    if "\0" not in text and text[:1] != " " and text[-1:] != " " and _WIDE.search(text) is None:
-        each = text.replace(" ", "\0 ").split("\0")
-    else:
-        each = find(text)
-    try:
-        return np.frombuffer(b"".join([runs[x] for x in each]), np.int32)
-    except KeyError:
-        pass
-    if len(runs) > MEMO:
-        runs.clear()
-    if len(pieces) > MEMO:
-        pieces.clear()
-    found = []
-    for run in each:
-        ids = runs.get(run)
-        if ids is None:
-            parts = []
-            for piece in find(run):
-                got = pieces.get(piece)
-                if got is None:
-                    got = pieces[piece] = pretoken(piece)
-                parts.append(got)
-            ids = runs[run] = parts[0] if len(parts) == 1 else b"".join(parts)
-        found.append(ids)
-    return np.frombuffer(b"".join(found), np.int32)
+
+    def __init__(self, pattern: str, resolve: Callable[[list[str]], list[bytes]]):
+        self.find, self.resolve = regex.compile(pattern).findall, resolve
+        self.usual = pattern == public_tokenizers.PATTERN
+        self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        if "\0" not in text and text[:1] != " " and text[-1:] != " " and _WIDE.search(text) is None:
+            return text.replace(" ", "\0 ").split("\0")
+        return self.find(text)
+
+    def cut(self, run: str) -> list[str]:
+        """Matches of the pattern. For the usual one, a space and letters are one, and a sign behind them another."""
+        if self.usual and run[:1] == " ":
+            if run[1:].isalpha():
+                return [run]
+            if run[-1] in ".,!?;:" and run[1:-1].isalpha():
+                return [run[:-1], run[-1]]
+        return self.find(run)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (int32) of each text, each match of the pattern apart."""
+        each, runs = [self.split(t) for t in texts], self.runs
+        used = set().union(*each)
+        new = [r for r in used if r not in runs]
+        cut = list(map(self.cut, new))
+        pieces, older = self.pieces, self.older
+        needed = {p for parts in cut for p in parts if p not in pieces}
+        lacking = [p for p in needed if p not in older]
+        pieces.update((p, older[p]) for p in needed if p in older)
+        pieces.update(zip(lacking, self.resolve(lacking), strict=True))
+        runs.update((r, b"".join([pieces[p] for p in parts])) for r, parts in zip(new, cut, strict=True))
+        out = [np.frombuffer(b"".join(map(runs.__getitem__, own)), np.int32) for own in each]
+        if len(runs) > MEMO:
+            self.runs = {r: runs[r] for r in used}
+        if len(pieces) > MEMO:  # what is not asked for again before the next time goes
+            self.pieces, self.older = {}, pieces
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -229,7 +248,7 @@ def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", out: s
 
     def make(values: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        each = [c.encode(t or "") for t in values.to_pylist()]
+        each = c.encode([t or "" for t in values.to_pylist()])
         ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
         flat = np.concatenate(each) if each else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))

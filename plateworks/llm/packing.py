@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,6 +64,13 @@ def unpack(data: bytes, bits: int, begin: int, end: int) -> np.ndarray:
     return groups.reshape(-1)[begin - first * _GROUP : end - first * _GROUP]
 
 
+def byte_characters() -> dict[int, int]:
+    """Code points by which byte-level files write bytes: printable ones of Latin-1 stand for themselves, the others follow from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them.
 
@@ -78,17 +84,21 @@ class Encoder:
         cut = rules["pre_tokenizer"] or {}
         self.apart = rules["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
         self.added = [x["content"] for x in rules["added_tokens"]]
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.runs: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chars = byte_characters()
+        self.memo = bpe.Memo(public_tokenizers.PATTERN, self.pretokens)
 
     def whole(self, text: str) -> bytes:
         return bpe.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str) -> np.ndarray:
-        if not self.apart or any(a in text for a in self.added):
-            return np.frombuffer(self.whole(text), np.int32)
-        return bpe.runs_to_ids(text, self.find, self.runs, self.pieces, self.whole)
+    def pretokens(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pre-tokens, by the library's model alone: it takes the bytes as the characters of byte-level files."""
+        cut, chars = self.tokenizer.model.tokenize, self.chars
+        return [bpe.packed([x.id for x in cut(p.encode().decode("latin-1").translate(chars))]) for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.apart or any(a in t for t in texts for a in self.added):
+            return [self.encode([t])[0] if self.apart and not any(a in t for a in self.added) else np.frombuffer(self.whole(t), np.int32) for t in texts]
+        return self.memo.encode(texts)
 
 
 @functools.lru_cache(maxsize=4)
@@ -131,11 +141,10 @@ def write_packed(docs: DataFrame, folder: str, *, path: str, end_id: int | None,
             arrays[7], arrays[8] = k.slice(0, 1), k.slice(len(k) - 1, 1)
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        for batch in batches:
+        for batch in bpe.small_batches(batches, "_text"):
             own, texts = batch.column("_key"), batch.column("_text").to_pylist()
             begin = 0
-            for i, value in enumerate(texts):
-                got = e.encode(value)
+            for i, got in enumerate(e.encode(texts)):
                 ids += (got, last)
                 held += len(got) + len(last)
                 ends.append(held)
