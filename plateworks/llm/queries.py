@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plateworks.llm import bpe, chat, counts, jaccard, langid, mixing, neighbours, packing, quality
+from plateworks.llm import bpe, chat, counts, jaccard, langid, lines, mixing, neighbours, packing, quality
 from plateworks.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}") for c in names])
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", *[f"line_dedup.{c}" for c in ("n_lines", "n_exact", "n_near", "dropped")], F.char_length("line_dedup.kept_text").cast("long").alias("kept_chars"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_hash")
 
@@ -112,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
     "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_packed_ids": op10_packed_ids,
 }
