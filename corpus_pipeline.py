@@ -1,17 +1,67 @@
-"""Corpus pipeline over documents: stages written and read again one after the other."""
+"""Corpus pipeline over documents: quality rules, line dedup, n-gram Jaccard join, mixing, byte-level BPE.
+
+Each stage is written as Parquet in the shared folder and read again by the next one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plateworks.llm import bpe, jaccard, lines, mixing, quality
 from plateworks.llm.store import written
 from plateworks.sources import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned decision list reject."""
+    return quality.keep(quality.judge(docs, table(spark, sf_dir, "labels"), out="_quality"), out="_quality")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier elsewhere, exactly or nearly; n_chars is counted again.
+
+    A document of which no word is left is a copy of others and goes.
+    """
+    done = lines.dedup_lines(docs, out="_lines")
+    left = F.col("_lines.kept_text")
+    emptied = (F.size("_lines.dropped") > 0) & (F.length(F.translate(left, " \t\n\x0b\x0c\r", "")) == 0)
+    done = done.where(~F.coalesce(emptied, F.lit(False)))
+    changed = F.size("_lines.dropped") > 0
+    n_chars = F.when(changed, F.char_length(left).cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumns({"text": left, "n_chars": n_chars}).drop("_lines")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of 5-word Jaccard similarity 0.8 or more."""
+    return jaccard.distinct_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents as often as the mix takes them, sorted by training position."""
+    return mixing.curriculum(mixing.mix(docs, border="whole", out="_mix"), out="_mix").drop("_mix")
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids, their number, and whether decoding them gives the text back."""
+    rules = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    both = bpe.decode(bpe.encode(docs, **rules), **rules)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return both.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("byte_level_bpe", byte_bpe),
+]
 
 #: SQL can't express the learned rules, the joins under similarity or the byte-pair merges.
 ORACLE_SQL: str | None = None
