@@ -11,7 +11,6 @@ import array
 import base64
 import functools
 import heapq
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries that each of a worker's memos of pre-tokens and of runs of them keeps at most after a batch (about 200 bytes each).
-MEMO = 300_000
+MEMO = 450_000
 #: The same for candidates for a merge; few are frequent.
 CANDIDATES = 100_000
 #: Texts of this many bytes make a batch at most (one text always fits).
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 _MIX = (1 << 64) - 1
 
 
@@ -139,7 +138,7 @@ class Codec:
             out.append(packed([r] if r >= 0 else merge_bytes(raw, self.rank)))
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         return self.memo.encode(texts)
 
     def decode(self, ids: list[int]) -> bytes:
@@ -151,15 +150,17 @@ def packed(ids: list[int]) -> bytes:
     return array.array("i", ids).tobytes()
 
 
-#: A space beside another white space character: there the run of white space, not the word, decides where a pre-token ends.
-_WIDE = re.compile(r"\s | \s")
+#: A space beside another white space character, at an end, or a zero character: there the text is matched as a whole.
+_SPACES = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WIDE = rf"[{_SPACES}] | [{_SPACES}]|\x00|^ | $"
 
 
 class Memo:
     """Packed ids of pre-tokens and of what stands between spaces, for whole batches of texts.
 
     resolve gives the packed ids of a list of pre-tokens. In a text without double white space a single space begins a
-    pre-token whatever stands around it, so that what lies between two spaces is looked up as one run. Other texts go match by match.
+    pre-token whatever stands around it, so that what lies between two spaces is looked up as one run, once a batch; Arrow
+    cuts the texts and finds the distinct runs, numpy lays out their ids. Other texts go match by match.
     """
 
     def __init__(self, pattern: str, resolve: Callable[[list[str]], list[bytes]]):
@@ -169,11 +170,6 @@ class Memo:
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
-        if "\0" not in text and text[:1] != " " and text[-1:] != " " and _WIDE.search(text) is None:
-            return text.replace(" ", "\0 ").split("\0")
-        return self.find(text)
-
     def cut(self, run: str) -> list[str]:
         """Matches of the pattern. For the usual one, a space and letters are one, and a sign behind them another."""
         if self.usual and run[:1] == " ":
@@ -183,25 +179,53 @@ class Memo:
                 return [run[:-1], run[-1]]
         return self.find(run)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids (int32) of each text, each match of the pattern apart."""
-        each, runs = [self.split(t) for t in texts], self.runs
-        used = set().union(*each)
-        new = [r for r in used if r not in runs]
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct runs."""
+        runs, pieces, older = self.runs, self.pieces, self.older
+        new = [r for r in words if r not in runs]
         cut = list(map(self.cut, new))
-        pieces, older = self.pieces, self.older
         needed = {p for parts in cut for p in parts if p not in pieces}
         lacking = [p for p in needed if p not in older]
         pieces.update((p, older[p]) for p in needed if p in older)
         pieces.update(zip(lacking, self.resolve(lacking), strict=True))
-        runs.update((r, b"".join([pieces[p] for p in parts])) for r, parts in zip(new, cut, strict=True))
-        out = [np.frombuffer(b"".join(map(runs.__getitem__, own)), np.int32) for own in each]
+        runs.update((r, pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])) for r, parts in zip(new, cut, strict=True))
+        out = list(map(runs.__getitem__, words))
         if len(runs) > MEMO:
-            self.runs = {r: runs[r] for r in used}
+            self.runs = dict(zip(words, out, strict=True))
         if len(pieces) > MEMO:  # what is not asked for again before the next time goes
             self.pieces, self.older = {}, pieces
         return out
 
+    def laid_out(self, lists: pa.ListArray) -> list[np.ndarray]:
+        """Ids of each list of runs."""
+        coded = lists.flatten().dictionary_encode()
+        packed, index = self.lookup(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids, begins = np.frombuffer(b"".join(packed), np.int32), np.cumsum(lengths) - lengths
+        n = lengths[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.arange(ends[-1]) + np.repeat(begins[index] - ends[:-1], n)]
+        at = lists.offsets.to_numpy()
+        return np.split(flat, ends[at[1:-1] - at[0]])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids (int32) of each text, each match of the pattern apart; none for null."""
+        texts = pc.fill_null(texts, "")
+        wide = pc.match_substring_regex(texts, _WIDE)
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        for mask, cut in ((pc.invert(wide), self.between_spaces), (wide, self.matches)):
+            own = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+            if len(own):
+                for i, ids in zip(own, self.laid_out(cut(texts.filter(mask))), strict=True):
+                    out[i] = ids
+        return out
+
+    def between_spaces(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+
+    def matches(self, texts: pa.Array) -> pa.ListArray:
+        return pa.array([self.find(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
 
 @functools.lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
@@ -248,7 +272,7 @@ def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", out: s
 
     def make(values: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        each = c.encode([t or "" for t in values.to_pylist()])
+        each = c.encode(values)
         ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
         flat = np.concatenate(each) if each else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))

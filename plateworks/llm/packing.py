@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,10 +96,17 @@ class Encoder:
         cut, chars = self.tokenizer.model.tokenize, self.chars
         return [bpe.packed([x.id for x in cut(p.encode().decode("latin-1").translate(chars))]) for p in pieces]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.apart or any(a in t for t in texts for a in self.added):
-            return [self.encode([t])[0] if self.apart and not any(a in t for a in self.added) else np.frombuffer(self.whole(t), np.int32) for t in texts]
-        return self.memo.encode(texts)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; none for null."""
+        whole = np.ones(len(texts), bool)
+        if self.apart:
+            whole[:] = False
+            for a in self.added:
+                whole |= pc.fill_null(pc.match_substring(texts, a), False).to_numpy(zero_copy_only=False)
+        out = self.memo.encode(pc.if_else(pa.array(whole), None, texts))
+        for i in np.flatnonzero(whole):
+            out[i] = np.frombuffer(self.whole(texts[int(i)].as_py() or ""), np.int32)
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -142,7 +150,7 @@ def write_packed(docs: DataFrame, folder: str, *, path: str, end_id: int | None,
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         for batch in bpe.small_batches(batches, "_text"):
-            own, texts = batch.column("_key"), batch.column("_text").to_pylist()
+            own, texts = batch.column("_key"), batch.column("_text")
             begin = 0
             for i, got in enumerate(e.encode(texts)):
                 ids += (got, last)
