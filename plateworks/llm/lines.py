@@ -62,30 +62,28 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (start + 1).cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
 
 
-def _name(line: Column, length: Column, i: int, start: Column, n: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, F.substring(line, start, n))
+def index_hashes(line: Column, length: Column, most: int) -> Column:
+    """Hashes of a line's segments, by their number."""
+    return F.array(*[F.hash(F.substring(line, *_segment(length, i, most + 1))) for i in range(most + 1)])
 
 
-def index_keys(line: Column, length: Column, most: int) -> Column:
-    return F.array(*[_name(line, length, i, *_segment(length, i, most + 1)) for i in range(most + 1)])
+def _places(most: int) -> list[tuple[int, int, int]]:
+    """(characters fewer, segment, shift) of all substrings that a line probes for."""
+    return [
+        (less, i, shift)
+        for less in range(most + 1)
+        for i in range(most + 1)
+        for shift in range(max(-i, less - (most - i)), min(i, less + (most - i)) + 1)
+    ]
 
 
-def probe_keys(line: Column, length: Column, most: int, least: int) -> Column:
-    """Names of all substrings that can be a segment of a line shorter by at most ``most`` characters."""
-    keys = []
-    for less in range(most + 1):
-        other = length - less
-        for i in range(most + 1):
-            start, n = _segment(other, i, most + 1)
-            for shift in range(max(-i, less - (most - i)), min(i, less + (most - i)) + 1):
-                keys.append(F.when(other >= least, _name(line, other, i, start + shift, n)))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
-
-
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """docs (_key, _hash, _text) as (_key, _hash, _pos, _line) for lines of at least so many characters."""
-    split = docs.select("_key", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-    return split.where(F.char_length("_line") >= least).where(F.length(F.translate("_line", " \t\n\x0b\x0c\r", "")) > 0)
+def probe_hashes(line: Column, length: Column, most: int) -> Column:
+    """Hashes of all substrings that can be a segment of a line shorter by at most ``most`` characters, in the order of _places."""
+    out = []
+    for less, i, shift in _places(most):
+        start, n = _segment(length - less, i, most + 1)
+        out.append(F.hash(F.substring(line, start + shift, n)))
+    return F.array(*out)
 
 
 def _sketch(line: Column) -> Column:
@@ -95,44 +93,96 @@ def _sketch(line: Column) -> Column:
     return reduce(lambda p, q: p.bitwiseOR(q), bits)
 
 
-def near_pairs(lines: DataFrame, most: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): ids (xxhash64) of distinct lines (_line) within so many edits, each pair once."""
-    n = F.char_length("_line")
-    slim = lines.select(F.xxhash64("_line").alias("_id"), n.alias("_n"), _sketch(F.col("_line")).alias("_s"), index_keys(F.col("_line"), n, most).alias("_i"), probe_keys(F.col("_line"), n, most, least).alias("_p"))
-    # The functions of a line's text are worked out before the shuffle, so that the text stays where it is.
-    slim = slim.dropDuplicates(["_id"])
-    left = slim.select(F.explode("_i").alias("_k"), F.col("_id").alias("a"), F.col("_n").alias("an"), F.col("_s").alias("s"))
-    right = slim.select(F.explode("_p").alias("_k"), F.col("_id").alias("b"), F.col("_n").alias("bn"), F.col("_s").alias("t"))
-    once = (F.col("a") != F.col("b")) & ((F.col("an") < F.col("bn")) | (F.col("a") < F.col("b")))
-    few = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= 2 * most
-    maybe = checkpointed(left.join(right, "_k").where(once & few).select("a", "b").distinct())
-    named = maybe.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = lines.select(F.xxhash64("_line").alias("_id"), "_line").join(named, "_id", "left_semi").dropDuplicates(["_id"])
-    texts = written(texts, "lines")
-    pairs = maybe.join(texts.select(F.col("_id").alias("a"), F.col("_line").alias("_x")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_line").alias("_y")), "b")
-    return pairs.where(within(F.col("_x"), F.col("_y"), most)).select("a", "b")
+_SKETCH = (1 << len(set(LETTERS))) - 1
+
+
+def coded(lines: DataFrame, most: int) -> DataFrame:
+    """lines (_line and others) with _id (xxhash64), _sn (length and sketch), _i and _p (hashes of segments and probes), without the text."""
+    others = [c for c in lines.columns if c != "_line"]
+    d = lines.withColumn("_n", F.char_length("_line"))
+    line, n = F.col("_line"), F.col("_n")
+    sn = F.shiftleft(n.cast("long"), 16).bitwiseOR(_sketch(line).cast("long"))
+    return d.select(*others, "_n", F.xxhash64(line).alias("_id"), sn.alias("_sn"), index_hashes(line, n, most).alias("_i"), probe_hashes(line, n, most).alias("_p"))
+
+
+def candidates(distinct: DataFrame, most: int) -> DataFrame:
+    """(a, b): ids of distinct coded lines (_id, _sn, _i, _p) that share a segment and may be within so many edits, each pair once."""
+    parts = most + 1
+    n = F.shiftright("_sn", 16)
+    places = _places(most)
+    less, nth = (F.array(*[F.lit(p[k]).cast("long") for p in places]) for k in (0, 1))
+
+    def keyed(hashes: str, length: Column, number: Column, name: str) -> DataFrame:
+        e = distinct.select("_id", "_sn", F.posexplode(hashes).alias("_at", "_h"))
+        # Length and number of the segment stand above its hash in one number.
+        key = F.shiftleft(length * parts + number, 32).bitwiseOR(F.col("_h").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        return e.select(key.alias("_k"), F.col("_id").alias(name), F.col("_sn").alias(f"_sn_{name}"))
+
+    left = keyed("_i", n, F.col("_at").cast("long"), "a")
+    right = keyed("_p", n - F.get(less, F.col("_at")), F.get(nth, F.col("_at")), "b")
+    x, y = F.col("_sn_a"), F.col("_sn_b")
+    once = (F.col("a") != F.col("b")) & ((F.shiftright(x, 16) < F.shiftright(y, 16)) | (F.col("a") < F.col("b")))
+    few = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(_SKETCH).cast("long"))) <= 2 * most
+    return left.join(right, "_k").where(once & few).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) whose lines, by texts (_id, _line), are within so many edits."""
+    x, y = (texts.select(F.col("_id").alias(k), F.col("_line").alias(v)) for k, v in (("a", "_x"), ("b", "_y")))
+    return pairs.join(x, "a").join(y, "b").where(within(F.col("_x"), F.col("_y"), most)).select("a", "b")
+
+
+def near_pairs(lines: DataFrame, most: int = EDITS) -> DataFrame:
+    """(a, b): ids (xxhash64) of the lines (_line) within so many edits, each pair once."""
+    distinct = coded(lines.select("_line").distinct(), most)
+    return verified(candidates(distinct, most), lines.select(F.xxhash64("_line").alias("_id"), "_line").distinct(), most)
+
+
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """docs (_key, _hash, _text) as (_key, _hash, _pos, _line) for lines of at least so many characters."""
+    split = docs.select("_key", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
+    return split.where((F.char_length("_line") >= least) & F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+#: Ids up to which a set goes to all executors (16 bytes each); a larger one is joined by shuffling both sides.
+SMALL = 200_000
+
+
+def _semi(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    return left.join(F.broadcast(right) if right.count() <= SMALL else right, on, "left_semi")
 
 
 def marks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(_key, _hash, n_lines, n_exact, n_near, dropped): for each document with a line of at least ``least`` characters.
+    """(_key, _hash, n_lines, n_exact, n_near, dropped, dropped_chars): for each document with a line of at least ``least`` characters.
 
     A line is dropped as exact if it stands elsewhere earlier, by the order of key (null last), hash of the text and place;
-    as near if a line within ``most`` edits of it stands earlier. dropped: the places (from 0) of such lines in the split by line feed.
+    as near if a line within ``most`` edits of it stands earlier. dropped: the places (from 0) of such lines in the split by
+    line feed, dropped_chars: their characters. The texts are cut once; what is joined later are the coded lines.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key).alias("_key"), F.xxhash64(value).alias("_hash"), value.alias("_text"))
-    lines = _lines(slim, least)
+    lines = written(coded(_lines(slim, least), most), "lines")
     place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("_pos").alias("pos"))
-    occurs = lines.select(F.xxhash64("_line").alias("_id"), place.alias("_at"))
-    first = written(occurs.groupBy("_id").agg(F.min("_at").alias("_first")), "first")
-    pairs = checkpointed(near_pairs(lines, most, least))
-    ends = pairs.join(first.select(F.col("_id").alias("a"), F.col("_first").alias("_fa")), "a").join(first.select(F.col("_id").alias("b"), F.col("_first").alias("_fb")), "b")
+    one = lines.groupBy("_id").agg(F.min(place).alias("_first"), *[F.any_value(c).alias(c) for c in ("_sn", "_i", "_p")])
+    distinct = written(one, "distinct")
+    first = distinct.select("_id", "_first")
+
+    maybe = checkpointed(candidates(distinct, most))
+    named = checkpointed(maybe.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(first, "_id").select("_id", F.col("_first.key").alias("_fk"), F.col("_first.hash").alias("_fh")))
+    homes = named.select(F.col("_fh").alias("_hash")).distinct()
+    # Only documents in which such a line stands first are cut again.
+    near_lines = _lines(_semi(slim, homes, "_hash"), least).select(F.xxhash64("_line").alias("_id"), "_line")
+    texts = checkpointed(_semi(near_lines, named.select("_id"), "_id").dropDuplicates(["_id"]))
+    pairs = checkpointed(verified(maybe, texts, most))
+
+    ends = pairs.join(first.toDF("a", "_fa"), "a").join(first.toDF("b", "_fb"), "b")
     later = ends.select(F.when(F.col("_fa") < F.col("_fb"), F.col("b")).otherwise(F.col("a")).alias("_id")).distinct().withColumn("_near", F.lit(True))
     known = first.join(later, "_id", "left")
-    judged = occurs.join(known, "_id").select("_at", (F.col("_at") != F.col("_first")).alias("_exact"), F.coalesce("_near", F.lit(False)).alias("_near"))
-    one = F.struct(F.col("_at.pos").alias("pos"), F.col("_exact").alias("exact"), F.col("_near").alias("near"))
+    occurs = lines.select("_id", "_n", place.alias("_at"))
+    judged = occurs.join(known, "_id").select("_at", "_n", (F.col("_at") != F.col("_first")).alias("_exact"), F.coalesce("_near", F.lit(False)).alias("_near"))
+    told = F.struct(F.col("_at.pos").alias("pos"), F.col("_n").alias("n"), F.col("_exact").alias("exact"), F.col("_near").alias("near"))
     # A set, as rows that repeat key and text have the same places.
-    by_doc = judged.groupBy(F.col("_at.key").alias("_key"), F.col("_at.hash").alias("_hash")).agg(F.collect_set(one).alias("_l"))
+    by_doc = judged.groupBy(F.col("_at.key").alias("_key"), F.col("_at.hash").alias("_hash")).agg(F.collect_set(told).alias("_l"))
     gone = F.filter("_l", lambda x: x["exact"] | x["near"])
     return by_doc.select(
         "_key",
@@ -141,9 +191,23 @@ def marks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int
         F.size(F.filter("_l", lambda x: x["exact"])).cast("long").alias("n_exact"),
         F.size(F.filter("_l", lambda x: x["near"] & ~x["exact"])).cast("long").alias("n_near"),
         F.sort_array(F.transform(gone, lambda x: x["pos"])).alias("dropped"),
+        F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("dropped_chars"),
     )
 
 
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """(key, n_lines, n_exact, n_near, dropped, kept_chars) for each row of docs: what dedup_lines() does, without the texts."""
+    found = marks(docs, key=key, text=text, most=most, least=least).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_lines", "n_exact", "n_near", "dropped", "dropped_chars")
+    value = F.coalesce(F.col(text), F.lit(""))
+    d = docs.select(F.col(key), F.xxhash64(value).alias("_hash"), F.char_length(value).cast("long").alias("_chars"))
+    d = d.join(found, d[key].eqNullSafe(found["_k"]) & (d["_hash"] == found["_h"]), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    none = F.coalesce("dropped", F.array().cast("array<int>"))
+    # Each dropped line takes a line feed with it, but for the last of a text of which nothing is left.
+    kept = F.greatest(F.col("_chars") - zero("dropped_chars") - F.size(none), F.lit(0)).cast("long")
+    return d.select(key, *[zero(c).alias(c) for c in ("n_lines", "n_exact", "n_near")], none.alias("dropped"), kept.alias("kept_chars"))
+
+
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, out: str = "line_dedup") -> DataFrame:
     """docs with a struct column ``out``: n_lines (compared), n_exact, n_near, dropped (places), kept_text.
 

@@ -32,7 +32,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **rules).drop("text")
-    both = bpe.decode(coded, **rules)
+    both = bpe.decode(coded, path=rules["path"])
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -64,8 +64,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", *[f"line_dedup.{c}" for c in ("n_lines", "n_exact", "n_near", "dropped")], F.char_length("line_dedup.kept_text").cast("long").alias("kept_chars"))
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
