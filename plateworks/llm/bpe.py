@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries that each of a worker's memos of pre-tokens and of runs of them keeps at most after a batch (about 200 bytes each).
-MEMO = 450_000
+MEMO = 300_000
 #: The same for candidates for a merge; few are frequent.
-CANDIDATES = 100_000
+CANDIDATES = 60_000
 #: Texts of this many bytes make a batch at most (one text always fits).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 _MIX = (1 << 64) - 1
 
 
@@ -117,18 +117,18 @@ class Ranks(dict):
         return found
 
 
-class Codec:
-    """Encoder and decoder of one rank file and pre-token pattern."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+class Encoder:
+    """Encoder of one rank file and pre-token pattern."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.hash = PerfectHash(ranks)
+        self.hash = PerfectHash(read_ranks(path))
         self.rank = Ranks(self.hash).__getitem__
         self.memo = Memo(pattern, self.pretokens)
-        self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
-        for key, r in ranks.items():
-            self.bytes[r] = key
 
     def pretokens(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -141,9 +141,6 @@ class Codec:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         return self.memo.encode(texts)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
-
 
 def packed(ids: list[int]) -> bytes:
     """Ids as 32-bit integers: what the memo holds, at a fraction of a tuple's memory."""
@@ -228,9 +225,19 @@ class Memo:
 
 
 @functools.lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec a worker."""
-    return Codec(path, pattern)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder a worker."""
+    return Encoder(path, pattern)
+
+
+@functools.lru_cache(maxsize=4)
+def entries(path: str) -> list[bytes]:
+    """The bytes of each id; decoding needs nothing else."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for key, r in ranks.items():
+        out[r] = key
+    return out
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -271,8 +278,7 @@ def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", out: s
     """
 
     def make(values: pa.Array) -> pa.Array:
-        c = codec(path, pattern)
-        each = c.encode(values)
+        each = encoder(path, pattern).encode(values)
         ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
         flat = np.concatenate(each) if each else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
@@ -280,14 +286,14 @@ def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", out: s
     return _with(df, text, out, T.ArrayType(T.IntegerType()), make)
 
 
-def decode(df: DataFrame, *, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, *, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the column out: the bytes of each list of ids. Null ids give no bytes; an id that is no entry is an error."""
 
     def make(values: pa.Array) -> pa.Array:
-        c = codec(path, pattern)
+        of = entries(path).__getitem__
         flat, ends = values.values.to_numpy(), values.offsets.to_numpy()
         null = values.is_null().to_pylist()
-        each = [b"" if none else c.decode(flat[a:b].tolist()) for none, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
+        each = [b"" if none else b"".join(map(of, flat[a:b].tolist())) for none, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
         return pa.array(each, pa.binary())
 
     return _with(df, ids, out, T.BinaryType(), make)
