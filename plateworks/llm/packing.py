@@ -103,9 +103,9 @@ class Encoder:
             whole[:] = False
             for a in self.added:
                 whole |= pc.fill_null(pc.match_substring(texts, a), False).to_numpy(zero_copy_only=False)
-        out = self.memo.encode(pc.if_else(pa.array(whole), None, texts))
-        for i in np.flatnonzero(whole):
-            out[i] = np.frombuffer(self.whole(texts[int(i)].as_py() or ""), np.int32)
+        out: list[np.ndarray] = [np.frombuffer(self.whole(texts[i].as_py() or ""), np.int32) if w else None for i, w in enumerate(whole)]
+        for i, ids in zip(np.flatnonzero(~whole), self.memo.encode(texts.filter(pa.array(~whole))), strict=True):
+            out[i] = ids
         return out
 
 
