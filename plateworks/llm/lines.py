@@ -4,7 +4,7 @@ Two lines within ``most`` edits, cut into most + 1 segments, share one of them u
 its segments into an index under (length, number, text); every line probes, for its own and each shorter length within
 reach, the substrings that can be such a segment: those that a match to the left and to the right leaves possible, 5, 4 and 3 of
 them for two edits and a difference in length of 0, 1 and 2. Index and probes are hashes, joined by equality. A pair stays in the join
-only if the parities of its letter counts allow so few edits. What is left is verified by an edit distance whose band of
+only if the counts of some letters allow so few edits. What is left is verified by an edit distance whose band of
 2 * most + 1 diagonals is a bit vector for each number of edits, all stepped forward by shifts and masks, a character at a time.
 
 Lines are compared as distinct lines, so that a line of a third of all documents is one row. Of each line the first occurrence stays.
@@ -21,8 +21,9 @@ from plateworks.llm.store import checkpointed, written
 
 #: Edits within which lines are near duplicates, and characters below which a line is too short to tell a copy.
 EDITS, LEAST_CHARS = 2, 24
-#: Letters whose counts' parities a line carries through the join: frequent ones in languages of Latin script.
-LETTERS = "etaoinshrdlucmup"
+#: Letters whose counts a line carries through the join, in 7 bits each: frequent ones in languages of Latin script.
+LETTERS = "etaoin"
+_COUNT = 127
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -86,50 +87,59 @@ def probe_hashes(line: Column, length: Column, most: int) -> Column:
     return F.array(*out)
 
 
+def _occurs(line: Column, letter: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
+
+
 def _sketch(line: Column) -> Column:
-    """A bit for each letter: whether its count is odd. An edit changes two of them at most."""
-    size = F.octet_length(line)
-    bits = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1)), i) for i, c in enumerate(sorted(set(LETTERS)))]
-    return reduce(lambda p, q: p.bitwiseOR(q), bits)
+    """Counts of the letters, 127 at most, in one number."""
+    counts = [F.shiftleft(F.least(_occurs(line, c), F.lit(_COUNT)).cast("long"), 7 * i) for i, c in enumerate(LETTERS)]
+    return reduce(lambda p, q: p.bitwiseOR(q), counts)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """How far two sketches are apart, letter by letter; an edit takes one letter and puts another at most."""
+    of = lambda c, i: F.shiftright(c, 7 * i).bitwiseAND(F.lit(_COUNT).cast("long"))
+    return reduce(lambda p, q: p + q, [F.abs(of(x, i) - of(y, i)) for i in range(len(LETTERS))])
 
 
-_SKETCH = (1 << len(set(LETTERS))) - 1
+def _spelled_alike(x: Column, y: Column, most: int) -> Column:
+    """Whether all letters' counts allow so few edits: it spares most pairs the edit distance."""
+    return reduce(lambda p, q: p + q, [F.abs(_occurs(x, c) - _occurs(y, c)) for c in "abcdefghijklmnopqrstuvwxyz"]) <= 2 * most
 
 
 def coded(lines: DataFrame, most: int) -> DataFrame:
-    """lines (_line and others) with _id (xxhash64), _sn (length and sketch), _i and _p (hashes of segments and probes), without the text."""
+    """lines (_line and others) with _n (length), _id (xxhash64), _s (sketch), _i and _p (hashes of segments and probes), without the text."""
     others = [c for c in lines.columns if c != "_line"]
     d = lines.withColumn("_n", F.char_length("_line"))
     line, n = F.col("_line"), F.col("_n")
-    sn = F.shiftleft(n.cast("long"), 16).bitwiseOR(_sketch(line).cast("long"))
-    return d.select(*others, "_n", F.xxhash64(line).alias("_id"), sn.alias("_sn"), index_hashes(line, n, most).alias("_i"), probe_hashes(line, n, most).alias("_p"))
+    return d.select(*others, "_n", F.xxhash64(line).alias("_id"), _sketch(line).alias("_s"), index_hashes(line, n, most).alias("_i"), probe_hashes(line, n, most).alias("_p"))
 
 
 def candidates(distinct: DataFrame, most: int) -> DataFrame:
-    """(a, b): ids of distinct coded lines (_id, _sn, _i, _p) that share a segment and may be within so many edits, each pair once."""
+    """(a, b): ids of distinct coded lines (_id, _n, _s, _i, _p) that share a segment and may be within so many edits, each pair once."""
     parts = most + 1
-    n = F.shiftright("_sn", 16)
     places = _places(most)
     less, nth = (F.array(*[F.lit(p[k]).cast("long") for p in places]) for k in (0, 1))
 
-    def keyed(hashes: str, length: Column, number: Column, name: str) -> DataFrame:
-        e = distinct.select("_id", "_sn", F.posexplode(hashes).alias("_at", "_h"))
+    def keyed(hashes: str, length: Column, number: Column, name: str, *more: Column) -> DataFrame:
+        e = distinct.select("_id", "_n", "_s", F.posexplode(hashes).alias("_at", "_h"))
         # Length and number of the segment stand above its hash in one number.
         key = F.shiftleft(length * parts + number, 32).bitwiseOR(F.col("_h").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        return e.select(key.alias("_k"), F.col("_id").alias(name), F.col("_sn").alias(f"_sn_{name}"))
+        return e.select(key.alias("_k"), F.col("_id").alias(name), F.col("_s").alias(f"_s_{name}"), *more)
 
+    n = F.col("_n").cast("long")
+    fewer = F.get(less, F.col("_at"))
     left = keyed("_i", n, F.col("_at").cast("long"), "a")
-    right = keyed("_p", n - F.get(less, F.col("_at")), F.get(nth, F.col("_at")), "b")
-    x, y = F.col("_sn_a"), F.col("_sn_b")
-    once = (F.col("a") != F.col("b")) & ((F.shiftright(x, 16) < F.shiftright(y, 16)) | (F.col("a") < F.col("b")))
-    few = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(_SKETCH).cast("long"))) <= 2 * most
-    return left.join(right, "_k").where(once & few).select("a", "b").distinct()
+    right = keyed("_p", n - fewer, F.get(nth, F.col("_at")), "b", (fewer > 0).alias("_longer"))
+    once = (F.col("a") != F.col("b")) & (F.col("_longer") | (F.col("a") < F.col("b")))
+    return left.join(right, "_k").where(once & (_apart(F.col("_s_a"), F.col("_s_b")) <= 2 * most)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """The pairs (a, b) whose lines, by texts (_id, _line), are within so many edits."""
     x, y = (texts.select(F.col("_id").alias(k), F.col("_line").alias(v)) for k, v in (("a", "_x"), ("b", "_y")))
-    return pairs.join(x, "a").join(y, "b").where(within(F.col("_x"), F.col("_y"), most)).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(_spelled_alike(F.col("_x"), F.col("_y"), most) & within(F.col("_x"), F.col("_y"), most)).select("a", "b")
 
 
 def near_pairs(lines: DataFrame, most: int = EDITS) -> DataFrame:
@@ -163,7 +173,7 @@ def marks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int
     slim = docs.select(F.col(key).alias("_key"), F.xxhash64(value).alias("_hash"), value.alias("_text"))
     lines = written(coded(_lines(slim, least), most), "lines")
     place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("_pos").alias("pos"))
-    one = lines.groupBy("_id").agg(F.min(place).alias("_first"), *[F.any_value(c).alias(c) for c in ("_sn", "_i", "_p")])
+    one = lines.groupBy("_id").agg(F.min(place).alias("_first"), *[F.any_value(c).alias(c) for c in ("_n", "_s", "_i", "_p")])
     distinct = written(one, "distinct")
     first = distinct.select("_id", "_first")
 
