@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that each of a worker's memos of pre-tokens and of runs of them keeps at most after a batch (about 200 bytes each).
-MEMO = 300_000
+#: Entries at which a worker's memo of pre-tokens and runs of them starts anew, while the last one is kept to ask (about 200 bytes each).
+MEMO = 400_000
 #: The same for candidates for a merge; few are frequent.
 CANDIDATES = 60_000
 #: Texts of this many bytes make a batch at most (one text always fits).
@@ -163,35 +163,38 @@ class Memo:
     def __init__(self, pattern: str, resolve: Callable[[list[str]], list[bytes]]):
         self.find, self.resolve = regex.compile(pattern).findall, resolve
         self.usual = pattern == public_tokenizers.PATTERN
-        self.runs: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def cut(self, run: str) -> list[str]:
-        """Matches of the pattern. For the usual one, a space and letters are one, and a sign behind them another."""
-        if self.usual and run[:1] == " ":
-            if run[1:].isalpha():
-                return [run]
-            if run[-1] in ".,!?;:" and run[1:-1].isalpha():
-                return [run[:-1], run[-1]]
-        return self.find(run)
-
     def lookup(self, words: list[str]) -> list[bytes]:
-        """Packed ids of distinct runs."""
-        runs, pieces, older = self.runs, self.pieces, self.older
-        new = [r for r in words if r not in runs]
-        cut = list(map(self.cut, new))
-        needed = {p for parts in cut for p in parts if p not in pieces}
-        lacking = [p for p in needed if p not in older]
-        pieces.update((p, older[p]) for p in needed if p in older)
-        pieces.update(zip(lacking, self.resolve(lacking), strict=True))
-        runs.update((r, pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])) for r, parts in zip(new, cut, strict=True))
-        out = list(map(runs.__getitem__, words))
-        if len(runs) > MEMO:
-            self.runs = dict(zip(words, out, strict=True))
-        if len(pieces) > MEMO:  # what is not asked for again before the next time goes
-            self.pieces, self.older = {}, pieces
-        return out
+        """Packed ids of distinct runs. For the usual pattern, a space and letters are one match, and a sign behind them another."""
+        if len(self.known) > MEMO:  # what is not asked for again before the next time goes
+            self.known, self.older = {}, self.known
+        known, older, find = self.known, self.older, self.find
+        new = [r for r in words if r not in known]
+        if older:
+            known.update((r, older[r]) for r in new if r in older)
+            new = [r for r in new if r not in known]
+        lacking: list[str] = []
+        several: list[tuple[str, list[str]]] = []
+        for r in new:
+            if self.usual and r[:1] == " ":
+                if r[1:].isalpha():
+                    lacking.append(r)
+                    continue
+                if r[-1] in ".,!?;:" and r[1:-1].isalpha():
+                    several.append((r, [r[:-1], r[-1]]))
+                    continue
+            parts = find(r)
+            if len(parts) == 1:
+                lacking.append(parts[0])
+            if len(parts) != 1 or parts[0] != r:
+                several.append((r, parts))
+        lacking = list({*lacking, *(p for _, parts in several for p in parts if p not in known)})
+        known.update(zip(lacking, self.resolve(lacking), strict=True))
+        for r, parts in several:
+            known[r] = b"".join([known[p] for p in parts])
+        return [known[r] for r in words]
 
     def laid_out(self, lists: pa.ListArray) -> list[np.ndarray]:
         """Ids of each list of runs."""

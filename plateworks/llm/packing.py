@@ -94,7 +94,7 @@ class Encoder:
     def pretokens(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of pre-tokens, by the library's model alone: it takes the bytes as the characters of byte-level files."""
         cut, chars = self.tokenizer.model.tokenize, self.chars
-        return [bpe.packed([x.id for x in cut(p.encode().decode("latin-1").translate(chars))]) for p in pieces]
+        return [bpe.packed([x.id for x in cut((p if p.isascii() else p.encode().decode("latin-1")).translate(chars))]) for p in pieces]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none for null."""
