@@ -112,7 +112,7 @@ def number_text(value: float | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def canonical_number(v: pd.Series) -> pd.Series:
-    return v.map(number_text, na_action="ignore")
+    return v.map(number_text)
 
 
 @F.pandas_udf(T.DoubleType())
