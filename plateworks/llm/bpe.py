@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries at which a worker's memo of pre-tokens and runs of them starts anew, while the last one is kept to ask (about 200 bytes each).
-MEMO = 400_000
+MEMO = 300_000
 #: The same for candidates for a merge; few are frequent.
 CANDIDATES = 60_000
 #: Texts of this many bytes make a batch at most (one text always fits).
@@ -128,7 +128,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.hash = PerfectHash(read_ranks(path))
         self.rank = Ranks(self.hash).__getitem__
-        self.memo = Memo(pattern, self.pretokens)
+        self.memo = Memo(pattern, self.pretokens, MEMO)
 
     def pretokens(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -160,15 +160,15 @@ class Memo:
     cuts the texts and finds the distinct runs, numpy lays out their ids. Other texts go match by match.
     """
 
-    def __init__(self, pattern: str, resolve: Callable[[list[str]], list[bytes]]):
-        self.find, self.resolve = regex.compile(pattern).findall, resolve
+    def __init__(self, pattern: str, resolve: Callable[[list[str]], list[bytes]], most: int):
+        self.find, self.resolve, self.most = regex.compile(pattern).findall, resolve, most
         self.usual = pattern == public_tokenizers.PATTERN
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def lookup(self, words: list[str]) -> list[bytes]:
         """Packed ids of distinct runs. For the usual pattern, a space and letters are one match, and a sign behind them another."""
-        if len(self.known) > MEMO:  # what is not asked for again before the next time goes
+        if len(self.known) > self.most:  # what is not asked for again before the next time goes
             self.known, self.older = {}, self.known
         known, older, find = self.known, self.older, self.find
         new = [r for r in words if r not in known]
@@ -258,45 +258,58 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
             at = to
 
 
-def _with(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> DataFrame:
-    """df with the column out, made from an Arrow array of the column by make."""
-    names = [c for c in df.columns if c != out]
-    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, kind)])
-    # The column goes in under a name of its own, so that an existing column named as out does not matter.
+def _with(df: DataFrame, column: str, outs: dict[str, T.DataType], make: Callable[[pa.Array], list[pa.Array]], keep: bool) -> DataFrame:
+    """df with the columns outs, made from an Arrow array of the column by make; without the column, unless it is kept."""
+    names = [c for c in df.columns if c not in outs and (keep or c != column)]
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(n, t) for n, t in outs.items()])
+    # The column goes in under a name of its own, so that an existing column named as one of outs does not matter.
     source = df.select(*names, df[column].alias("_in_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_in_"):
             made = make(batch.column("_in_"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *outs])
 
     return source.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with the column out: the ids (array<int>) of each whole text.
+def _encoded(path: str, pattern: str, texts: pa.Array) -> pa.ListArray:
+    each = encoder(path, pattern).encode(texts)
+    ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
+    flat = np.concatenate(each) if each else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def _decoded(path: str, ids: pa.ListArray) -> pa.Array:
+    of = entries(path).__getitem__
+    flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+    null = ids.is_null().to_pylist()
+    each = [b"" if none else b"".join(map(of, flat[a:b].tolist())) for none, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
+    return pa.array(each, pa.binary())
+
+
+_IDS, _BYTES = T.ArrayType(T.IntegerType()), T.BinaryType()
+
+
+def encode(df: DataFrame, *, path: str, pattern: str, text: str = "text", out: str = "ids", keep: bool = True) -> DataFrame:
+    """df with the column out: the ids (array<int>) of each whole text. Without keep the texts go, and stay out of the workers' output.
 
     Null and empty texts give an empty array, texts without any match too. There is no limit on length; a text is encoded in
     memory in about 10 times its bytes. An existing column named as out is replaced. Repeated rows stay. No rows give no rows.
     """
+    return _with(df, text, {out: _IDS}, lambda texts: [_encoded(path, pattern, texts)], keep)
 
-    def make(values: pa.Array) -> pa.Array:
-        each = encoder(path, pattern).encode(values)
-        ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
-        flat = np.concatenate(each) if each else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
-    return _with(df, text, out, T.ArrayType(T.IntegerType()), make)
+def decode(df: DataFrame, *, path: str, ids: str = "ids", out: str = "decoded", keep: bool = True) -> DataFrame:
+    """df with the column out: the bytes of each list of ids. Null ids give no bytes; an id that is no entry is an error."""
+    return _with(df, ids, {out: _BYTES}, lambda lists: [_decoded(path, lists)], keep)
 
 
-def decode(df: DataFrame, *, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the column out: the bytes of each list of ids. Null ids give no bytes; an id that is no entry is an error."""
+def round_trip(df: DataFrame, *, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: bool = False) -> DataFrame:
+    """What encode() and then decode() give, in one pass and one worker: the bytes are decoded from the ids, batch by batch."""
 
-    def make(values: pa.Array) -> pa.Array:
-        of = entries(path).__getitem__
-        flat, ends = values.values.to_numpy(), values.offsets.to_numpy()
-        null = values.is_null().to_pylist()
-        each = [b"" if none else b"".join(map(of, flat[a:b].tolist())) for none, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
-        return pa.array(each, pa.binary())
+    def make(texts: pa.Array) -> list[pa.Array]:
+        lists = _encoded(path, pattern, texts)
+        return [lists, _decoded(path, lists)]
 
-    return _with(df, ids, out, T.BinaryType(), make)
+    return _with(df, text, {ids: _IDS, decoded: _BYTES}, make, keep)

@@ -115,7 +115,7 @@ class Model:
         active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")
         out = np.zeros((len(texts), len(self.tables)))
         for k, table in enumerate(self.tables):
-            # The first character of a phrase is one that the root has a way for, or one that is a phrase by itself.
+            # A phrase begins where there is no way on, and after a character that the root has no way for: a phrase by itself.
             state, made = np.zeros(len(begin), np.int32), np.ones(len(begin), np.int32)
             for t in range(SEGMENT):
                 m = active[t]
@@ -125,7 +125,7 @@ class Model:
                 to = table.take(state[:m] * np.int32(self.symbols) + c)
                 lost = to == 0
                 if t:
-                    made[:m] += lost
+                    made[:m] += lost | (state[:m] == 0)
                 np.copyto(to, table.take(c), where=lost)
                 state[:m] = to
             np.add.at(out[:, k], owner, made)

@@ -28,6 +28,8 @@ from plateworks.llm.store import shared_dir
 
 #: A block is closed when it holds this many ids; a document is never cut.
 BLOCK_IDS = 1 << 18
+#: Entries of a worker's memo of pre-tokens; there is one worker a task here, so it may hold more than where others work beside it.
+MEMO = 600_000
 _GROUP = 64
 
 
@@ -86,7 +88,7 @@ class Encoder:
         self.apart = rules["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
         self.added = [x["content"] for x in rules["added_tokens"]]
         self.chars = byte_characters()
-        self.memo = bpe.Memo(public_tokenizers.PATTERN, self.pretokens)
+        self.memo = bpe.Memo(public_tokenizers.PATTERN, self.pretokens, MEMO)
 
     def whole(self, text: str) -> bytes:
         return bpe.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)

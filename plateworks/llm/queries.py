@@ -31,8 +31,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), **rules).drop("text")
-    both = bpe.decode(coded, path=rules["path"])
+    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), **rules)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
