@@ -156,7 +156,7 @@ def status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("run").agg(F.count_if(F.col("line").startswith("click ")).alias("n_click"), F.count_if(F.col("error_type").startswith("ok")).alias("n_ok"), F.count_if(~F.col("error_type").startswith("ok")).alias("n_skip"))
 
 
-@query(ROWS + """select run, round(count(*) filter (iou >= 0.5 and k >= 50) / nullif(count(*) filter (iou >= 0.5), 0), 3) as precision, round(count(*) filter (iou >= 0.5 and k >= 50) / nullif(count(*) filter (k >= 50), 0), 3) as recall from r group by run""")
+@query(ROWS + """select run, round(coalesce(count(*) filter (iou >= 0.5 and k >= 50) / nullif(count(*) filter (iou >= 0.5), 0), 0), 3) as precision, round(coalesce(count(*) filter (iou >= 0.5 and k >= 50) / nullif(count(*) filter (k >= 50), 0), 0), 3) as recall from r group by run""")
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir)
     good, true = F.col("iou") >= 0.5, F.col("k") >= 50
