@@ -21,9 +21,9 @@ from plateworks.llm.store import checkpointed, written
 
 #: Edits within which lines are near duplicates, and characters below which a line is too short to tell a copy.
 EDITS, LEAST_CHARS = 2, 24
-#: Letters whose counts a line carries through the join, in 7 bits each: frequent ones in languages of Latin script.
-LETTERS = "etaoin"
-_COUNT = 127
+#: Letters whose counts a line carries through the join, modulo 32: frequent ones in languages of Latin script.
+LETTERS = "etaoinshrdlu"
+_BITS = 5
 
 
 def within(a: Column, b: Column, most: int) -> Column:
@@ -92,15 +92,18 @@ def _occurs(line: Column, letter: str) -> Column:
 
 
 def _sketch(line: Column) -> Column:
-    """Counts of the letters, 127 at most, in one number."""
-    counts = [F.shiftleft(F.least(_occurs(line, c), F.lit(_COUNT)).cast("long"), 7 * i) for i, c in enumerate(LETTERS)]
+    """Counts of the letters, modulo 32, in one number."""
+    mask = (1 << _BITS) - 1
+    counts = [F.shiftleft(_occurs(line, c).bitwiseAND(F.lit(mask)).cast("long"), _BITS * i) for i, c in enumerate(LETTERS)]
     return reduce(lambda p, q: p.bitwiseOR(q), counts)
 
 
 def _apart(x: Column, y: Column) -> Column:
-    """How far two sketches are apart, letter by letter; an edit takes one letter and puts another at most."""
-    of = lambda c, i: F.shiftright(c, 7 * i).bitwiseAND(F.lit(_COUNT).cast("long"))
-    return reduce(lambda p, q: p + q, [F.abs(of(x, i) - of(y, i)) for i in range(len(LETTERS))])
+    """How far two sketches are apart at least, letter by letter and around the circle; an edit takes one letter and puts another at most."""
+    size = 1 << _BITS
+    of = lambda c, i: F.shiftright(c, _BITS * i).bitwiseAND(F.lit(size - 1).cast("long"))
+    off = [F.abs(of(x, i) - of(y, i)) for i in range(len(LETTERS))]
+    return reduce(lambda p, q: p + q, [F.least(d, size - d) for d in off])
 
 
 def _spelled_alike(x: Column, y: Column, most: int) -> Column:
