@@ -22,7 +22,7 @@ from plateworks.llm.store import checkpointed, written
 #: Edits within which lines are near duplicates, and characters below which a line is too short to tell a copy.
 EDITS, LEAST_CHARS = 2, 24
 #: Letters whose counts a line carries through the join, modulo 32: frequent ones in languages of Latin script.
-LETTERS = "etaoinshrdlu"
+LETTERS = "etaoinshr"
 _BITS = 5
 
 
