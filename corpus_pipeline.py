@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which no word is left is a copy of others and goes.
     """
-    done = lines.dedup_lines(docs, out="_lines")
+    done = lines.dedup_lines(docs, exact=1, out="_lines")
     left = F.col("_lines.kept_text")
     emptied = (F.size("_lines.dropped") > 0) & (F.length(F.translate(left, " \t\n\x0b\x0c\r", "")) == 0)
     done = done.where(~F.coalesce(emptied, F.lit(False)))

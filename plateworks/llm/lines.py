@@ -8,6 +8,7 @@ only if the counts of some letters allow so few edits. What is left is verified
 2 * most + 1 diagonals is a bit vector for each number of edits, all stepped forward by shifts and masks, a character at a time.
 
 Lines are compared as distinct lines, so that a line of a third of all documents is one row. Of each line the first occurrence stays.
+Lines too short for two edits to tell a copy stay out of the join; they are compared exactly only, by the grouping by hash that all lines go through.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plateworks.llm.store import checkpointed, written
 
-#: Edits within which lines are near duplicates, and characters below which a line is too short to tell a copy.
+#: Edits within which lines are near duplicates, and characters below which a line is too short to tell a near copy.
 EDITS, LEAST_CHARS = 2, 24
 #: Letters whose counts a line carries through the join, modulo 32: frequent ones in languages of Latin script.
 LETTERS = "etaoinshr"
@@ -165,22 +166,23 @@ def _semi(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(F.broadcast(right) if right.count() <= SMALL else right, on, "left_semi")
 
 
-def marks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(_key, _hash, n_lines, n_exact, n_near, dropped, dropped_chars): for each document with a line of at least ``least`` characters.
+def marks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, exact: int | None = None) -> DataFrame:
+    """(_key, _hash, n_lines, n_exact, n_near, dropped, dropped_chars): for each document with a line that is compared.
 
+    Lines of at least ``least`` characters are compared exactly and nearly, those from ``exact`` characters (least if None) up to that only exactly.
     A line is dropped as exact if it stands elsewhere earlier, by the order of key (null last), hash of the text and place;
     as near if a line within ``most`` edits of it stands earlier. dropped: the places (from 0) of such lines in the split by
     line feed, dropped_chars: their characters. The texts are cut once; what is joined later are the coded lines.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key).alias("_key"), F.xxhash64(value).alias("_hash"), value.alias("_text"))
-    lines = written(coded(_lines(slim, least), most), "lines")
+    lines = written(coded(_lines(slim, least if exact is None else min(exact, least)), most), "lines")
     place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("_pos").alias("pos"))
     one = lines.groupBy("_id").agg(F.min(place).alias("_first"), *[F.any_value(c).alias(c) for c in ("_n", "_s", "_i", "_p")])
     distinct = written(one, "distinct")
     first = distinct.select("_id", "_first")
 
-    maybe = checkpointed(candidates(distinct, most))
+    maybe = checkpointed(candidates(distinct.where(F.col("_n") >= least), most))
     named = checkpointed(maybe.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(first, "_id").select("_id", F.col("_first.key").alias("_fk"), F.col("_first.hash").alias("_fh")))
     homes = named.select(F.col("_fh").alias("_hash")).distinct()
     # Only documents in which such a line stands first are cut again.
@@ -208,9 +210,9 @@ def marks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int
     )
 
 
-def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, exact: int | None = None) -> DataFrame:
     """(key, n_lines, n_exact, n_near, dropped, kept_chars) for each row of docs: what dedup_lines() does, without the texts."""
-    found = marks(docs, key=key, text=text, most=most, least=least).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_lines", "n_exact", "n_near", "dropped", "dropped_chars")
+    found = marks(docs, key=key, text=text, most=most, least=least, exact=exact).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_lines", "n_exact", "n_near", "dropped", "dropped_chars")
     value = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(key), F.xxhash64(value).alias("_hash"), F.char_length(value).cast("long").alias("_chars"))
     d = d.join(found, d[key].eqNullSafe(found["_k"]) & (d["_hash"] == found["_h"]), "left")
@@ -221,14 +223,14 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: in
     return d.select(key, *[zero(c).alias(c) for c in ("n_lines", "n_exact", "n_near")], none.alias("dropped"), kept.alias("kept_chars"))
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, out: str = "line_dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, exact: int | None = None, out: str = "line_dedup") -> DataFrame:
     """docs with a struct column ``out``: n_lines (compared), n_exact, n_near, dropped (places), kept_text.
 
-    kept_text is the text without the dropped lines. Lines shorter than ``least`` characters and blank lines are neither compared nor
-    dropped. Null texts stay null, with no lines; empty texts stay empty. Null keys come last in the order and may repeat. Rows that repeat key and
+    kept_text is the text without the dropped lines. Lines shorter than ``exact`` characters (``least`` if None) and blank lines are neither
+    compared nor dropped; those shorter than ``least`` are dropped as exact copies only. Null texts stay null, with no lines; empty texts stay empty. Null keys come last in the order and may repeat. Rows that repeat key and
     text keep the same lines. A column named as out is replaced, other columns stay. No rows give no rows.
     """
-    found = marks(docs, key=key, text=text, most=most, least=least).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_lines", "n_exact", "n_near", "dropped")
+    found = marks(docs, key=key, text=text, most=most, least=least, exact=exact).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_lines", "n_exact", "n_near", "dropped")
     kept = [c for c in docs.columns if c != out]
     d = docs.select(*kept, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
     d = d.join(found, d[key].eqNullSafe(found["_k"]) & (d["_hash"] == found["_h"]), "left")

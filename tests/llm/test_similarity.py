@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plateworks.llm import components, jaccard, lines, neighbours
+import corpus_pipeline
+from plateworks.llm import components, jaccard, lines, neighbours, queries
 
 
 def distance(a, b):
@@ -77,6 +78,23 @@ def test_line_dedup_of_documents(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_exact_copies_of_short_lines_are_found(spark, tmp_path):
+    short, other = "All rights reserved.", "All rights reserved?"  # 20 characters, one edit apart
+    rows = [(1, f"{short}\nx\n\n \nfirst document"), (2, f"{other}\nx\n\n \n{short}"), (3, short), (None, "x\nx"), (4, "é\né")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, list(r.dropped), r.kept_chars) for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: (3, 0, 0, [], 40),
+        2: (3, 2, 0, [1, 4], 23),
+        3: (1, 1, 0, [0], 0),
+        None: (2, 2, 0, [0, 1], 0),
+        4: (2, 1, 0, [1], 1),
+    }
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("n_chars", F.char_length("text").cast("long"))
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: (rows[0][1], 40), 2: (f"{other}\n\n ", 23), 4: ("é", 1)}
+
+
 def shingles(t, n=5):
     w = (t or "").encode().split()
     k = min(n, len(w))
