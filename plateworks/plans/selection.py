@@ -130,7 +130,7 @@ n as (select item_id, count(*) as nb from b group by 1), m as (select source, co
 j as (select b.item_id, g.source, count(*) filter (b.line = g.line) as same from b join g using (pos) group by all)
 select n.item_id, count(*) filter (nb = ng and nb - coalesce(same, 0) <= greatest(20, nb // 200)) as n_leaks from n cross join m left join j on j.item_id = n.item_id and j.source = m.source group by n.item_id""")
 def leak_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against each source's first document, line by line (here: sentence): as many lines and few that differ are a leak."""
+    """Benchmark items against each source's first document only, as its SQL has it; leak_positional_all takes all documents."""
     cut = lambda df, key: df.select(key, F.size(F.split("text", r"\.", -1)).alias("n"), F.split("text", r"\.", -1).alias("lines"))
     items = cut(table(spark, sf_dir, "benchmark"), "item_id")
     docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
@@ -141,6 +141,23 @@ def leak_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id").join(leaks, "item_id", "left").select("item_id", F.coalesce("_l", F.lit(0)).cast("long").alias("n_leaks"))
 
 
+@query("""with b as (select item_id, string_split(text, '.') as lines from benchmark), d as (select row_number() over () as doc, string_split(text, '.') as lines from documents),
+p as (select item_id, doc, b.lines as x, d.lines as y, unnest(range(1, len(b.lines) + 1)) as pos from b join d on len(b.lines) = len(d.lines)),
+q as (select item_id, doc, count(*) as n, count(*) filter (x[pos] = y[pos]) as same from p group by all),
+l as (select item_id, count(*) filter (n - same <= greatest(20, n // 200)) as n_leaks from q group by item_id)
+select item_id, coalesce(n_leaks, 0) as n_leaks from benchmark left join l using (item_id)""")
+def leak_positional_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against all documents, line by line (here: sentence): as many lines and few that differ are a leak."""
+    cut = lambda t, *key: table(spark, sf_dir, t).select(*key, F.split("text", r"\.", -1).alias("lines")).withColumn("n", F.size("lines"))
+    items, docs, may = cut("benchmark", "item_id"), cut("documents"), 20
+    # Up to so many lines all may differ, so that documents count by their number of lines.
+    short = items.where(F.col("n") <= may).join(docs.where(F.col("n") <= may).groupBy("n").agg(F.count("*").alias("_l")), "n").select("item_id", "_l")
+    pairs = items.where(F.col("n") > may).join(docs.where(F.col("n") > may).select("n", F.col("lines").alias("theirs")), "n")
+    same = F.size(F.filter(F.zip_with("lines", "theirs", lambda a, b: a == b), lambda x: x))
+    long = pairs.where(F.col("n") - same <= F.greatest(F.lit(may), F.floor(F.col("n") / 200))).groupBy("item_id").agg(F.count("*").alias("_l"))
+    return items.select("item_id").join(short.unionByName(long), "item_id", "left").select("item_id", F.coalesce("_l", F.lit(0)).cast("long").alias("n_leaks"))
+
+
 @query("select o_orderkey as id, coalesce(case when o_orderkey % 3 = 0 then o_orderpriority end, case when o_orderkey % 3 = 1 then o_orderstatus end, 'visible') as line_role from orders")
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field under its new name, its older one, or its default."""
