@@ -9,6 +9,7 @@ import ast
 import json
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -200,29 +201,21 @@ def stripped(v: pd.Series) -> pd.DataFrame:
 
 
 def picks(df: DataFrame, by: list[str], size: str, tie: str, k: int, budget: int) -> DataFrame:
-    """by, place, tie: k examples, the shortest first, then at even ranks, each walked down to the next unused one that fits the budget."""
+    """by, place, tie: k examples, the shortest first (also over the budget), then at even ranks, each walked down to the next unused one that fits.
+
+    The walk is the highest unused rank at or below the wanted one that fits: one aggregate for each place, over all ranks.
+    """
     order = Window.partitionBy(*by).orderBy(size, tie)
-    n = Window.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(n))
-    # Only rows at or up to k places below a wanted rank can be picked: a bounded number for each group.
-    wanted = [F.lit(0), *[F.rint(F.lit(i / k) * (F.col("_n") - 1)).cast("int") for i in range(1, k)]]
-    near = F.lit(False)
-    for w in wanted:
-        near = near | F.col("_r").between(w - k, w)
-    rows = ranked.where(near).select(*by, size, tie, "_r", "_n")
-    schema = T.StructType([*(df.schema[c] for c in by), T.StructField("place", T.LongType()), df.schema[tie]])
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        by_rank = {int(r): (s, t) for r, s, t in zip(group["_r"], group[size], group[tie], strict=True)}
-        total, used, out, spent = int(group["_n"].iloc[0]), set(), [], 0
-        for i in range(min(k, total)):
-            r = int(np.rint(i / k * (total - 1)))
-            while r >= 0 and (r in used or r not in by_rank or spent + by_rank[r][0] > budget):
-                r -= 1
-            if r >= 0:
-                used.add(r)
-                spent += by_rank[r][0]
-                out.append((*[group[c].iloc[0] for c in by], i, by_rank[r][1]))
-        return pd.DataFrame(out, columns=schema.names)
-
-    return rows.groupBy(*by).applyInPandas(choose, schema)
+    ranked = df.select(*by, (F.row_number().over(order) - 1).alias("_r"), F.col(size).alias("_s"), F.col(tie).alias("_t"))
+    pick = lambda i: F.struct(F.lit(i).cast("long").alias("place"), "_r", "_s", "_t")
+    state = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.array(F.min_by(pick(0), "_r")).alias("_p"))
+    for i in range(1, k):
+        wanted = F.rint(F.lit(i / k) * (F.col("_n") - 1)).cast("int")
+        left = F.lit(budget) - F.aggregate("_p", F.lit(0).cast("double"), lambda a, x: a + x["_s"])
+        now = state.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_n", "_p", wanted.alias("_w"), left.alias("_left"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])
+        fits = (F.col("_r") <= F.col("_w")) & (F.col("_s") <= F.col("_left")) & ~F.array_contains(F.transform("_p", lambda x: x["_r"]), F.col("_r"))
+        found = F.max_by(pick(i), F.when(fits, F.col("_r")))
+        state = ranked.join(now, same).groupBy(*by).agg(F.any_value("_n").alias("_n"), F.any_value("_p").alias("_p"), found.alias("_f"))
+        state = state.select(*by, "_n", F.when(F.col("_f").isNull(), F.col("_p")).otherwise(F.array_append("_p", F.col("_f"))).alias("_p"))
+    return state.select(*by, F.explode("_p").alias("_p")).select(*by, "_p.place", F.col("_p._t").alias(tie))
