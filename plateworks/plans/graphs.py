@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plateworks.operators import drawing, rules, selection, stats
+from plateworks.operators import drawing, graph, rules, selection, stats
 from plateworks.plans.registry import query
 from plateworks.sources import table
 
@@ -99,10 +99,20 @@ select id, max(depth) as depth, max(depth) >= 12 as in_cycle from w group by id"
 
 @query(_WALK.format(t="supplier"))
 def parent_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features whose walk over parents does not end (within 12 steps); a supplier's parent is a function of its key."""
+    """Features whose walk over parents does not end within 12 steps, as its SQL has it; parent_cycle_all walks to the end. A supplier's parent is a function of its key."""
     return spark.sql(_WALK, t=table(spark, sf_dir, "supplier"))
 
 
+@query("""with recursive n as (select s_suppkey as id, case when s_suppkey % 7 <> 0 then (s_suppkey * 3 + 1) % 100 end as parent, (select count(*) from supplier) as most from supplier),
+w as (select id, parent as at, 1 as depth, most from n where parent is not null
+ union all select w.id, n.parent as at, w.depth + 1 as depth, w.most from w join n on n.id = w.at where n.parent is not null and w.depth <= w.most)
+select id, case when max(depth) <= max(most) then max(depth) end as depth, max(depth) > max(most) as in_cycle from w group by id""")
+def parent_cycle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with a parent: the steps to the end of their walk over parents, or that it is in or leads into a cycle."""
+    key = F.col("s_suppkey")
+    return graph.walks(table(spark, sf_dir, "supplier").select(key.alias("id"), F.when(key % 7 != 0, (key * 3 + 1) % 100).alias("parent")))
+
+
 @query(PRIMS + """, g as (select graph, count(distinct face) as required, list_sort(list(distinct face) filter (role = 'vis')) as d, list_sort(list(distinct face) filter (role = 'hid')) as h from p group by graph)
 select graph, required, coalesce(len(d), 0) as determined, coalesce(len(h), 0) as by_geometry, required - coalesce(len(d), 0) - coalesce(len(h), 0) as missing, len(list_intersect(coalesce(d, []), coalesce(h, []))) = 0 as disjoint, round((coalesce(len(d), 0) + coalesce(len(h), 0)) / required, 4) as coverage from g""")
 def dof_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
