@@ -3,12 +3,16 @@
 Two lines within ``most`` edits, cut into most + 1 segments, share one of them unchanged and at nearly the same place. Every distinct line puts
 its segments into an index under (length, number, text); every line probes, for its own and each shorter length within
 reach, the substrings that can be such a segment: those that a match to the left and to the right leaves possible, 5, 4 and 3 of
-them for two edits and a difference in length of 0, 1 and 2. Index and probes are hashes, joined by equality. A pair stays in the join
-only if the counts of some letters allow so few edits. What is left is verified by an edit distance whose band of
-2 * most + 1 diagonals is a bit vector for each number of edits, all stepped forward by shifts and masks, a character at a time.
+them for two edits and a difference in length of 0, 1 and 2. Index and probes are hashes, joined by equality. What meets is verified by an edit
+distance whose band of 2 * most + 1 diagonals is a bit vector for each number of edits, all stepped forward by shifts and masks, a character at a time.
 
-Lines are compared as distinct lines, so that a line of a third of all documents is one row. Of each line the first occurrence stays.
-Lines too short for two edits to tell a copy stay out of the join; they are compared exactly only, by the grouping by hash that all lines go through.
+One measure holds for all lengths: lines are near if they are within ``most`` edits and within one edit for each ``per`` characters of the shorter
+one, so that of very short lines only exact copies are near.
+
+Lines are compared as distinct lines, so that a line of a third of all documents is one row; of each the first occurrence stays. What is asked of
+a line is whether an earlier one is near, not with how many it pairs. A key that more than HOT lines put into the index (numbered lines of one template do)
+is left out of the join: its lines come together in blocks of bounded bytes, a pair of blocks is one row, and a line stops at the first earlier
+one that is near. Each block of probes first meets one block of the index, and only what has found nothing there meets the others.
 """
 
 from __future__ import annotations
@@ -18,17 +22,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plateworks.llm.names import packed, unpacked
 from plateworks.llm.store import checkpointed, written
 
-#: Edits within which lines are near duplicates, and characters below which a line is too short to tell a near copy.
-EDITS, LEAST_CHARS = 2, 24
-#: Letters whose counts a line carries through the join, modulo 32: frequent ones in languages of Latin script.
-LETTERS = "etaoinshr"
-_BITS = 5
+#: Edits within which lines are near duplicates, and characters that each edit takes at least.
+EDITS, PER = 2, 12
+#: Lines under one key of the index up to which they are joined row by row.
+HOT = 32
+#: Bytes of lines in a block of a hot key, on average.
+BLOCK_BYTES = 1 << 18
+#: Two 64-bit hashes tell lines apart.
+ID = ["_h1", "_h2"]
+_LETTERS = "etaoinshrdlucmfwygpbvk0123456789"
 
 
-def within(a: Column, b: Column, most: int) -> Column:
-    """Whether a and b, no null among them, are within so many edits: one bit vector of diagonals for each number of edits.
+def distance(a: Column, b: Column, most: int) -> Column:
+    """Edit distance of a and b, no null among them, or most + 1 if it is over most: one bit vector of diagonals for each number of edits.
 
     Bit j of vector d after i characters of a: those are at most d edits from the first i + j - most characters of b.
     """
@@ -49,11 +58,23 @@ def within(a: Column, b: Column, most: int) -> Column:
             return F.array(*new)
 
         last = F.aggregate(F.sequence(F.lit(0), s["m"] - 1), start, step)
-        return F.getbit(last[most], s["n"] - s["m"] + most) == 1
+        place = s["n"] - s["m"] + most
+        # A vector holds what those of fewer edits hold, so the distance is the number of vectors without the bit.
+        return F.aggregate(last, F.lit(0), lambda d, v: d + (F.getbit(v, place) == 0).cast("int"))
+
+    shorter, off = F.least(F.char_length(a), F.char_length(b)), F.abs(F.char_length(a) - F.char_length(b))
+    over = F.lit(most + 1)
+    return F.when(off > most, over).when(shorter == 0, off).otherwise(F.get(F.transform(one, both), F.lit(0)))
+
+
+def within(a: Column, b: Column, most: int) -> Column:
+    """Whether a and b, no null among them, are within so many edits."""
+    return distance(a, b, most) <= most
+
 
-    near = F.abs(F.char_length(a) - F.char_length(b)) <= most
-    trivial = F.least(F.char_length(a), F.char_length(b)) == 0
-    return near & (trivial | F.get(F.transform(one, both), F.lit(0)))
+def allowed(shorter: Column, most: int, per: int) -> Column:
+    """Edits that a pair may be apart, by the length of the shorter line."""
+    return F.least(F.lit(most), F.floor(shorter / per).cast("int"))
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -88,155 +109,214 @@ def probe_hashes(line: Column, length: Column, most: int) -> Column:
     return F.array(*out)
 
 
-def _occurs(line: Column, letter: str) -> Column:
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
-
-
 def _sketch(line: Column) -> Column:
-    """Counts of the letters, modulo 32, in one number."""
-    mask = (1 << _BITS) - 1
-    counts = [F.shiftleft(_occurs(line, c).bitwiseAND(F.lit(mask)).cast("long"), _BITS * i) for i, c in enumerate(LETTERS)]
-    return reduce(lambda p, q: p.bitwiseOR(q), counts)
-
+    """Whether the count of each of 32 characters is odd, a bit for each: an edit turns two bits at most."""
+    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1)).cast("long")
+    return reduce(lambda p, q: p.bitwiseOR(q), [F.shiftleft(odd(c), i) for i, c in enumerate(_LETTERS)])
 
-def _apart(x: Column, y: Column) -> Column:
-    """How far two sketches are apart at least, letter by letter and around the circle; an edit takes one letter and puts another at most."""
-    size = 1 << _BITS
-    of = lambda c, i: F.shiftright(c, _BITS * i).bitwiseAND(F.lit(size - 1).cast("long"))
-    off = [F.abs(of(x, i) - of(y, i)) for i in range(len(LETTERS))]
-    return reduce(lambda p, q: p + q, [F.least(d, size - d) for d in off])
 
-
-def _spelled_alike(x: Column, y: Column, most: int) -> Column:
-    """Whether all letters' counts allow so few edits: it spares most pairs the edit distance."""
-    return reduce(lambda p, q: p + q, [F.abs(_occurs(x, c) - _occurs(y, c)) for c in "abcdefghijklmnopqrstuvwxyz"]) <= 2 * most
+def _ids(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2")]
 
 
 def coded(lines: DataFrame, most: int) -> DataFrame:
-    """lines (_line and others) with _n (length), _id (xxhash64), _s (sketch), _i and _p (hashes of segments and probes), without the text."""
+    """lines (_line and others) with _n (length), the id, _i and _p (hashes of segments and probes), without the text."""
     others = [c for c in lines.columns if c != "_line"]
     d = lines.withColumn("_n", F.char_length("_line"))
     line, n = F.col("_line"), F.col("_n")
-    return d.select(*others, "_n", F.xxhash64(line).alias("_id"), _sketch(line).alias("_s"), index_hashes(line, n, most).alias("_i"), probe_hashes(line, n, most).alias("_p"))
+    return d.select(*others, "_n", *_ids(line), index_hashes(line, n, most).alias("_i"), probe_hashes(line, n, most).alias("_p"))
 
 
-def candidates(distinct: DataFrame, most: int) -> DataFrame:
-    """(a, b): ids of distinct coded lines (_id, _n, _s, _i, _p) that share a segment and may be within so many edits, each pair once."""
-    parts = most + 1
-    places = _places(most)
+def entries(distinct: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(_k, id, _n) of the index and (_k, id, _n, _longer) of the probes of distinct coded lines. _longer: the probe is for shorter lines."""
+    parts, places = most + 1, _places(most)
     less, nth = (F.array(*[F.lit(p[k]).cast("long") for p in places]) for k in (0, 1))
 
-    def keyed(hashes: str, length: Column, number: Column, name: str, *more: Column) -> DataFrame:
-        e = distinct.select("_id", "_n", "_s", F.posexplode(hashes).alias("_at", "_h"))
+    def keyed(hashes: str, length: Column, number: Column, *more: Column) -> DataFrame:
+        e = distinct.select(*ID, "_n", F.posexplode(hashes).alias("_at", "_h"))
         # Length and number of the segment stand above its hash in one number.
         key = F.shiftleft(length * parts + number, 32).bitwiseOR(F.col("_h").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        return e.select(key.alias("_k"), F.col("_id").alias(name), F.col("_s").alias(f"_s_{name}"), *more)
+        return e.select(key.alias("_k"), *ID, "_n", *more)
 
     n = F.col("_n").cast("long")
     fewer = F.get(less, F.col("_at"))
-    left = keyed("_i", n, F.col("_at").cast("long"), "a")
-    right = keyed("_p", n - fewer, F.get(nth, F.col("_at")), "b", (fewer > 0).alias("_longer"))
-    once = (F.col("a") != F.col("b")) & (F.col("_longer") | (F.col("a") < F.col("b")))
-    return left.join(right, "_k").where(once & (_apart(F.col("_s_a"), F.col("_s_b")) <= 2 * most)).select("a", "b").distinct()
+    return keyed("_i", n, F.col("_at").cast("long")), keyed("_p", n - fewer, F.get(nth, F.col("_at")), (fewer > 0).alias("_longer"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose lines, by texts (_id, _line), are within so many edits."""
-    x, y = (texts.select(F.col("_id").alias(k), F.col("_line").alias(v)) for k, v in (("a", "_x"), ("b", "_y")))
-    return pairs.join(x, "a").join(y, "b").where(_spelled_alike(F.col("_x"), F.col("_y"), most) & within(F.col("_x"), F.col("_y"), most)).select("a", "b")
+#: Rows up to which a set of keys goes to all executors (16 bytes each); a larger one is joined by shuffling both sides.
+SMALL = 200_000
 
 
-def near_pairs(lines: DataFrame, most: int = EDITS) -> DataFrame:
-    """(a, b): ids (xxhash64) of the lines (_line) within so many edits, each pair once."""
-    distinct = coded(lines.select("_line").distinct(), most)
-    return verified(candidates(distinct, most), lines.select(F.xxhash64("_line").alias("_id"), "_line").distinct(), most)
+def _semi(left: DataFrame, right: DataFrame, on, how: str = "left_semi") -> DataFrame:
+    return left.join(F.broadcast(right) if right.count() <= SMALL else right, on, how)
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """docs (_key, _hash, _text) as (_key, _hash, _pos, _line) for lines of at least so many characters."""
-    split = docs.select("_key", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-    return split.where((F.char_length("_line") >= least) & F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+def _near(a: Column, b: Column, most: int, per: int) -> Column:
+    """Whether two structs (s, line, n) are near: the sketch spares most pairs the distance."""
+    alike = F.bit_count(a["s"].bitwiseXOR(b["s"])) <= 2 * most
+    return alike & (distance(a["line"], b["line"], most) <= allowed(F.least(a["n"], b["n"]), most, per))
 
 
-#: Ids up to which a set goes to all executors (16 bytes each); a larger one is joined by shuffling both sides.
-SMALL = 200_000
+def _joined(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(a, b): structs of the ids of lines that meet under a key, each pair once."""
+    a, b = (F.struct(*[F.col(f"{s}.{c}") for c in ID]) for s in "ip")
+    met = index.alias("i").join(probes.alias("p"), "_k").select(a.alias("a"), b.alias("b"), "_longer")
+    return met.where((F.col("a") != F.col("b")) & (F.col("_longer") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+
+
+def _blocks(side: DataFrame, texts: DataFrame, hot: DataFrame, count: str, name: str, block_bytes: int) -> DataFrame:
+    """(_k, _ib, _pb, name_block, name): blocks of one side's lines under hot keys, as arrays of structs by rising place. hot is small or shuffled; a block is bounded by its bytes."""
+    n = F.greatest(F.lit(1), F.ceil(F.col(count) * (F.col("_n") + 64) / block_bytes)).cast("int")
+    d = side.drop("_n").join(hot, "_k").join(texts, ID)
+    d = d.withColumn("_b", F.pmod(F.xxhash64(F.lit(name), *ID), n).cast("int"))
+    line = F.struct("_first", *ID, F.col("_s").alias("s"), F.col("_line").alias("line"), F.col("_n").alias("n"))
+    return d.groupBy("_k", "_b").agg(F.array_sort(F.collect_set(line)).alias(name))
+
+
+def _hot_near(index: DataFrame, probes: DataFrame, hot: DataFrame, texts: DataFrame, most: int, per: int, block_bytes: int) -> DataFrame:
+    """Ids of the lines under hot keys that are near an earlier one. texts: (id, _line, _n, _s, _first). hot: (_k, _ci, _cp)."""
+    left = written(_blocks(index, texts, hot, "_ci", "I", block_bytes), "index-blocks").withColumnRenamed("_b", "_ib")
+    right = written(_blocks(probes.drop("_longer"), texts, hot, "_cp", "P", block_bytes), "probe-blocks").withColumnRenamed("_b", "_pb")
+    sizes = left.groupBy("_k").agg((F.max("_ib") + 1).alias("_gi")).join(right.groupBy("_k").agg((F.max("_pb") + 1).alias("_gp")), "_k")
+    left, right = left.join(sizes, "_k"), right.join(sizes, "_k").withColumn("_home", F.col("_pb") % F.col("_gi"))
+    earlier = lambda x, y: (x["_first"] < y["_first"]) & _near(x, y, most, per)
+    # Lines of one length probe for each other; only longer probes are left the other way round.
+    by_index = F.filter("P", lambda y: F.exists("I", lambda x: earlier(x, y)))
+    by_probe = F.filter("I", lambda x: F.exists("P", lambda y: (y["n"] > x["n"]) & earlier(y, x)))
+
+    def ids(met: DataFrame, *found: Column) -> DataFrame:
+        lines = met.select(F.explode(F.concat(*found)).alias("l"))
+        return lines.select(*[F.col(f"l.{c}") for c in ID]).distinct()
 
+    def open_(blocks: DataFrame, of: str, *by: str) -> DataFrame:
+        """The blocks without the lines that are near already."""
+        each = blocks.select("_k", *by, F.explode(of).alias("l"), *[F.col(f"l.{c}").alias(c) for c in ID])
+        return _semi(each, first, ID, "left_anti").groupBy("_k", *by).agg(F.array_sort(F.collect_list("l")).alias(of))
 
-def _semi(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    return left.join(F.broadcast(right) if right.count() <= SMALL else right, on, "left_semi")
+    home = left.select("_k", "_ib", "I").join(right.select("_k", F.col("_home").alias("_ib"), "P"), ["_k", "_ib"])
+    first = checkpointed(ids(home, by_index, by_probe))
+    probe_rest = open_(right.where("_gi > 1"), "P", "_gi", "_home")
+    probe_rest = probe_rest.withColumn("_ib", F.explode(F.filter(F.sequence(F.lit(0), F.col("_gi") - 1), lambda b: b != F.col("_home"))))
+    index_rest = open_(left.where("_gi > 1"), "I", "_ib", "_gi", "_gp")
+    index_rest = index_rest.withColumn("_pb", F.explode(F.filter(F.sequence(F.lit(0), F.col("_gp") - 1), lambda b: b % F.col("_gi") != F.col("_ib"))))
+    more = ids(left.select("_k", "_ib", "I").join(probe_rest.select("_k", "_ib", "P"), ["_k", "_ib"]), by_index)
+    other = ids(index_rest.select("_k", "_pb", "I").join(right.select("_k", "_pb", "P"), ["_k", "_pb"]), by_probe)
+    return first.unionByName(more).unionByName(other)
 
 
-def marks(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, exact: int | None = None) -> DataFrame:
-    """(_key, _hash, n_lines, n_exact, n_near, dropped, dropped_chars): for each document with a line that is compared.
+def near_lines(distinct: DataFrame, lines_of, most: int = EDITS, per: int = PER, *, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Ids of the lines to which an earlier one is near.
 
-    Lines of at least ``least`` characters are compared exactly and nearly, those from ``exact`` characters (least if None) up to that only exactly.
-    A line is dropped as exact if it stands elsewhere earlier, by the order of key (null last), hash of the text and place;
-    as near if a line within ``most`` edits of it stands earlier. dropped: the places (from 0) of such lines in the split by
-    line feed, dropped_chars: their characters. The texts are cut once; what is joined later are the coded lines.
+    distinct: coded lines (id, _n, _first, _i, _p), each once. lines_of gives, for a table of (id, _first), their texts as (id, _line).
+    """
+    long = distinct.where(F.col("_n") >= per)
+    index, probes = entries(long, most)
+    counted = index.groupBy("_k").agg(F.count("*").alias("_ci")).where(F.col("_ci") > hot)
+    busy = checkpointed(counted)
+    n_hot = busy.count()
+    small = lambda df: F.broadcast(df) if n_hot <= SMALL else df
+    usual = index.join(small(busy), "_k", "left_anti") if n_hot else index
+    maybe = checkpointed(_joined(usual, probes))
+    asked = maybe.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").distinct()
+    if n_hot:
+        hot_index, hot_probes = (checkpointed(e.join(small(busy), "_k", "left_semi")) for e in (index, probes))
+        keys = small(busy.join(hot_probes.groupBy("_k").agg(F.count("*").alias("_cp")), "_k"))
+        asked = asked.unionByName(hot_index.select(*ID)).unionByName(hot_probes.select(*ID)).distinct()
+    named = checkpointed(_semi(distinct.select(*ID, "_first"), asked, ID))
+    texts = lines_of(named.select(*ID, "_first")).join(named, ID)
+    texts = written(texts.select(*ID, "_first", "_line", F.char_length("_line").alias("_n"), _sketch(F.col("_line")).alias("_s")), "line-texts")
+
+    told = texts.select(F.struct(*ID).alias("_id"), F.struct("_first", F.col("_s").alias("s"), F.col("_line").alias("line"), F.col("_n").alias("n")).alias("_t"))
+    x, y = told.toDF("a", "x"), told.toDF("b", "y")
+    found = maybe.join(x, "a").join(y, "b").where(_near(F.col("x"), F.col("y"), most, per))
+    later = found.select(F.when(F.col("x._first") < F.col("y._first"), F.col("b")).otherwise(F.col("a")).alias("l")).select("l.*").distinct()
+    if not n_hot:
+        return checkpointed(later)
+    return checkpointed(later.unionByName(_hot_near(hot_index, hot_probes, keys, texts, most, per, block_bytes)).distinct())
+
+
+def _blank(line: Column) -> Column:
+    return F.length(F.ltrim(line, F.lit(" \t\n\x0b\x0c\r"))) == 0
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """docs (_key, _hash, _text) as (_key, _hash, _pos, _line) for lines that are not blank."""
+    split = docs.select("_key", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
+    return split.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def marks(docs: DataFrame, *, most: int = EDITS, per: int = PER, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(_key, _hash, _firsts): for each document (_key, _hash, _text) in which a line stands first, those lines as (pos, near).
+
+    Earlier is meant by the order of key (null last), hash of the text and place. All other lines of a document stand earlier
+    elsewhere, so that nothing needs to be joined by line once more. near: an earlier line is near.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.col(key).alias("_key"), F.xxhash64(value).alias("_hash"), value.alias("_text"))
-    lines = written(coded(_lines(slim, least if exact is None else min(exact, least)), most), "lines")
     place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("_pos").alias("pos"))
-    one = lines.groupBy("_id").agg(F.min(place).alias("_first"), *[F.any_value(c).alias(c) for c in ("_n", "_s", "_i", "_p")])
+    all_lines = coded(_lines(docs), most).select(*ID, place.alias("_at"), "_n", "_i", "_p")
+    one = all_lines.groupBy(*ID).agg(F.min("_at").alias("_first"), *[F.any_value(c).alias(c) for c in ("_n", "_i", "_p")])
     distinct = written(one, "distinct")
-    first = distinct.select("_id", "_first")
-
-    maybe = checkpointed(candidates(distinct.where(F.col("_n") >= least), most))
-    named = checkpointed(maybe.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(first, "_id").select("_id", F.col("_first.key").alias("_fk"), F.col("_first.hash").alias("_fh")))
-    homes = named.select(F.col("_fh").alias("_hash")).distinct()
-    # Only documents in which such a line stands first are cut again.
-    near_lines = _lines(_semi(slim, homes, "_hash"), least).select(F.xxhash64("_line").alias("_id"), "_line")
-    texts = checkpointed(_semi(near_lines, named.select("_id"), "_id").dropDuplicates(["_id"]))
-    pairs = checkpointed(verified(maybe, texts, most))
-
-    ends = pairs.join(first.toDF("a", "_fa"), "a").join(first.toDF("b", "_fb"), "b")
-    later = ends.select(F.when(F.col("_fa") < F.col("_fb"), F.col("b")).otherwise(F.col("a")).alias("_id")).distinct().withColumn("_near", F.lit(True))
-    known = first.join(later, "_id", "left")
-    occurs = lines.select("_id", "_n", place.alias("_at"))
-    judged = occurs.join(known, "_id").select("_at", "_n", (F.col("_at") != F.col("_first")).alias("_exact"), F.coalesce("_near", F.lit(False)).alias("_near"))
-    told = F.struct(F.col("_at.pos").alias("pos"), F.col("_n").alias("n"), F.col("_exact").alias("exact"), F.col("_near").alias("near"))
-    # A set, as rows that repeat key and text have the same places.
-    by_doc = judged.groupBy(F.col("_at.key").alias("_key"), F.col("_at.hash").alias("_hash")).agg(F.collect_set(told).alias("_l"))
-    gone = F.filter("_l", lambda x: x["exact"] | x["near"])
-    return by_doc.select(
-        "_key",
-        "_hash",
-        F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_l", lambda x: x["exact"])).cast("long").alias("n_exact"),
-        F.size(F.filter("_l", lambda x: x["near"] & ~x["exact"])).cast("long").alias("n_near"),
-        F.sort_array(F.transform(gone, lambda x: x["pos"])).alias("dropped"),
-        F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("dropped_chars"),
-    )
-
-
-def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, exact: int | None = None) -> DataFrame:
-    """(key, n_lines, n_exact, n_near, dropped, kept_chars) for each row of docs: what dedup_lines() does, without the texts."""
-    found = marks(docs, key=key, text=text, most=most, least=least, exact=exact).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_lines", "n_exact", "n_near", "dropped", "dropped_chars")
+
+    def lines_of(named: DataFrame) -> DataFrame:
+        # Only documents in which such a line stands first are cut again.
+        homes = named.select(F.col("_first.hash").alias("_hash")).distinct()
+        cut = _lines(_semi(docs, homes, "_hash")).select(*_ids(F.col("_line")), "_line")
+        return _semi(cut, named.select(*ID), ID).dropDuplicates(ID)
+
+    later = near_lines(distinct, lines_of, most, per, hot=hot, block_bytes=block_bytes).withColumn("_near", F.lit(True))
+    first = _semi(distinct.select(*ID, "_first"), later, ID, "left")
+    mine = F.struct(F.col("_first.pos").alias("pos"), F.coalesce("_near", F.lit(False)).alias("near"))
+    return first.groupBy(F.col("_first.key").alias("_key"), F.col("_first.hash").alias("_hash")).agg(F.collect_list(mine).alias("_firsts"))
+
+
+def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
     value = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.col(key), F.xxhash64(value).alias("_hash"), F.char_length(value).cast("long").alias("_chars"))
-    d = d.join(found, d[key].eqNullSafe(found["_k"]) & (d["_hash"] == found["_h"]), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    none = F.coalesce("dropped", F.array().cast("array<int>"))
-    # Each dropped line takes a line feed with it, but for the last of a text of which nothing is left.
-    kept = F.greatest(F.col("_chars") - zero("dropped_chars") - F.size(none), F.lit(0)).cast("long")
-    return d.select(key, *[zero(c).alias(c) for c in ("n_lines", "n_exact", "n_near")], none.alias("dropped"), kept.alias("kept_chars"))
+    return docs.select(F.col(key).alias("_key"), F.xxhash64(value).alias("_hash"), value.alias("_text"))
+
+
+def _told(d: DataFrame, found: DataFrame) -> DataFrame:
+    """d (_key, _hash, _lines: places of the lines that are not blank, and others) with n_lines, n_exact, n_near and dropped."""
+    f = found.toDF("_k", "_h", "_firsts")
+    d = d.join(f, d["_key"].eqNullSafe(f["_k"]) & (d["_hash"] == f["_h"]), "left").drop("_k", "_h")
+    none = F.array().cast("array<struct<pos:int,near:boolean>>")
+    d = d.withColumn("_firsts", F.coalesce("_firsts", none))
+    near = F.filter("_firsts", lambda x: x["near"])
+    stays = F.transform(F.filter("_firsts", lambda x: ~x["near"]), lambda x: x["pos"])
+    n = F.size("_lines").cast("long")
+    return d.withColumns({"n_lines": n, "n_exact": n - F.size("_firsts"), "n_near": F.size(near).cast("long"), "dropped": F.sort_array(F.array_except("_lines", stays))})
+
+
+def _places_of(text: Column) -> Column:
+    """Places (from 0) of the lines of a text that are not blank."""
+    rows = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(~_blank(x), i))
+    return F.filter(rows, lambda i: i.isNotNull())
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, least: int = LEAST_CHARS, exact: int | None = None, out: str = "line_dedup") -> DataFrame:
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, per: int = PER) -> DataFrame:
+    """(key, n_lines, n_exact, n_near, dropped, kept_chars) for each row of docs: what dedup_lines() does, without the texts."""
+    slim = _slim(docs, key, text)
+    lengths = F.transform(F.split("_text", "\n", -1), lambda x: F.char_length(x))
+    d = slim.select("_key", "_hash", _places_of(F.col("_text")).alias("_lines"), lengths.alias("_sizes"))
+    d = _told(d, marks(slim, most=most, per=per))
+    left = F.filter("_sizes", lambda x, i: ~F.array_contains("dropped", i))
+    # A line feed stands between lines.
+    kept = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x) + F.greatest(F.size(left) - 1, F.lit(0))
+    return d.select(F.col("_key").alias(key), "n_lines", "n_exact", "n_near", "dropped", kept.cast("long").alias("kept_chars"))
+
+
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, per: int = PER, out: str = "line_dedup") -> DataFrame:
     """docs with a struct column ``out``: n_lines (compared), n_exact, n_near, dropped (places), kept_text.
 
-    kept_text is the text without the dropped lines. Lines shorter than ``exact`` characters (``least`` if None) and blank lines are neither
-    compared nor dropped; those shorter than ``least`` are dropped as exact copies only. Null texts stay null, with no lines; empty texts stay empty. Null keys come last in the order and may repeat. Rows that repeat key and
-    text keep the same lines. A column named as out is replaced, other columns stay. No rows give no rows.
+    A line is dropped as exact if it stands elsewhere earlier, by the order of key (null last), hash of the text and place; as near if an earlier
+    line is within ``most`` edits and within one for each ``per`` characters of the shorter one, whether or not that one stays. dropped: the places
+    (from 0) of such lines in the split by line feed. kept_text is the text without them. Blank lines are neither compared nor dropped, all
+    others are, whatever their length. Null texts stay null, with no lines; empty texts stay empty. Null keys come last in the order and may repeat. Rows that
+    repeat key and text keep the same lines. A column named as out is replaced, other columns stay, whatever their names. No rows give no rows.
     """
-    found = marks(docs, key=key, text=text, most=most, least=least, exact=exact).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_lines", "n_exact", "n_near", "dropped")
-    kept = [c for c in docs.columns if c != out]
-    d = docs.select(*kept, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
-    d = d.join(found, d[key].eqNullSafe(found["_k"]) & (d["_hash"] == found["_h"]), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    none = F.array().cast("array<int>")
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("dropped", none), i)), "\n")
-    text_left = F.when(zero(F.size("dropped")) > 0, rest).otherwise(F.col(text))
-    made = F.struct(*[zero(F.col(c)).alias(c) for c in ("n_lines", "n_exact", "n_near")], F.coalesce("dropped", none).alias("dropped"), text_left.alias("kept_text"))
-    return d.select(*kept, made.alias(out))
+    slim = _slim(docs, key, text)
+    value = F.coalesce(F.col(text), F.lit(""))
+    d = packed(docs, _key=F.col(key), _hash=F.xxhash64(value), _text=F.col(text), _lines=_places_of(value))
+    d = _told(d, marks(slim, most=most, per=per))
+    rest = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    text_left = F.when(F.size("dropped") > 0, rest).otherwise(F.col("_text"))
+    made = F.struct("n_lines", "n_exact", "n_near", "dropped", text_left.alias("kept_text"))
+    return unpacked(d, docs.columns, out, made)

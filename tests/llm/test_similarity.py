@@ -45,32 +45,101 @@ def test_banded_distance(spark, most):
     assert all(r.w == (distance(r.a, r.b) <= most) for r in got)
 
 
-@pytest.mark.parametrize("most", [1, 2])
-def test_segment_join_finds_all_pairs(spark, most):
+def judged(rows, most=2, per=12):
+    """By brute force: for each (key, text) the places of its lines that stand earlier elsewhere, exactly or nearly."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    first, later = {}, {}
+    for k, t in order:
+        for i, x in enumerate((t or "").split("\n")):
+            if x.strip(" \t\x0b\x0c\r"):
+                first.setdefault(x, (k, i))
+    seen = []
+    for x in first:  # in the order in which they stand first
+        later[x] = any(abs(len(x) - len(y)) <= most and distance(x, y) <= min(most, min(len(x), len(y)) // per) for y in seen)
+        seen.append(x)
+    out = {}
+    for k, t in rows:
+        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")]
+        exact = [i for i, x in lines if first[x] != (k, i)]
+        near = [i for i, x in lines if first[x] == (k, i) and later[x]]
+        gone = sorted(exact + near)
+        kept = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone)
+        out[k] = (len(lines), len(exact), len(near), gone, len(kept))
+    return out
+
+
+def in_documents(lines_, rnd, n=9):
+    rnd.shuffle(lines_)
+    return [(k, "\n".join(lines_[at : at + n])) for k, at in enumerate(range(0, len(lines_), n))]
+
+
+@pytest.mark.parametrize(("most", "hot", "block"), [(1, 32, 1 << 18), (2, 32, 1 << 18), (2, 3, 1 << 18), (2, 2, 600)])
+def test_near_lines_are_those_of_brute_force(spark, most, hot, block):
     rnd = random.Random(most)
-    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(24, 40))) for _ in range(40)]
-    made = sorted({*base, *(edited(rnd, a, rnd.randint(1, 3), "abcdef") for a in base for _ in range(4))})
-    d = spark.createDataFrame([(x,) for x in made], "_line string")
-    name = {r.i: r._line for r in d.select(F.xxhash64("_line").alias("i"), "_line").collect()}
-    got = {frozenset((name[r.a], name[r.b])) for r in lines.near_pairs(d, most).collect()}
-    want = {frozenset((a, b)) for i, a in enumerate(made) for b in made[:i] if abs(len(a) - len(b)) <= most and distance(a, b) <= most}
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(8, 40))) for _ in range(40)]
+    made = [*base, *(edited(rnd, a, rnd.randint(1, 3), "abcdef") for a in base for _ in range(4)), "", " \t"]
+    made += [f"row {rnd.randint(0, 4000):06d} of the table{'s' * rnd.randint(0, 2)} has been loaded" for _ in range(60)]
+    rows = in_documents(made, rnd)
+    d = spark.createDataFrame(rows, "_key long, _text string").withColumn("_hash", F.xxhash64("_text"))
+    found = lines.marks(d, most=most, hot=hot, block_bytes=block).select("_key", F.posexplode("_firsts").alias("_", "f")).where("f.near").select("_key", "f.pos")
+    got = {(r[0], r[1]) for r in found.collect()}
+    want = {(k, i) for k, i in near_places(rows, most)}
     assert got == want and got
 
 
+def near_places(rows, most):
+    told = judged(rows, most)
+    seen, out = set(), []
+    for k, t in rows:
+        for i, x in enumerate(t.split("\n")):
+            if x not in seen and i in told[k][3]:
+                out.append((k, i))
+            seen.add(x)
+    return out
+
+
+def test_template_lines_make_rows_in_proportion(spark):
+    """1,200 numbered lines of one template: all under a few hot keys, a row for each pair of blocks."""
+    rows = [(i, f"row {i:06d} of the table has been loaded into the warehouse today") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    c = lines.coded(df.select(F.col("text").alias("_line")).distinct(), 2)
+    index, probes = lines.entries(c, 2)
+    usual = index.join(index.groupBy("_k").count().where(f"count > {lines.HOT}"), "_k", "left_anti")
+    assert lines._joined(usual, probes).count() < 3 * len(rows)
+    want = judged(rows)
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, list(r.dropped), r.kept_chars) for r in lines.report(df).collect()}
+    assert got == want
+
+
+def test_op8_is_brute_force(spark, tmp_path):
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(1, 60))) for _ in range(50)]
+    made = [*base, *rnd.choices(base, k=40), *(edited(rnd, a, rnd.randint(0, 3), "abcdef ") for a in base for _ in range(2)), *[""] * 6, *["All rights reserved."] * 5]
+    rows = [*in_documents(made, rnd), (900, None), (901, ""), (902, " \n\t"), (903, "é" * 30 + "\n" + "é" * 29 + "e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, list(r.dropped), r.kept_chars) for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == judged(rows)
+
+
 def test_line_dedup_of_documents(spark):
     long = "This is a line that is long enough to be compared."
     near = "This is a line that is long enough to be comparedx."
-    rows = [(2, f"{long}\nshort\n\nown line of document two, also long"), (1, f"{long}\nshort"), (3, near), (4, None), (5, ""), (None, long), (6, "short"), (6, "short"), (7, "one line here that is long enough\n" * 3)]
-    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, line_dedup string")
-    got = [(r.doc_id, r.line_dedup.kept_text, r.line_dedup.n_exact, r.line_dedup.n_near, list(r.line_dedup.dropped)) for r in lines.dedup_lines(df).collect()]
+    rows = [(2, f"{long}\nshort\n\nown line of document two, also long"), (1, f"{long}\nshort"), (3, near), (4, None), (5, ""), (None, long), (6, "shirt"), (6, "shirt"), (7, "one line here that is long enough\n" * 3)]
+    extra = ["_hash", "_key", "_lines", "_firsts", "_row", "n_lines", "n_exact", "n_near", "dropped", "line_dedup", "_text", "kept_text"]
+    df = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string").withColumns({c: F.lit(c) for c in extra})
+    done = lines.dedup_lines(df)
+    assert set(done.columns) == set(df.columns)
+    whole = done.collect()
+    assert all(r[c] == c for r in whole for c in extra if c != "line_dedup")
+    got = [(r.doc_id, r.line_dedup.kept_text, r.line_dedup.n_exact, r.line_dedup.n_near, list(r.line_dedup.dropped)) for r in whole]
     by = {}
     for r in got:
         by.setdefault(r[0], []).append(r[1:])
     assert len(got) == len(rows)
     assert by[1] == [(f"{long}\nshort", 0, 0, [])]
-    assert by[2] == [("short\n\nown line of document two, also long", 1, 0, [0])]
+    assert by[2] == [("\nown line of document two, also long", 2, 0, [0, 1])]
     assert by[3] == [("", 0, 1, [0])] and by[None] == [("", 1, 0, [0])]
-    assert by[4] == [(None, 0, 0, [])] and by[5] == [("", 0, 0, [])] and by[6] == [("short", 0, 0, [])] * 2
+    assert by[4] == [(None, 0, 0, [])] and by[5] == [("", 0, 0, [])] and by[6] == [("shirt", 0, 0, [])] * 2
     assert by[7] == [("one line here that is long enough\n", 2, 0, [1, 2])]
     told = {r.doc_id: (r.n_lines, r.dropped, r.kept_chars) for r in lines.report(df).collect() if r.doc_id != 6}
     for k, v in told.items():
@@ -78,21 +147,21 @@ def test_line_dedup_of_documents(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_exact_copies_of_short_lines_are_found(spark, tmp_path):
+def test_short_lines_are_near_by_the_same_measure(spark, tmp_path):
     short, other = "All rights reserved.", "All rights reserved?"  # 20 characters, one edit apart
-    rows = [(1, f"{short}\nx\n\n \nfirst document"), (2, f"{other}\nx\n\n \n{short}"), (3, short), (None, "x\nx"), (4, "é\né")]
+    rows = [(1, f"{short}\nx\n\n \nfirst document"), (2, f"{other}\nx\n\n \n{short}"), (3, short), (None, "x\ny"), (4, "é\né")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, list(r.dropped), r.kept_chars) for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {
         1: (3, 0, 0, [], 40),
-        2: (3, 2, 0, [1, 4], 23),
+        2: (3, 2, 1, [0, 1, 4], 2),
         3: (1, 1, 0, [0], 0),
-        None: (2, 2, 0, [0, 1], 0),
+        None: (2, 1, 0, [0], 1),  # "y" is one edit from "x", but too short for one
         4: (2, 1, 0, [1], 1),
     }
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("n_chars", F.char_length("text").cast("long"))
     left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
-    assert left == {1: (rows[0][1], 40), 2: (f"{other}\n\n ", 23), 4: ("é", 1)}
+    assert left == {1: (rows[0][1], 40), None: ("y", 1), 4: ("é", 1)}
 
 
 def shingles(t, n=5):
