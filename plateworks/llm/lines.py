@@ -30,9 +30,11 @@ EDITS, PER = 2, 12
 #: Lines under one key of the index up to which they are joined row by row.
 HOT = 32
 #: Bytes of lines in a block of a hot key, on average.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 16
 #: Two 64-bit hashes tell lines apart.
 ID = ["_h1", "_h2"]
+#: Characters of a chunk that is compared as a whole.
+CHUNK = 12
 _LETTERS = "etaoinshrdlucmfwygpbvk0123456789"
 
 
@@ -115,6 +117,40 @@ def _sketch(line: Column) -> Column:
     return reduce(lambda p, q: p.bitwiseOR(q), [F.shiftleft(odd(c), i) for i, c in enumerate(_LETTERS)])
 
 
+def _pair_sketch(line: Column) -> Column:
+    """The same for pairs of neighbouring characters, by 64 hashes of them: an edit takes two pairs and makes two at most."""
+    one = F.array(F.struct(F.split(line, "").alias("c"), F.char_length(line).alias("n")))
+
+    def odd(s: Column) -> Column:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(F.get(s["c"], i - 1), F.get(s["c"], i)).bitwiseAND(F.lit(63)))
+        return F.aggregate(F.sequence(F.lit(1), s["n"] - 1), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(bit(i)))
+
+    return F.when(F.char_length(line) > 1, F.get(F.transform(one, odd), F.lit(0))).otherwise(F.lit(0).cast("long"))
+
+
+def _chunks(line: Column, most: int) -> Column:
+    """Hashes of the line's chunks of CHUNK characters, as they are and moved by up to ``most`` characters either way: the first array is unmoved."""
+    one = F.array(F.struct(F.split(line, "").alias("c"), F.char_length(line).alias("n")))
+
+    def each(s: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor(s["n"] / CHUNK).cast("int"))
+        moved = lambda j: F.transform(at, lambda k: F.when(k * CHUNK + j >= 0, F.hash(F.slice(s["c"], F.greatest(k * CHUNK + j, F.lit(0)) + 1, CHUNK))))
+        return F.array(*[moved(j) for j in _moves(most)])
+
+    return F.get(F.transform(one, each), F.lit(0))
+
+
+def _moves(most: int) -> list[int]:
+    return sorted(range(-most, most + 1), key=lambda j: (abs(j), j))
+
+
+def _chunks_alike(a: Column, b: Column, most: int) -> Column:
+    """Whether all but ``most`` chunks of a stand in b, moved by so many characters at most: each edit spoils one, and moves the others by one."""
+    whole = F.slice(a["w"][0], 1, F.size(a["w"][0]) - 1)
+    there = lambda h, k: reduce(lambda p, q: p | q, [F.coalesce(F.get(b["w"][i], k) == h, F.lit(False)) for i in range(2 * most + 1)])
+    return F.size(F.filter(whole, lambda h, k: ~there(h, k))) <= most
+
+
 def _ids(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2")]
 
@@ -152,8 +188,9 @@ def _semi(left: DataFrame, right: DataFrame, on, how: str = "left_semi") -> Data
 
 
 def _near(a: Column, b: Column, most: int, per: int) -> Column:
-    """Whether two structs (s, line, n) are near: the sketch spares most pairs the distance."""
-    alike = F.bit_count(a["s"].bitwiseXOR(b["s"])) <= 2 * most
+    """Whether two structs (s, g, w, line, n) are near: letters, pairs of letters and chunks spare most pairs the distance."""
+    odd = lambda c, bits: F.bit_count(a[c].bitwiseXOR(b[c])) <= bits * most
+    alike = odd("s", 2) & odd("g", 4) & _chunks_alike(a, b, most)
     return alike & (distance(a["line"], b["line"], most) <= allowed(F.least(a["n"], b["n"]), most, per))
 
 
@@ -169,12 +206,12 @@ def _blocks(side: DataFrame, texts: DataFrame, hot: DataFrame, count: str, name:
     n = F.greatest(F.lit(1), F.ceil(F.col(count) * (F.col("_n") + 64) / block_bytes)).cast("int")
     d = side.drop("_n").join(hot, "_k").join(texts, ID)
     d = d.withColumn("_b", F.pmod(F.xxhash64(F.lit(name), *ID), n).cast("int"))
-    line = F.struct("_first", *ID, F.col("_s").alias("s"), F.col("_line").alias("line"), F.col("_n").alias("n"))
+    line = F.struct("_first", *ID, F.col("_s").alias("s"), F.col("_g").alias("g"), F.col("_w").alias("w"), F.col("_line").alias("line"), F.col("_n").alias("n"))
     return d.groupBy("_k", "_b").agg(F.array_sort(F.collect_set(line)).alias(name))
 
 
 def _hot_near(index: DataFrame, probes: DataFrame, hot: DataFrame, texts: DataFrame, most: int, per: int, block_bytes: int) -> DataFrame:
-    """Ids of the lines under hot keys that are near an earlier one. texts: (id, _line, _n, _s, _first). hot: (_k, _ci, _cp)."""
+    """Ids of the lines under hot keys that are near an earlier one. texts: (id, _line, _n, _s, _g, _w, _first). hot: (_k, _ci, _cp)."""
     left = written(_blocks(index, texts, hot, "_ci", "I", block_bytes), "index-blocks").withColumnRenamed("_b", "_ib")
     right = written(_blocks(probes.drop("_longer"), texts, hot, "_cp", "P", block_bytes), "probe-blocks").withColumnRenamed("_b", "_pb")
     sizes = left.groupBy("_k").agg((F.max("_ib") + 1).alias("_gi")).join(right.groupBy("_k").agg((F.max("_pb") + 1).alias("_gp")), "_k")
@@ -184,8 +221,11 @@ def _hot_near(index: DataFrame, probes: DataFrame, hot: DataFrame, texts: DataFr
     by_index = F.filter("P", lambda y: F.exists("I", lambda x: earlier(x, y)))
     by_probe = F.filter("I", lambda x: F.exists("P", lambda y: (y["n"] > x["n"]) & earlier(y, x)))
 
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def ids(met: DataFrame, *found: Column) -> DataFrame:
-        lines = met.select(F.explode(F.concat(*found)).alias("l"))
+        # A number of partitions, as few bytes mean much work here: adaptive execution would put them together.
+        lines = met.repartition(parts, "_k", "_ib", "_pb").select(F.explode(F.concat(*found)).alias("l"))
         return lines.select(*[F.col(f"l.{c}") for c in ID]).distinct()
 
     def open_(blocks: DataFrame, of: str, *by: str) -> DataFrame:
@@ -193,14 +233,14 @@ def _hot_near(index: DataFrame, probes: DataFrame, hot: DataFrame, texts: DataFr
         each = blocks.select("_k", *by, F.explode(of).alias("l"), *[F.col(f"l.{c}").alias(c) for c in ID])
         return _semi(each, first, ID, "left_anti").groupBy("_k", *by).agg(F.array_sort(F.collect_list("l")).alias(of))
 
-    home = left.select("_k", "_ib", "I").join(right.select("_k", F.col("_home").alias("_ib"), "P"), ["_k", "_ib"])
+    home = left.select("_k", "_ib", "I").join(right.select("_k", F.col("_home").alias("_ib"), "_pb", "P"), ["_k", "_ib"])
     first = checkpointed(ids(home, by_index, by_probe))
-    probe_rest = open_(right.where("_gi > 1"), "P", "_gi", "_home")
+    probe_rest = open_(right.where("_gi > 1"), "P", "_gi", "_home", "_pb")
     probe_rest = probe_rest.withColumn("_ib", F.explode(F.filter(F.sequence(F.lit(0), F.col("_gi") - 1), lambda b: b != F.col("_home"))))
     index_rest = open_(left.where("_gi > 1"), "I", "_ib", "_gi", "_gp")
     index_rest = index_rest.withColumn("_pb", F.explode(F.filter(F.sequence(F.lit(0), F.col("_gp") - 1), lambda b: b % F.col("_gi") != F.col("_ib"))))
-    more = ids(left.select("_k", "_ib", "I").join(probe_rest.select("_k", "_ib", "P"), ["_k", "_ib"]), by_index)
-    other = ids(index_rest.select("_k", "_pb", "I").join(right.select("_k", "_pb", "P"), ["_k", "_pb"]), by_probe)
+    more = ids(left.select("_k", "_ib", "I").join(probe_rest.select("_k", "_ib", "_pb", "P"), ["_k", "_ib"]), by_index)
+    other = ids(index_rest.select("_k", "_ib", "_pb", "I").join(right.select("_k", "_pb", "P"), ["_k", "_pb"]), by_probe)
     return first.unionByName(more).unionByName(other)
 
 
@@ -224,9 +264,9 @@ def near_lines(distinct: DataFrame, lines_of, most: int = EDITS, per: int = PER,
         asked = asked.unionByName(hot_index.select(*ID)).unionByName(hot_probes.select(*ID)).distinct()
     named = checkpointed(_semi(distinct.select(*ID, "_first"), asked, ID))
     texts = lines_of(named.select(*ID, "_first")).join(named, ID)
-    texts = written(texts.select(*ID, "_first", "_line", F.char_length("_line").alias("_n"), _sketch(F.col("_line")).alias("_s")), "line-texts")
+    texts = written(texts.select(*ID, "_first", "_line", F.char_length("_line").alias("_n"), _sketch(F.col("_line")).alias("_s"), _pair_sketch(F.col("_line")).alias("_g"), _chunks(F.col("_line"), most).alias("_w")), "line-texts")
 
-    told = texts.select(F.struct(*ID).alias("_id"), F.struct("_first", F.col("_s").alias("s"), F.col("_line").alias("line"), F.col("_n").alias("n")).alias("_t"))
+    told = texts.select(F.struct(*ID).alias("_id"), F.struct("_first", F.col("_s").alias("s"), F.col("_g").alias("g"), F.col("_w").alias("w"), F.col("_line").alias("line"), F.col("_n").alias("n")).alias("_t"))
     x, y = told.toDF("a", "x"), told.toDF("b", "y")
     found = maybe.join(x, "a").join(y, "b").where(_near(F.col("x"), F.col("y"), most, per))
     later = found.select(F.when(F.col("x._first") < F.col("y._first"), F.col("b")).otherwise(F.col("a")).alias("l")).select("l.*").distinct()
