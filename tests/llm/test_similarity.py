@@ -253,7 +253,7 @@ def test_nearest_neighbours_recall(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9001, [0.0] * 32), (9002, [float("nan")] * 32), (9003, [1.0, 2.0]), (None, [1.0] * 32), (9004, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), block=400, group=10).collect():
+    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), block=400).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     w = v.astype(np.float64)
     norm = np.linalg.norm(w, axis=1)
@@ -271,3 +271,30 @@ def test_nearest_neighbours_recall(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (0, 50, 9003)")
     assert {(r.query_id, r.vec_id) for r in neighbours.search(few, few).collect()} == {(0, 50), (50, 0)}
+
+
+@pytest.mark.parametrize(("n", "most"), [(2000, 0.15), (20_000, 0.06)])
+def test_few_vectors_are_verified(n, most):
+    """Neighbours are found by their collisions: of random vectors, the hardest case, few are verified."""
+    v = np.random.default_rng(n).standard_normal((n, 64))
+    block = neighbours.Block(np.arange(n), v, 7)
+    norm = np.linalg.norm(v, axis=1)
+    hit, queries_ = 0, range(0, n, n // 20)
+    for q in queries_:
+        cos = v @ v[q] / (norm * norm[q])
+        cos[q] = -2
+        hit += len(set(next(block.nearest([q], v[q : q + 1], 5))[0].tolist()) & set(np.argsort(-cos)[:5].tolist()))
+    assert hit / (5 * len(queries_)) >= 0.9
+    assert block.verified / (n * len(queries_)) < most
+
+
+def test_repeated_query_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    twice = spark.createDataFrame([*rows, rows[50]], "vec_id long, embedding array<double>")
+    one = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = lambda df: sorted(tuple(r) for r in neighbours.search(df, df.where("vec_id % 50 = 0")).collect() if r.query_id == 50)
+    assert ask(twice) == ask(one) and len(ask(one)) == 5
+    other = spark.createDataFrame([*rows, (50, rows[7][1])], "vec_id long, embedding array<double>")
+    got = ask(other)
+    assert len(got) == 10 and {r[2] for r in got if r[1] == 1} >= {7} and all(r[2] != 50 for r in got)
