@@ -9,8 +9,11 @@ one pass over the texts and one shuffle of (path, set).
 
 Buckets with one set go. In the others, cut into blocks where they are large, all minhashes are compared, and a spanning forest of what
 looks similar is kept: a row for a set and bucket, never a row for a pair. Its components are candidate groups, within which,
-again in blocks, all n-grams are compared exactly. A task holds two blocks. Results are a set's links, counted, and a
-spanning forest of the links, whose components are the classes.
+again in blocks, all n-grams are compared exactly. Likenesses can chain, so a group of over LARGE sets (templated pages that each look like the next)
+is not compared whole but bucket by bucket; a pair counts in the least bucket that both are in. A task holds two blocks. Results are a set's
+links, counted, and a spanning forest of the links, whose components are the classes.
+
+Sets have names of 128 bits. What is sent for the exact comparison is one text for each set, which is smaller than its n-gram hashes.
 """
 
 from __future__ import annotations
@@ -27,12 +30,15 @@ from pyspark.sql import types as T
 
 from plateworks.llm import bpe
 from plateworks.llm.components import components
+from plateworks.llm.names import packed
 from plateworks.llm.store import checkpointed, written
 
 N, LEAST, RECALL = 5, 0.8, 0.999
 COORDINATES, DEPTH = 64, 3
 #: Sets in a block of a large bucket or candidate group, on average.
 BLOCK = 400
+#: Sets in a candidate group up to which it is compared whole, each text being sent once for each of its at most 16 blocks.
+LARGE = 16 * BLOCK
 
 _U = np.uint64
 _RNG = np.random.default_rng(20_011)
@@ -108,20 +114,19 @@ def embedded(docs: DataFrame, *, n: int, least: float) -> DataFrame:
     """docs (_key, _text, _hash) as (_key, _hash, _set, _n, _sig, _paths). _set is null where there are no words."""
     repeats = runs(least)
     key = docs.schema["_key"]
-    schema = T.StructType([key, T.StructField("_hash", T.LongType()), T.StructField("_set", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_sig", T.BinaryType()), T.StructField("_paths", T.ArrayType(T.LongType()))])
+    schema = T.StructType([key, T.StructField("_hash", T.LongType()), T.StructField("_set", T.BinaryType()), T.StructField("_n", T.LongType()), T.StructField("_sig", T.BinaryType()), T.StructField("_paths", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in bpe.small_batches(batches, "_text"):
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
                 sets = [ngrams(t, n) for t in batch.column("_text").to_pylist()]
-                names = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in sets]
-                signed = [None if x is None else x - (1 << 64) if x >> 63 else x for x in names]
+                names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 sigs = np.array([minhashes(s) for s in sets], np.uint32).reshape(-1, COORDINATES)
                 full = np.flatnonzero([len(s) > 0 for s in sets])
                 owner, node = paths(sigs[full], repeats, least=least)
                 short = (sigs & np.uint32(0xFFFF)).astype(np.uint16)
-                arrays = [batch.column("_key"), batch.column("_hash"), pa.array(signed, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in short], pa.binary())]
+                arrays = [batch.column("_key"), batch.column("_hash"), pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in short], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*arrays, _lists(full[owner] if len(full) else owner, node, len(sets))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -199,18 +204,22 @@ def _looking_alike(rows: DataFrame, least: float) -> DataFrame:
             root = forest(len(sets), linked())
             child = np.flatnonzero(root != np.arange(len(root)))
             if len(child):
-                yield pa.RecordBatch.from_arrays([pa.array(sets[child]), pa.array(sets[root[child]])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets[child], pa.binary()), pa.array(sets[root[child]], pa.binary())], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u binary, v binary")
 
-    return rows.mapInArrow(run, "u long, v long")
 
+def _exactly(rows: DataFrame, by: str, n: int, least: float) -> DataFrame:
+    """(_set, _root, _links) for each block pair of a candidate group, named by ``by``: links (documents) found there and the root of a spanning forest.
 
-def _exactly(rows: DataFrame, n: int, least: float) -> DataFrame:
-    """(_set, _root, _links) for each block pair of a candidate group: links (documents) found there and the root of a spanning forest."""
+    If by is a bucket, a link counts in the least bucket of those (_paths) that both sets are in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, a, b), parts in groups(batches, ["_root", "_a", "_b"]):
+        for (here, a, b), parts in groups(batches, [by, "_a", "_b"]):
             t = pa.Table.from_batches(parts)
-            sets, first = np.unique(t.column("_set").to_numpy(), return_index=True)  # rows that repeat a key and text come once
+            sets, first = np.unique(t.column("_set").to_numpy(), return_index=True)
+            buckets = [set(x) for x in t.column("_paths").take(pa.array(first)).to_pylist()] if by == "_path" else None
             sides, copies = (t.column(c).to_numpy()[first] for c in ("_side", "_copies"))
             texts = t.column("_text")
             grams = [ngrams(texts[int(i)].as_py(), n) for i in first]
@@ -230,14 +239,18 @@ def _exactly(rows: DataFrame, n: int, least: float) -> DataFrame:
                         continue
                     both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1, dtype=np.int64)
                     j = j[both >= least * (sizes[j] + sizes[i] - both) - 1e-9]
+                    if buckets is not None:
+                        j = np.array([x for x in j.tolist() if min(buckets[x] & buckets[i]) == here], np.int64)
+                        if not len(j):
+                            continue
                     links[i] += copies[j].sum()
                     links[j] += copies[i]
                     yield i, j
 
             root = forest(len(sets), linked())
-            yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(sets[root]), pa.array(links)], names=["_set", "_root", "_links"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(sets[root], pa.binary()), pa.array(links)], names=["_set", "_root", "_links"])
 
-    return rows.mapInArrow(run, "_set long, _root long, _links long")
+    return rows.mapInArrow(run, "_set binary, _root binary, _links long")
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N, least: float = LEAST) -> DataFrame:
@@ -265,8 +278,16 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N
     size = candidates.groupBy("_root").agg(F.count("*").alias("_size"))
     asked = candidates.join(size, "_root").join(sets, "_set").select("_set", "_root", "_size", "_copies", F.col("_least.key").alias("_key"), F.col("_least.hash").alias("_hash"))
     same = F.col("d._key").eqNullSafe(F.col("a._key")) & (F.col("d._hash") == F.col("a._hash"))
-    texts = slim.alias("d").join(asked.alias("a"), same).select("_set", "_root", "_size", "_copies", "_text")
-    found = written(_exactly(blocked(texts, "_root", "_size"), n, least), "links")
+    # Rows that repeat key and text are one.
+    texts = slim.alias("d").join(asked.alias("a"), same).select("_set", "_root", "_size", "_copies", "_text").dropDuplicates(["_set"])
+    whole = F.col("_size") <= LARGE
+    found = _exactly(blocked(texts.where(whole), "_root", "_size"), "_root", n, least)
+    if not size.where(~whole).isEmpty():
+        large = written(texts.where(~whole).select("_set", "_copies", "_text"), "large-groups")
+        mine = written(leaves.join(busy, "_path").join(large.select("_set"), "_set", "left_semi"), "large-buckets")
+        both = mine.join(mine.groupBy("_set").agg(F.collect_set("_path").alias("_paths")), "_set").join(large, "_set")
+        found = found.unionByName(_exactly(blocked(both, "_path", "_size"), "_path", n, least))
+    found = written(found, "links")
 
     roots = components(found.select(F.col("_set").alias("u"), F.col("_root").alias("v"))).withColumnRenamed("v", "_set").withColumnRenamed("root", "_class")
     links = found.groupBy("_set").agg(F.sum("_links").alias("_links"))
@@ -286,8 +307,10 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N
 
 
 def distinct_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N, least: float = LEAST) -> DataFrame:
-    """One document of each class, with all columns of docs; of rows that repeat key and text, one. Blank documents stay."""
-    marks = join(docs, key=key, text=text, n=n, least=least).where("is_kept").select(F.col(key).alias("_k"), F.col("_hash").alias("_h")).distinct()
-    d = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    d = d.dropDuplicates([key, "_hash"])
-    return d.join(marks, d[key].eqNullSafe(marks["_k"]) & (d["_hash"] == marks["_h"]), "left_semi").drop("_hash")
+    """One document of each class, with all columns of docs, whatever their names; of rows that repeat key and text, one. Blank documents stay."""
+    marks = join(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), key="_k", text="_t", n=n, least=least)
+    marks = marks.where("is_kept").select(F.col("_k").alias("_k2"), F.col("_hash").alias("_h2")).distinct()
+    d = packed(docs, _k=F.col(key), _h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    # Kept first, so that only what stays is sent to be told apart.
+    d = d.join(marks, d["_k"].eqNullSafe(marks["_k2"]) & (d["_h"] == marks["_h2"]), "left_semi").dropDuplicates(["_k", "_h"])
+    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

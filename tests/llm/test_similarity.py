@@ -205,8 +205,10 @@ def near_copies(seed=5):
     return rows
 
 
-def test_jaccard_join_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 7)  # many blocks
+@pytest.mark.parametrize("large", [jaccard.LARGE, 6])
+def test_jaccard_join_is_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard.blocked, "__defaults__", (7,))  # many blocks
+    monkeypatch.setattr(jaccard, "LARGE", large)
     rows = [*near_copies(), (1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "one")]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == classes(rows)
@@ -216,10 +218,12 @@ def test_jaccard_repeated_rows_and_null_keys(spark):
     t = "a b c d e f g h"
     rows = [(3, t, 1), (3, t, 2), (None, t, 3), (None, "else where no one else is", 4), (4, None, 5), (4, None, 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id long")
+    df = df.withColumns({c: F.lit(c) for c in ("_hash", "_k", "_h", "_row", "_key", "_set", "is_kept", "n_links")})
     got = jaccard.join(df).collect()
     assert len(got) == len(rows)
     assert {(r.doc_id, r.class_id, r.n_links, r.is_kept) for r in got} == {(3, 3, 2, True), (None, 3, 2, False), (None, None, 0, True), (4, 4, 0, True)}
     kept = jaccard.distinct_documents(df).collect()
+    assert all(r._hash == "_hash" and r._row == "_row" and r.is_kept == "is_kept" for r in kept)
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "else where no one else is"), (3, t), (4, "")]
     assert jaccard.join(df.limit(0)).count() == 0
 
@@ -298,3 +302,13 @@ def test_repeated_query_rows(spark):
     other = spark.createDataFrame([*rows, (50, rows[7][1])], "vec_id long, embedding array<double>")
     got = ask(other)
     assert len(got) == 10 and {r[2] for r in got if r[1] == 1} >= {7} and all(r[2] != 50 for r in got)
+
+
+def test_a_chain_of_lookalikes_is_no_class(spark, monkeypatch):
+    """60 documents, each at 0.73 to the next: they look alike, but none is linked, also where their group counts as large."""
+    words = [f"w{i}" for i in range(100 + 59 * 15)]
+    rows = [(i, " ".join(words[15 * i : 15 * i + 100])) for i in range(60)]
+    for large in (jaccard.LARGE, 10):
+        monkeypatch.setattr(jaccard, "LARGE", large)
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.class_id, r.n_links, r.is_kept) for r in got} == {(i, i, 0, True) for i, _ in rows}
