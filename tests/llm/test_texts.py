@@ -35,27 +35,43 @@ def test_queries_with_sql(spark, duck, name):
     assert got == sorted([text(x[list(r.columns).index(c)]) for c in cols] for x in r.fetchall())
 
 
-def phrases(codes, train):
-    """Phrases of the greedy parse of one text by substring search, with a cut every SEGMENT characters."""
-    n = 0
-    for at in range(0, len(codes), langid.SEGMENT):
-        part, i = codes[at : at + langid.SEGMENT], 0
-        while i < len(part):
-            k = 1
-            while i + k < len(part) and part[i : i + k + 1] in train:
-                k += 1
-            i, n = i + k, n + 1
+def phrases(text, train):
+    """Phrases of the greedy parse of one whole text by substring search."""
+    i = n = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in train:
+            k += 1
+        i, n = i + k, n + 1
     return n
 
 
-def test_phrases_are_the_longest_matches():
+@pytest.mark.parametrize(("segment", "dense"), [(256, 1 << 30), (256, 0), (7, 1 << 30), (7, 0)])
+def test_phrases_are_the_longest_matches(monkeypatch, segment, dense):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "DENSE_BYTES", dense)
     rnd = random.Random(1)
-    made = ["".join(rnd.choice("abcd e") for _ in range(400)) for _ in range(2)]
-    m = langid.Model({"x": [made[0]], "y": [made[1]]})
-    tests = ["".join(rnd.choice("abcd ef") for _ in range(n)) for n in (1, 5, 255, 256, 257, 700)]
+    made = ["".join(rnd.choice(letters) for _ in range(400)) for letters in ("abcd e", "abcd е", "中文字符一二三四五六七八九十 ")] + ["a" * 50 + " ab" * 9]
+    m = langid.Model({f"l{i}": [s] for i, s in enumerate(made)})
+    tests = ["".join(rnd.choice("abcd efеж中文字符一二") for _ in range(n)) for n in (1, 5, 255, 256, 257, 700, 3000)]
+    tests += ["a" * 3000, "ab " * 700, made[0] * 3, made[2][50:350], "", "zzz" * 200]
     clean = [langid.folded(t) for t in tests]
-    want = [[phrases(bytes(m.codes(t)), bytes(m.codes(langid.folded(s)))) for s in made] for t in clean]
-    assert m.phrases(clean).tolist() == want
+    assert m.phrases(clean).tolist() == [[phrases(t, langid.folded(s)) for s in made] for t in clean]
+
+
+def test_many_letters_keep_languages_apart():
+    """Scripts of thousands of letters beside each other: no letter is folded into another."""
+    rnd = random.Random(2)
+    scripts = {"han": range(0x4E00, 0x5E00), "hangul": range(0xAC00, 0xBC00), "cyrillic": range(0x430, 0x44F), "greek": range(0x3B1, 0x3C9)}
+    words = {k: ["".join(chr(rnd.choice(v)) for _ in range(3)) for _ in range(300)] for k, v in scripts.items()}
+    text = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    m = langid.Model({k: [text(k, 3000)] for k in scripts})
+    assert m.classify([text(k, 30) for k in scripts])[0] == list(scripts)
+
+
+def test_no_more_languages_than_the_bound(spark):
+    df = spark.createDataFrame([(i, f"text of language number {i % 7} abc", f"l{i % 7}") for i in range(70)], "doc_id long, text string, lang string")
+    assert langid.fit(df, key="doc_id", text="text", lang="lang", langs=3).langs == ["l0", "l1", "l2"]
 
 
 def test_language_identification_held_out(spark):
@@ -71,7 +87,7 @@ def test_language_identification_held_out(spark):
 
 def test_language_identification_edges(spark):
     rows = [(1, "abc abc abd", "x", "a"), (2, "efg egf efg", "y", "b"), (3, None, "x", "c"), (4, "12 !?", "y", "d"), (5, "", None, "e"), (6, "abd " * 5000, None, "f"), (None, "gfe", None, "g"), (6, "abd " * 5000, None, "f")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_id string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_id string").withColumns({c: F.lit(c) for c in ("_in_", "__in_", "score", "k", "t", "l")})
     model = langid.fit(df, key="doc_id", text="text", lang="lang")
     got = [(r.doc_id, r.lang_id.lang, r.lang_id.score) for r in langid.predict(df, model).collect()]
     assert sorted((k or 0, lang) for k, lang, _ in got) == [(0, "y"), (1, "x"), (2, "y"), (3, "und"), (4, "und"), (5, "und"), (6, "x"), (6, "x")]
