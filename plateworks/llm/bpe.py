@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from plateworks.llm.names import fresh
+
 #: Entries at which a worker's memo of pre-tokens and runs of them starts anew, while the last one is kept to ask (about 200 bytes each).
 MEMO = 300_000
 #: The same for candidates for a merge; few are frequent.
@@ -260,14 +262,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
 
 def _with(df: DataFrame, column: str, outs: dict[str, T.DataType], make: Callable[[pa.Array], list[pa.Array]], keep: bool) -> DataFrame:
     """df with the columns outs, made from an Arrow array of the column by make; without the column, unless it is kept."""
-    names = [c for c in df.columns if c not in outs and (keep or c != column)]
+    taken = {o.lower() for o in outs}
+    names = [c for c in df.columns if c.lower() not in taken and (keep or c != column)]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(n, t) for n, t in outs.items()])
     # The column goes in under a name of its own, so that an existing column named as one of outs does not matter.
-    source = df.select(*names, df[column].alias("_in_"))
+    inner = fresh("_in_", [*names, *outs])
+    source = df.select(*names, df[column].alias(inner))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "_in_"):
-            made = make(batch.column("_in_"))
+        for batch in small_batches(batches, inner):
+            made = make(batch.column(inner))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *outs])
 
     return source.mapInArrow(run, schema)

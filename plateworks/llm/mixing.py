@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plateworks.llm.names import fresh, packed, unpacked
 from plateworks.llm.store import written
 
 #: A word is a run of characters other than space and the controls 9 to 13.
@@ -77,7 +78,7 @@ def mix(
     border: str = "split",
     out: str = "mix",
 ) -> DataFrame:
-    """docs with a struct column ``out``: size, source_size, target, taken, copies, position.
+    """docs with a struct column ``out``: size, source_size, target, taken, copies, position, and what the order of training needs.
 
     ``taken`` is how many words of the document the mix takes, repeats counted, at most ``most`` times its size. With
     border="split" the document at which a source's demand ends gives only the words still wanted, so that the source gives
@@ -85,16 +86,18 @@ def mix(
     ``copies`` is the number of times it is begun, ``position`` the training time of its first word (null if not taken).
 
     Null texts and texts without words have size 0, take part and are never taken. Null sources are one source, the last.
-    Repeated rows are separate documents. The order is by md5 of the key, then key and size (null first), so that reruns agree; rows
-    that tie in all of them are alike. A column that is named as ``out`` is replaced; other columns stay. No rows give no rows.
+    Repeated rows are separate documents. The order is by md5 of the key (of the text where the key is null), then key and size (null first), so that
+    reruns agree; rows that tie in all of them are alike. A column that is named as ``out`` is replaced; other columns stay, whatever their names.
+    No rows give no rows.
     """
-    d = docs.withColumns(
-        {
-            "_size": word_count(F.col(text)),
-            "_none": F.col(source).isNull(),
-            "_src": F.coalesce(F.col(source), F.lit("")),
-            "_hash": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")),
-        }
+    d = packed(
+        docs,
+        _key=F.col(key),
+        _size=word_count(F.col(text)),
+        _none=F.col(source).isNull(),
+        _src=F.coalesce(F.col(source), F.lit("")),
+        # Rows without a key are spread by their texts.
+        _hash=F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).cast("binary")),
     )
     d = d.withColumn("_slice", F.shiftright(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * slices, 32))
     names = ["_none", "_src"]
@@ -103,7 +106,7 @@ def mix(
     earlier = Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     start = slim.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     plan = start.join(want, names)
-    inside = Window.partitionBy(*names, "_slice").orderBy("_hash", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*names, "_slice").orderBy("_hash", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.join(plan, [*names, "_slice"]).withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
 
     size, total = F.col("_size"), F.col("source_size")
@@ -128,23 +131,23 @@ def mix(
         F.col("_at").alias("at"),
         F.col("demand"),
         F.col("_slope").alias("slope"),
+        F.col("_hash").alias("order"),
     )
-    kept = [c for c in docs.columns if c != out]
-    return d.select(*kept, made.alias(out), F.col("_hash").alias("_order"))
+    return unpacked(d, docs.columns, out, made)
 
 
 def by_position(mixed: DataFrame, out: str = "mix") -> DataFrame:
     """What mix() returns, range-sorted by training position; documents not taken come first, in hash order."""
-    at = [F.col(f"{out}.position"), F.col("_order")]
-    return mixed.repartitionByRange(*at).sortWithinPartitions(*at).drop("_order")
+    at = [F.col(f"{out}.position"), F.col(f"{out}.order")]
+    return mixed.repartitionByRange(*at).sortWithinPartitions(*at)
 
 
 def curriculum(mixed: DataFrame, out: str = "mix") -> DataFrame:
     """A row for each copy that training reads, range-sorted by its own position (in ``out``.position)."""
-    m = F.col(out)
-    rows = mixed.where(m.copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), m.copies - 1)))
-    own = position((m.at + F.col("_copy") * m.source_size) / m.demand, m.slope)
-    rows = rows.withColumn("_time", own)
-    at = [F.col("_time"), F.col("_order"), F.col("_copy")]
+    m, copy, time = F.col(out), fresh("_copy", mixed.columns), fresh("_time", mixed.columns)
+    rows = mixed.where(m.copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), m.copies - 1)))
+    own = position((m.at + F.col(copy) * m.source_size) / m.demand, m.slope)
+    rows = rows.withColumn(time, own)
+    at = [F.col(time), m.order, F.col(copy)]
     rows = rows.repartitionByRange(*at).sortWithinPartitions(*at)
-    return rows.withColumn(out, m.withField("position", F.col("_time"))).drop("_time", "_copy", "_order")
+    return rows.withColumn(out, m.withField("position", F.col(time))).drop(time, copy)

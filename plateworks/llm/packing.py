@@ -126,7 +126,9 @@ def write_packed(docs: DataFrame, folder: str, *, path: str, end_id: int | None,
     """
     value = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(key).alias("_key"), value.alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    d = d.repartitionByRange("_key", "_hash").sortWithinPartitions("_key", "_hash").select("_key", "_text")
+    # Rows that repeat key and text may go to any partition between their neighbours: a number of the row lets the range split them.
+    at = ["_key", "_hash", "_row"]
+    d = d.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*at).sortWithinPartitions(*at).select("_key", "_text")
     kind = d.schema["_key"].dataType
     schema = T.StructType(
         [T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("seq", T.LongType()), ("first", T.LongType()), ("n_ids", T.LongType()), ("bits", T.IntegerType()), ("keys", T.ArrayType(kind)), ("ends", T.ArrayType(T.LongType())), ("low", kind), ("high", kind), ("data", T.BinaryType()))]

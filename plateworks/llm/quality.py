@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plateworks.llm.names import fresh, packed, unpacked
 from plateworks.llm.store import checkpointed
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -41,10 +42,10 @@ def measures(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
     Words are runs of characters other than space and the controls 9 to 13. n_repeat_words counts the words that stand in a
     5-word window which the text holds twice or more. Null and empty texts have 0 everywhere. Columns named as out are replaced.
     """
-    kept = [c for c in docs.columns if c != out]
     value = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(value, "\n", -1), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
-    d = docs.select(*kept, F.filter(F.split(value, r"[\x20\x09-\x0D]+", -1), lambda x: x != "").alias("_words"), lines.alias("_lines"))
+    d = packed(docs, _text=value, _words=F.filter(F.split(value, r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), _lines=lines)
+    value = F.col("_text")
     d = d.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
     n = F.size("_words")
     windows = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(F.col("_hash"), i + k) for k in range(5)]))
@@ -73,7 +74,7 @@ def measures(docs: DataFrame, text: str = "text", out: str = "quality") -> DataF
         _count(value, "!").alias("n_bang"),
         _count(value, _UPPER).alias("n_upper"),
     )
-    return d.select(*kept, made.alias(out))
+    return unpacked(d, docs.columns, out, made)
 
 
 def base_failed(m: Column) -> Column:
@@ -240,5 +241,6 @@ def keep(judged: DataFrame, out: str = "quality") -> DataFrame:
 
     The row numbers hold the filter above the measures, which Spark would else compute again to push it below them.
     """
-    d = judged.withColumn("_row", F.monotonically_increasing_id())
-    return d.where(F.col(out)["kept"] & (F.col("_row") >= 0)).drop("_row", out)
+    row = fresh("_row", judged.columns)
+    d = judged.withColumn(row, F.monotonically_increasing_id())
+    return d.where(F.col(out)["kept"] & (F.col(row) >= 0)).drop(row, out)

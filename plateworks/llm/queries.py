@@ -89,7 +89,7 @@ from kept join p on kept.conv_id is not distinct from p.conv_id group by kept.co
 """
 
 OP4_SQL = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from documents),
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, text, '')) as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 o as (select *, row_number() over (order by source nulls last) - 1 as ord from s),
 w as (select *, [3, 1, 2][(ord % 3 + 1)::int] as w, source_size * 4 as cap, (sum(source_size) over ()) * 3 as al from o),
