@@ -128,16 +128,24 @@ def dropped_out(key: Column, seed: int, share: float) -> Column:
 
 
 def repaired(text: str) -> tuple[str, str]:
-    """(status, JSON text): ok, repaired (the longest prefix that ends at a closer, closed) or fail."""
+    """(status, JSON text): ok, repaired (the longest beginning of the object that closes a bracket, closed) or fail.
+
+    What stands before the first brace is passed over. One scan finds the last closing bracket behind which the object can be closed;
+    earlier ones are tried only where that is no JSON, each by halving the number of those left, so that a long broken text is parsed a few times.
+    """
+    begin = text.find("{")
+    if begin < 0:
+        return "fail", ""
+    body = text[begin:]
     try:
-        json.loads(text)
-        return "ok", text
+        json.loads(body)
+        return "ok", body
     except ValueError:
         pass
     opened: list[str] = []
     inside = escaped = False
     cuts: list[tuple[int, str]] = []
-    for i, c in enumerate(text):
+    for i, c in enumerate(body):
         if inside:
             inside = escaped or c != '"'
             escaped = c == "\\" and not escaped
@@ -145,16 +153,26 @@ def repaired(text: str) -> tuple[str, str]:
             inside = True
         elif c in "{[":
             opened.append("}" if c == "{" else "]")
-        elif c in "}]" and opened and opened[-1] == c:
+        elif c in "}]":
+            if not opened or opened[-1] != c:
+                break  # no beginning that goes on from here is JSON
             opened.pop()
             cuts.append((i + 1, "".join(reversed(opened))))
-    for at, rest in reversed(cuts):
+            if not opened:
+                break
+    # A beginning that can be closed to JSON stays so when it is cut at an earlier closing bracket: the last good one is found by halving.
+    low, high = 0, len(cuts)
+    while low < high:
+        mid = (low + high) // 2
         try:
-            json.loads(text[:at] + rest)
-            return "repaired", text[:at] + rest
+            json.loads(body[: cuts[mid][0]] + cuts[mid][1])
+            low = mid + 1
         except ValueError:
-            continue
-    return "fail", ""
+            high = mid
+    if not low:
+        return "fail", ""
+    at, rest = cuts[low - 1]
+    return "repaired", body[:at] + rest
 
 
 @F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("body", T.StringType())]))
@@ -162,37 +180,54 @@ def repair_json(v: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repaired(t or "") for t in v], columns=["status", "body"])
 
 
-#: The calls that blend edges, and those that select them.
+#: The calls that blend edges, and those that select what is blended.
 BLENDS = frozenset({"fillet", "chamfer"})
-SELECTORS = frozenset({"edges", "faces", "vertices", "wires", "first", "last"})
-
+SELECTORS = frozenset({"edges", "faces", "vertices", "wires", "solids", "shells", "first", "last", "item", "end", "all"})
 
-class _Stripped(ast.NodeTransformer):
-    """A chain that ends in a blend becomes the solid under its selectors."""
 
-    def __init__(self) -> None:
-        self.n = 0
+def _cut_of(call: ast.Call) -> ast.expr | None:
+    """For a blend, the expression that stays: what the selectors right before it were called on."""
+    if not isinstance(call.func, ast.Attribute) or call.func.attr not in BLENDS:
+        return None
+    stays = call.func.value
+    while isinstance(stays, ast.Call) and isinstance(stays.func, ast.Attribute) and stays.func.attr in SELECTORS:
+        stays = stays.func.value
+    return stays
 
-    def visit_Call(self, node: ast.Call) -> ast.AST:
-        self.generic_visit(node)
-        if isinstance(node.func, ast.Attribute) and node.func.attr in BLENDS:
-            base = node.func.value
-            while isinstance(base, ast.Call) and isinstance(base.func, ast.Attribute) and base.func.attr in SELECTORS:
-                base = base.func.value
-            self.n += 1
-            return base
-        return node
 
+def strip_blends(source: str | None) -> tuple[str | None, int, str | None]:
+    """(program without blends, blends removed, error). A null program gives nulls and 0. It is parsed, never run.
 
-def strip_blends(source: str) -> tuple[str | None, int, str | None]:
-    """(program without blends, blends removed, error). Without blends the text stays as it is; it is parsed, never run."""
+    Blends are cut out of the text itself, from the end of what stays to the end of the call, so that everything else stays
+    as it is written; cuts inside a selector that goes as well count, but are not made twice.
+    """
+    if source is None:
+        return None, 0, None
     try:
         tree = ast.parse(source)
-    except SyntaxError as e:
+        raw = source.encode()
+        # ast counts bytes in the lines of the text, with all line ends as line feeds.
+        begins = [0]
+        for line in raw.splitlines(keepends=True) if b"\x0c" not in raw else raw.split(b"\n"):
+            begins.append(begins[-1] + len(line) + (b"\x0c" in raw))
+        at = lambda line, col: begins[line - 1] + col
+        cuts = []
+        for node in ast.walk(tree):
+            stays = _cut_of(node) if isinstance(node, ast.Call) else None
+            if stays is not None:
+                inner = raw[at(stays.end_lineno, stays.end_col_offset) : at(node.end_lineno, node.end_col_offset)]
+                # A bracket that closes around what stays belongs to it.
+                skip = len(inner) - len(inner.lstrip(b") \t\r\n")) if inner.lstrip(b" \t\r\n").startswith(b")") else 0
+                cuts.append((at(stays.end_lineno, stays.end_col_offset) + skip, at(node.end_lineno, node.end_col_offset)))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return None, 0, type(e).__name__
-    t = _Stripped()
-    tree = ast.fix_missing_locations(t.visit(tree))
-    return (ast.unparse(tree) + "\n" if t.n else source), t.n, None
+    out, done = [], 0
+    for begin, end in sorted(cuts, key=lambda c: (c[0], -c[1])):
+        if begin >= done:
+            out.append(raw[done:begin])
+        done = max(done, end)
+    out.append(raw[done:])
+    return b"".join(out).decode(), len(cuts), None
 
 
 @F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("error", T.StringType())]))

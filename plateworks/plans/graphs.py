@@ -202,24 +202,36 @@ def oracle_theta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("graph", "pi", F.size("face").cast("long").alias("n_origins"), F.array_join(F.transform("face", lambda f: f.cast("string")), ",").alias("origins"))
 
 
-_STEPS = "greatest(2, floor(len * 10.0 / 6.0)::bigint + 1)"
+# Samples of a line of length len: i of m = max(1, floor(len * 10 / 6)) steps; m times a sample's x, in tenths, is a whole number, and so are all squares compared.
+def _coverage(a: str, b: str) -> str:
+    return f"""select s.graph, s.pi, s.len, s.m, s.i, coalesce(bool_or(pow(greatest(v.x * 10 * m - px, px - (v.x + v.len) * 10 * m, 0), 2) + pow((s.y - v.y) * 10 * m, 2) < 49 * m * m), false) as hit
+ from (select *, x * 10 * m + len * 10 * i as px from (select *, unnest(range(m + 1)) as i from (select *, greatest(1, len * 10 // 6)::bigint as m from p where role = '{a}'))) s
+ left join (select * from p where role = '{b}') v on v.graph = s.graph and v.view = s.view group by all"""
 
 
-@query(PRIMS + f""", s as (select graph, view, pi, y, len, x * 10.0 + len * 10.0 * (unnest(range({_STEPS})) / ({_STEPS} - 1)) as px from p where role = 'hid'),
-c as (select s.graph, s.view, s.pi, s.px, max(len) as len, coalesce(bool_or(sqrt(pow(greatest(v.x * 10.0 - px, px - (v.x + v.l) * 10.0, 0.0), 2) + pow((s.y - v.y) * 10.0, 2)) < 7), false) as hit from s left join (select graph, view, x, y, len as l from p where role = 'vis') v on v.graph = s.graph and v.view = s.view group by all),
-l as (select graph, pi, max(len) as len, avg(hit::int) as share from c group by all)
-select graph, round(sum(share * len) / sum(len), 6) as recall from l group by graph""")
+def _shares(c: str) -> str:
+    return f"""select graph, (sum(hits * 1000000 // (m + 1) * len)::bigint // sum(len)::bigint) / 1000000 as share from (select graph, pi, len, m, count(*) filter (hit) as hits from ({c}) group by all) group by graph"""
+
+
+@query(PRIMS + f"""select graph, t.share as recall, q.share as precision from ({_shares(_coverage('hid', 'vis'))}) t full join ({_shares(_coverage('vis', 'hid'))}) q using (graph)""")
 def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length-weighted share of hidden lines, sampled every 6 units, that lies within 7 of a visible line of the view."""
-    p = prims(spark, sf_dir)
-    n = F.greatest(F.lit(2).cast("long"), F.floor(F.col("len") * 10.0 / 6.0) + 1)
-    s = p.where("role = 'hid'").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    s = s.select("graph", "view", "pi", "y", "len", (F.col("x") * 10.0 + F.col("len") * 10.0 * (F.col("i") / (n - 1))).alias("px"))
-    v = p.where("role = 'vis'").select("graph", "view", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("len").alias("vl"))
-    dx, dy = drawing.swept(F.col("px"), F.col("vx") * 10.0, (F.col("vx") + F.col("vl")) * 10.0), (F.col("y") - F.col("vy")) * 10.0
-    c = s.join(v, ["graph", "view"], "left").groupBy("graph", "view", "pi", "px").agg(F.max("len").alias("len"), F.coalesce(F.bool_or(F.sqrt(dx * dx + dy * dy) < 7), F.lit(False)).alias("hit"))
-    share = c.groupBy("graph", "pi").agg(F.max("len").alias("len"), F.avg(F.col("hit").cast("int")).alias("share"))
-    return share.groupBy("graph").agg(F.round(F.sum(F.col("share") * F.col("len")) / F.sum("len"), 6).alias("recall"))
+    """Length-weighted share of the lines of one side, sampled every 6 units at most, that lies within 7 of a line of the other side in the view: recall and precision."""
+    p = prims(spark, sf_dir).select("graph", "view", "role", "pi", "x", "y", "len")
+
+    def share(a: str, b: str, name: str) -> DataFrame:
+        m, i = F.col("m"), F.col("i")
+        s = p.where(F.col("role") == a).withColumn("m", F.greatest(F.lit(1), F.floor(F.col("len") * 10 / 6)).cast("long")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))))
+        s = s.select("graph", "view", "pi", "y", "len", "m", "i", (F.col("x") * 10 * m + F.col("len") * 10 * i).alias("px"))
+        v = p.where(F.col("role") == b).select("graph", "view", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("len").alias("vl"))
+        dx = F.greatest(F.col("vx") * 10 * m - F.col("px"), F.col("px") - (F.col("vx") + F.col("vl")) * 10 * m, F.lit(0))
+        dy = (F.col("y") - F.col("vy")) * 10 * m
+        hit = F.coalesce(F.bool_or(dx * dx + dy * dy < 49 * m * m), F.lit(False))
+        c = s.join(v, ["graph", "view"], "left").groupBy("graph", "pi", "len", "m", "i").agg(hit.alias("hit"))
+        line = c.groupBy("graph", "pi", "len", "m").agg(F.count_if("hit").alias("hits"))
+        whole = line.groupBy("graph").agg(F.sum(F.expr("hits * 1000000 div (m + 1) * len")).alias("sum"), F.sum("len").alias("len"))
+        return whole.select("graph", (F.expr("sum div len") / 1_000_000).alias(name))
+
+    return share("hid", "vis", "recall").join(share("vis", "hid", "precision"), "graph", "full")
 
 
 @query(PRIMS + """, r as (select distinct graph, r from p where role = 'vis'), e as (select distinct graph, len as e from p where role = 'hid'),
