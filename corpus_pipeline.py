@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateworks.llm import bpe, jaccard, lines, mixing, quality
-from plateworks.llm.store import written
+from plateworks.llm.store import mark, release, written
 from plateworks.sources import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -72,5 +72,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        begin = mark()
+        made = stage(spark, docs, sf_dir)
+        end = mark()
+        docs = written(made, name)
+        release(spark, begin, end)  # what the stage wrote on its way
     return docs
