@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateworks.operators import kernels, stats
-from plateworks.plans.graphs import prims
+from plateworks.plans.graphs import PRIMS, prims
 from plateworks.plans.registry import query
 from plateworks.sources import table
 
@@ -62,8 +62,8 @@ def greedy_dim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detection_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections by score take the nearest unused truth within max(8, 30%) of its radius."""
     truth, pred = _sides(spark, sf_dir)
-    d = F.abs(F.col("x") - F.col("px")) + F.abs(F.col("y") - F.col("py"))
-    near = truth.join(pred, ["graph", "view"]).withColumn("d", d).where((F.col("d") < F.greatest(F.lit(2.0), F.lit(0.3) * F.col("r"))) & (F.abs(F.col("r") - F.col("pr")) <= F.lit(0.35) * F.col("r")))
+    d = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
+    near = truth.join(pred, ["graph", "view"]).withColumn("d", d).where((F.col("d") < F.greatest(F.lit(8.0), F.lit(0.3) * F.col("r"))) & (F.abs(F.col("r") - F.col("pr")) <= F.lit(0.35) * F.col("r")))
     near = near.withColumn("score", -F.col("pl"))
     pairs = kernels.greedy(near.select("graph", "view", "gt", "pred", "score", "d"), ["graph", "view"], "pred", "gt", ["score", "pred", "d", "gt"])
     return _rates(truth, pred, pairs)
@@ -95,7 +95,8 @@ def kshot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.picks(d, ["source"], "n_chars", "doc_id", 3, 20_000)
 
 
-@query()
+@query(r"""select p_partkey, case when t = '-0' then '0' else t end as text, r::double as rounded, t::double = r::double as same
+from (select p_partkey, r, regexp_replace(r, '\.?0+$', '') as t from (select p_partkey, printf('%.2f', p_retailprice / 8) as r from part))""")
 def number_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices as canonical numbers and as they read back."""
     t = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 8).alias("v"))
@@ -113,7 +114,7 @@ def hidden_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.where(able).select("graph", "pi", kernels.dropped_out(key, 7, 0.3).alias("is_dropped"))
 
 
-@query()
+@query(PRIMS + """select graph, pi, '{"v":"' || view || '",' || case when role = 'vis' then '"s":1,' else '' end || '"c":[' || x || ',' || y || '],"r":' || r || '}' as text, true as same from p""")
 def compact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as short-keyed JSON and read back; nulls are left out."""
     p = prims(spark, sf_dir).select("graph", "pi", F.struct(F.col("view").alias("v"), F.when(F.col("role") == "vis", 1).alias("s"), F.array("x", "y").alias("c"), "r").alias("o"))
