@@ -35,7 +35,7 @@ BLOCK_BYTES = 1 << 16
 ID = ["_h1", "_h2"]
 #: Characters of a chunk that is compared as a whole.
 CHUNK = 12
-_LETTERS = "etaoinshrdlucmfwygpbvk0123456789"
+_LETTERS = "etaoinshrdlucmfw"
 
 
 def distance(a: Column, b: Column, most: int) -> Column:
@@ -112,30 +112,25 @@ def probe_hashes(line: Column, length: Column, most: int) -> Column:
 
 
 def _sketch(line: Column) -> Column:
-    """Whether the count of each of 32 characters is odd, a bit for each: an edit turns two bits at most."""
+    """Whether the count of each of some frequent letters is odd, a bit for each: an edit turns two bits at most."""
     odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1)).cast("long")
     return reduce(lambda p, q: p.bitwiseOR(q), [F.shiftleft(odd(c), i) for i, c in enumerate(_LETTERS)])
 
 
-def _pair_sketch(line: Column) -> Column:
-    """The same for pairs of neighbouring characters, by 64 hashes of them: an edit takes two pairs and makes two at most."""
-    one = F.array(F.struct(F.split(line, "").alias("c"), F.char_length(line).alias("n")))
-
-    def odd(s: Column) -> Column:
-        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(F.get(s["c"], i - 1), F.get(s["c"], i)).bitwiseAND(F.lit(63)))
-        return F.aggregate(F.sequence(F.lit(1), s["n"] - 1), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(bit(i)))
-
-    return F.when(F.char_length(line) > 1, F.get(F.transform(one, odd), F.lit(0))).otherwise(F.lit(0).cast("long"))
-
+def _cut_sketches(line: Column, most: int) -> Column:
+    """(g, w) of a line, from one array of its characters.
 
-def _chunks(line: Column, most: int) -> Column:
-    """Hashes of the line's chunks of CHUNK characters, as they are and moved by up to ``most`` characters either way: the first array is unmoved."""
+    g: whether each of 64 hashes of pairs of neighbouring characters comes an odd number of times: an edit takes two pairs and makes two at most.
+    w: hashes of its chunks of CHUNK characters, as they are (the first array) and moved by up to ``most`` characters either way.
+    """
     one = F.array(F.struct(F.split(line, "").alias("c"), F.char_length(line).alias("n")))
 
     def each(s: Column) -> Column:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(F.get(s["c"], i - 1), F.get(s["c"], i)).bitwiseAND(F.lit(63)))
+        pairs = F.aggregate(F.sequence(F.lit(1), s["n"] - 1), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(bit(i)))
         at = F.sequence(F.lit(0), F.floor(s["n"] / CHUNK).cast("int"))
         moved = lambda j: F.transform(at, lambda k: F.when(k * CHUNK + j >= 0, F.hash(F.slice(s["c"], F.greatest(k * CHUNK + j, F.lit(0)) + 1, CHUNK))))
-        return F.array(*[moved(j) for j in _moves(most)])
+        return F.struct(F.when(s["n"] > 1, pairs).otherwise(F.lit(0).cast("long")).alias("g"), F.array(*[moved(j) for j in _moves(most)]).alias("w"))
 
     return F.get(F.transform(one, each), F.lit(0))
 
@@ -264,7 +259,8 @@ def near_lines(distinct: DataFrame, lines_of, most: int = EDITS, per: int = PER,
         asked = asked.unionByName(hot_index.select(*ID)).unionByName(hot_probes.select(*ID)).distinct()
     named = checkpointed(_semi(distinct.select(*ID, "_first"), asked, ID))
     texts = lines_of(named.select(*ID, "_first")).join(named, ID)
-    texts = written(texts.select(*ID, "_first", "_line", F.char_length("_line").alias("_n"), _sketch(F.col("_line")).alias("_s"), _pair_sketch(F.col("_line")).alias("_g"), _chunks(F.col("_line"), most).alias("_w")), "line-texts")
+    texts = written(texts.select(*ID, "_first", "_line", F.char_length("_line").alias("_n"), _sketch(F.col("_line")).alias("_s"), _cut_sketches(F.col("_line"), most).alias("_c")), "line-texts")
+    texts = texts.select(*ID, "_first", "_line", "_n", "_s", F.col("_c.g").alias("_g"), F.col("_c.w").alias("_w"))
 
     told = texts.select(F.struct(*ID).alias("_id"), F.struct("_first", F.col("_s").alias("s"), F.col("_g").alias("g"), F.col("_w").alias("w"), F.col("_line").alias("line"), F.col("_n").alias("n")).alias("_t"))
     x, y = told.toDF("a", "x"), told.toDF("b", "y")
@@ -276,13 +272,13 @@ def near_lines(distinct: DataFrame, lines_of, most: int = EDITS, per: int = PER,
 
 
 def _blank(line: Column) -> Column:
-    return F.length(F.ltrim(line, F.lit(" \t\n\x0b\x0c\r"))) == 0
+    return F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) == ""
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """docs (_key, _hash, _text) as (_key, _hash, _pos, _line) for lines that are not blank."""
     split = docs.select("_key", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-    return split.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+    return split.where(~_blank(F.col("_line")))
 
 
 def marks(docs: DataFrame, *, most: int = EDITS, per: int = PER, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -314,32 +310,35 @@ def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _told(d: DataFrame, found: DataFrame) -> DataFrame:
-    """d (_key, _hash, _lines: places of the lines that are not blank, and others) with n_lines, n_exact, n_near and dropped."""
+    """d (_key, _hash, _sizes of its lines, and others) with n_lines, n_exact, n_near and dropped."""
     f = found.toDF("_k", "_h", "_firsts")
     d = d.join(f, d["_key"].eqNullSafe(f["_k"]) & (d["_hash"] == f["_h"]), "left").drop("_k", "_h")
     none = F.array().cast("array<struct<pos:int,near:boolean>>")
-    d = d.withColumn("_firsts", F.coalesce("_firsts", none))
+    d = d.withColumns({"_firsts": F.coalesce("_firsts", none), "_lines": _places_of(F.col("_sizes"))})
     near = F.filter("_firsts", lambda x: x["near"])
     stays = F.transform(F.filter("_firsts", lambda x: ~x["near"]), lambda x: x["pos"])
     n = F.size("_lines").cast("long")
     return d.withColumns({"n_lines": n, "n_exact": n - F.size("_firsts"), "n_near": F.size(near).cast("long"), "dropped": F.sort_array(F.array_except("_lines", stays))})
 
 
-def _places_of(text: Column) -> Column:
-    """Places (from 0) of the lines of a text that are not blank."""
-    rows = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(~_blank(x), i))
-    return F.filter(rows, lambda i: i.isNotNull())
+def _sizes_of(text: Column) -> Column:
+    """Characters of each line of a text, less one and negative for blank lines."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.when(_blank(x), -1 - F.char_length(x)).otherwise(F.char_length(x)))
+
+
+def _places_of(sizes: Column) -> Column:
+    """Places (from 0) of the lines that are not blank."""
+    return F.filter(F.transform(sizes, lambda n, i: F.when(n >= 0, i)), lambda i: i.isNotNull())
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = EDITS, per: int = PER) -> DataFrame:
     """(key, n_lines, n_exact, n_near, dropped, kept_chars) for each row of docs: what dedup_lines() does, without the texts."""
     slim = _slim(docs, key, text)
-    lengths = F.transform(F.split("_text", "\n", -1), lambda x: F.char_length(x))
-    d = slim.select("_key", "_hash", _places_of(F.col("_text")).alias("_lines"), lengths.alias("_sizes"))
+    d = slim.select("_key", "_hash", _sizes_of(F.col("_text")).alias("_sizes"))
     d = _told(d, marks(slim, most=most, per=per))
     left = F.filter("_sizes", lambda x, i: ~F.array_contains("dropped", i))
     # A line feed stands between lines.
-    kept = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x) + F.greatest(F.size(left) - 1, F.lit(0))
+    kept = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + F.when(x < 0, -1 - x).otherwise(x)) + F.greatest(F.size(left) - 1, F.lit(0))
     return d.select(F.col("_key").alias(key), "n_lines", "n_exact", "n_near", "dropped", kept.cast("long").alias("kept_chars"))
 
 
@@ -354,7 +353,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mos
     """
     slim = _slim(docs, key, text)
     value = F.coalesce(F.col(text), F.lit(""))
-    d = packed(docs, _key=F.col(key), _hash=F.xxhash64(value), _text=F.col(text), _lines=_places_of(value))
+    d = packed(docs, _key=F.col(key), _hash=F.xxhash64(value), _text=F.col(text), _sizes=_sizes_of(value))
     d = _told(d, marks(slim, most=most, per=per))
     rest = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
     text_left = F.when(F.size("dropped") > 0, rest).otherwise(F.col("_text"))
