@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +68,33 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], na
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def slice_of(value: Column) -> Column:
+    """A slice that never falls as the value grows: 1,024 to each doubling, the same for equal values, infinity and NaN with one each."""
+    v = value.cast("double")
+    return F.rint(F.signum(v) * F.log2(1 + F.abs(v)) * 1024)
+
+
+def with_offsets(df: DataFrame, by: Sequence[str], part: str, rows: Column) -> DataFrame:
+    """df with _before and _total: rows of the group in lower slices ``part``, and in all.
+
+    Only the table of slices is ordered in one task for each group; nulls in ``by`` are a group.
+    """
+    on = [*by, part]
+    group = Window.partitionBy(*by)
+    lower = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    slices = df.groupBy(*on).agg(rows.alias("_rows"))
+    slices = slices.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(on)], F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_before"), F.sum("_rows").over(group).alias("_total"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_at{i}")) for i, c in enumerate(on)])
+    return df.join(slices, same).drop(*[f"_at{i}" for i in range(len(on))])
+
+
+def numbered_spread(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], part: Column, name: str = "n") -> DataFrame:
+    """As ``numbered`` for groups of any size: ``part``, which must not fall along the order, cuts a group into slices that are sorted apart."""
+    d = with_offsets(df.withColumn("_part", part), by, "_part", F.count("*"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return d.withColumn(name, F.col("_before") + inside).drop("_part", "_before", "_total")
+
+
 def first_by(df: DataFrame, by: Sequence[str], order: Column, keep: Sequence[str]) -> DataFrame:
     """The row of each group that comes first, by a map-side aggregate."""
     best = df.groupBy(*by).agg(F.min_by(F.struct(*keep), order).alias("_b"))

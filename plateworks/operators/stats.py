@@ -1,7 +1,8 @@
 """Distribution statistics by rank, rates and coverage.
 
 Ranks come from histograms: rows are counted by (group, value) before anything is ordered, so that a group of any size is
-pre-aggregated map-side and the running sum meets each distinct value once.
+pre-aggregated map-side and the running sum meets each distinct value once. Continuous values, of which few are equal, are ordered
+in slices of value with an offset each, so that no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -11,13 +12,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plateworks.operators import selection
 
-def histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, value, _n, _upto, _total): rows with each value, up to it, and in the group; nulls are left out."""
+
+def histogram(df: DataFrame, by: Sequence[str], value: str, spread: bool = True) -> DataFrame:
+    """(by, value, _n, _upto, _total): rows with each value, up to it, and in the group; nulls are left out.
+
+    Groups of any size are ordered slice by slice; ``spread=False`` is for groups that stay small, such as one drawing.
+    """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by)
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counted.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(group))
+    if not spread:
+        upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counted.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(group))
+    d = selection.with_offsets(counted.withColumn("_part", selection.slice_of(F.col(value))), by, "_part", F.sum("_n"))
+    upto = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.withColumn("_upto", F.col("_before") + F.sum("_n").over(upto)).drop("_part", "_before")
 
 
 def at_rank(value: str, index: Column) -> Column:

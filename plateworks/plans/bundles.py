@@ -17,7 +17,7 @@ WARN, FAIL = 6.0, 7.0
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, n_words, ratio, severity, status: documents with their labels."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n_words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"))
     pairs = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
     ratio = rules.extent_ratio(F.col("n_chars").cast("double"), F.col("n_words").cast("double"))
     level = rules.severity(F.col("ratio"), F.col("toxic") == 0, WARN, FAIL)

@@ -252,7 +252,7 @@ def scale_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scale_selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of the votes of a drawing's bound diameters and how far they spread."""
     p = prims(spark, sf_dir).withColumn("v", F.col("x") / F.col("r"))
-    h = stats.histogram(p, ["graph"], "v").groupBy("graph").agg(stats.true_median("v").alias("m"))
+    h = stats.histogram(p, ["graph"], "v", spread=False).groupBy("graph").agg(stats.true_median("v").alias("m"))
     d = p.groupBy("graph").agg(F.count("*").alias("n_votes"), F.stddev_pop("v").alias("s")).join(h, "graph")
     return d.select("graph", "n_votes", F.round("m", 6).alias("px_per_mm"), F.round(F.col("s") / F.col("m"), 6).alias("spread"))
 

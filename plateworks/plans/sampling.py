@@ -46,7 +46,8 @@ def water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FILL + ", n as (select b.p_partkey, b.p_type, b.bin, row_number() over (partition by b.p_type, b.bin order by md5('7:' || p_partkey), p_partkey) as n from b) select n.p_partkey, n.p_type, n.bin from n join f using (p_type, bin) where n.n <= f.alloc")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many parts of each bin as it was given, in the order of a seeded hash."""
-    b = selection.numbered(binned(spark, sf_dir), ["p_type", "bin"], [selection.draw(F.col("p_partkey"), 7), "p_partkey"])
+    drawn = selection.draw(F.col("p_partkey"), 7)
+    b = selection.numbered_spread(binned(spark, sf_dir), ["p_type", "bin"], [drawn, "p_partkey"], F.substring(drawn, 1, 3))
     return b.join(filled(spark, sf_dir), ["p_type", "bin"]).where("n <= alloc").select("p_partkey", "p_type", "bin")
 
 
@@ -68,7 +69,7 @@ def prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank by length within the language, ties by id."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return selection.numbered(d, ["lang"], ["n_chars", "doc_id"], "place")
+    return selection.numbered_spread(d, ["lang"], ["n_chars", "doc_id"], selection.slice_of(F.col("n_chars")), "place")
 
 
 @query("select o_orderkey, (o_totalprice * 1000 / 0.214)::double::bigint // 1000 as tokens, ceil((o_custkey + 1) / 16)::bigint // 4 as steps from orders")
