@@ -1,0 +1,30 @@
+"""Merged tiles against a plain loop; ties, empty tables and extra columns."""
+
+import math
+import random
+
+from plateworks.plans import measures
+
+
+def plain(rows):
+    kept, out = [], {}
+    for no, x, y, r in sorted(rows):
+        near = [k for k in kept if math.hypot(k[1] - x, k[2] - y) < 20 and abs(k[3] - r) < max(8, 0.2 * k[3])]
+        out[no] = near[0][0] if near else no
+        if not near:
+            kept.append((no, x, y, r))
+    return out
+
+
+def test_merged_tiles(spark):
+    rng = random.Random(3)
+    sheets = {s: [(n, float(rng.randrange(120)), float(rng.randrange(60)), float(rng.randrange(3, 60))) for n in range(60)] for s in range(6)}
+    rows = [(s, *c, "extra") for s, cs in sheets.items() for c in cs]
+    df = spark.createDataFrame(rows, "sheet long, no long, x double, y double, r double, note string").repartition(3)
+    got = measures.merged_tiles(df, ["sheet"])
+    assert got.columns == ["sheet", "no", "x", "y", "r", "note", "kept"]
+    made = {}
+    for r in got.collect():
+        made.setdefault(r["sheet"], {})[r["no"]] = r["kept"]
+    assert made == {s: plain(cs) for s, cs in sheets.items()}
+    assert measures.merged_tiles(df.where("false"), ["sheet"]).collect() == []
