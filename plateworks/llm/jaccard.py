@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from plateworks.llm import bpe
 from plateworks.llm.components import components
-from plateworks.llm.names import packed
+from plateworks.llm.names import packed, restored
 from plateworks.llm.store import checkpointed, written
 
 N, LEAST, RECALL = 5, 0.8, 0.999
@@ -313,4 +313,4 @@ def distinct_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     d = packed(docs, _k=F.col(key), _h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     # Kept first, so that only what stays is sent to be told apart.
     d = d.join(marks, d["_k"].eqNullSafe(marks["_k2"]) & (d["_h"] == marks["_h2"]), "left_semi").dropDuplicates(["_k", "_h"])
-    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return d.select(*[c for _, c in restored(docs.columns)])

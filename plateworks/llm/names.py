@@ -16,14 +16,22 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def packed(df: DataFrame, row: str = "_row", **more: Column) -> DataFrame:
-    """All columns of df as one struct, and beside it the columns of more, which are made from those of df."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row), *[c.alias(k) for k, c in more.items()])
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The columns of df as _row0, _row1 and so on, and beside them the columns of more, which are made from those of df.
 
+    They stay separate columns, so that what a caller drops later isn't read or shuffled.
+    """
+    return df.select(*[F.col(f"`{c}`").alias(f"_row{i}") for i, c in enumerate(df.columns)], *[c.alias(k) for k, c in more.items()])
 
-def unpacked(df: DataFrame, columns: Iterable[str], out: str, made: Column, row: str = "_row") -> DataFrame:
+
+def restored(columns: Iterable[str]) -> list[tuple[str, Column]]:
+    """The columns of packed() under their own names."""
+    return [(c, F.col(f"_row{i}").alias(c)) for i, c in enumerate(columns)]
+
+
+def unpacked(d: DataFrame, columns: Iterable[str], out: str, made: Column) -> DataFrame:
     """The columns of packed() again, without any named as out, and made as out after them."""
     # Made in a select of its own, where no column of the caller can be meant by a name in it.
-    d = df.select(row, made.alias("_made"))
-    kept = [F.col(row).getField(c).alias(c) for c in columns if c.lower() != out.lower()]
-    return d.select(*kept, F.col("_made").alias(out))
+    columns = list(columns)
+    d = d.select(*[f"_row{i}" for i in range(len(columns))], made.alias("_made"))
+    return d.select(*[c for name, c in restored(columns) if name.lower() != out.lower()], F.col("_made").alias(out))
