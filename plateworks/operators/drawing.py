@@ -40,3 +40,16 @@ def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], key: Sequence[
 def swept(x: Column, low: Column, high: Column) -> Column:
     """Distance of x from the interval [low, high]."""
     return F.greatest(low - x, x - high, F.lit(0.0))
+
+
+def shown_elsewhere(df: DataFrame, drawing: str, view: str, row: str, tags: str, asked: Column, visible: Column) -> DataFrame:
+    """The rows ``asked`` for all of whose tags are on a visible row of the drawing, but on none of the row's own view. Rows without tags are none.
+
+    A row is known by (drawing, row). Each tag of a row meets the views that show it, and a row stays if all its tags pass.
+    """
+    each = df.withColumn("_tag", F.explode(F.array_distinct(tags)))
+    views = each.where(visible).groupBy(drawing, "_tag").agg(F.collect_set(view).alias("_views"))
+    met = each.where(asked).join(views, [drawing, "_tag"], "left")
+    passes = F.coalesce(~F.array_contains("_views", F.col(view)), F.lit(False))
+    good = met.groupBy(drawing, row).agg(F.bool_and(passes).alias("_all")).where("_all").drop("_all")
+    return df.where(asked).join(good, [drawing, row], "left_semi")

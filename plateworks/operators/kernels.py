@@ -64,19 +64,61 @@ def greedy(df: DataFrame, by: list[str], left: str, right: str, order: list[str]
     return in_order(df, by, order).select(names).mapInArrow(take, T.StructType([df.schema[c] for c in names]))
 
 
+class _Kept:
+    """Points of a group that stay, in an array that doubles as it fills."""
+
+    def __init__(self, width: int):
+        self.rows, self.n = np.empty((16, width)), 0
+
+    def add(self, p: tuple) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.n] = p
+        self.n += 1
+
+    def first(self, p: tuple, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> int:
+        """The place of the first that p is near to, or -1."""
+        hits = near(self.rows[: self.n], np.array(p, float)) if self.n else np.empty(0, bool)
+        return int(hits.argmax()) if hits.any() else -1
+
+
+def first_kept(df: DataFrame, by: list[str], order: list[str], near: Callable[[np.ndarray, np.ndarray], np.ndarray], at: list[str], ids: str, out: str = "kept") -> DataFrame:
+    """df with ``out``: the id of the row that stands for each. In order, a row stays and stands for itself if it is near none that stays before it; else the first of those stands for it.
+
+    near gets the points (columns ``at``) that stay and a point. Groups are read row by row; what is held is the points of one group that stay.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, df.schema[ids].dataType)])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, names = _Kept(len(at)), []
+        for batch, rows in _rows(batches, by, [ids, *at]):
+            stands = []
+            for begins, (name, *p) in rows:
+                if begins:
+                    kept, names = _Kept(len(at)), []
+                first = kept.first(p, near)
+                if first < 0:
+                    kept.add(p)
+                    names.append(name)
+                stands.append(name if first < 0 else names[first])
+            yield batch.append_column(out, pa.array(stands, batch.column(ids).type))
+
+    return in_order(df, by, order).mapInArrow(keep, schema)
+
+
 def suppressed(df: DataFrame, by: list[str], order: list[str], near: Callable[[np.ndarray, np.ndarray], np.ndarray], at: list[str]) -> DataFrame:
     """Rows kept by non-maximum suppression: in order, one stays if it is near none kept before. near gets kept points and a point."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
+        kept = _Kept(len(at))
         for batch, rows in _rows(batches, by, at):
             stays = []
             for begins, p in rows:
                 if begins:
-                    kept = []
-                free = not kept or not near(np.array(kept, float), np.array(p, float)).any()
+                    kept = _Kept(len(at))
+                free = kept.first(p, near) < 0
                 if free:
-                    kept.append(p)
+                    kept.add(p)
                 stays.append(free)
             yield batch.filter(pa.array(stays, pa.bool_()))
 
@@ -123,8 +165,9 @@ def exact_round(v: pd.Series) -> pd.Series:
 
 
 def dropped_out(key: Column, seed: int, share: float) -> Column:
-    """Whether a seeded hash of the key draws below a share: the same on every run."""
-    return F.crc32(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")) / F.lit(2.0**32) < share
+    """Whether a seeded hash of the key draws below a share: the same on every run, and in SQL (the first eight digits of an md5)."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") < round(share * 2**32)
 
 
 def repaired(text: str) -> tuple[str, str]:

@@ -12,6 +12,14 @@ from plateworks.plans.registry import query
 from plateworks.sources import table
 
 
+_PAIRS = PRIMS + """, t as (select graph, view, pi as gt, x, y, r, len from p where role = 'vis'), q as (select graph, view, pi as pred, x as px, y as py, r as pr, len as pl from p where role = 'hid'),
+c as (select *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) as d from t join q using (graph, view)),
+l as (select graph, view, list([struct_pack(g := gt, p := pred)] order by {order}) as c from c where {fits} group by all),
+k as (select view, len(list_reduce(c, lambda a, e: case when list_bool_or(list_transform(a, lambda k: k.g = e[1].g or k.p = e[1].p)) then a else a || e end)) as n from l),
+s as (select view, n_gt, n_pred, coalesce(tp, 0)::bigint as tp from (select view, count(*) as n_gt from t group by view) join (select view, count(*) as n_pred from q group by view) using (view) left join (select view, sum(n)::bigint as tp from k group by view) using (view))
+select *, round(tp / n_pred, 3) as precision, round(tp / n_gt, 3) as recall, round(case when tp > 0 then 2 * (tp / n_pred) * (tp / n_gt) / (tp / n_pred + tp / n_gt) else 0 end, 3) as f1 from s"""
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = prims(spark, sf_dir)
     truth = p.where("role = 'vis'").select("graph", "view", F.col("pi").alias("gt"), "x", "y", "r", "len")
@@ -19,7 +27,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return truth, pred
 
 
-@query()
+@query(_PAIRS.format(order="gt, d, pred", fits="d < 3.5 and abs(r - pr) < greatest(1.8::double, 0.25::double * r)"))
 def greedy_curve_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truths in order take the nearest unused prediction within 3.5 and a radius within max(1.8, 25%); counts and rates by view."""
     truth, pred = _sides(spark, sf_dir)
@@ -36,7 +44,7 @@ def _rates(truth: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     return c.select("view", "n_gt", "n_pred", "tp", *[v.alias(k) for k, v in m.items()])
 
 
-@query()
+@query(_PAIRS.format(order="gt, pred", fits="y = py and ((abs(x - px) < 3 and abs(x + len - px - pl) < 3) or (abs(x - px - pl) < 3 and abs(x + len - px) < 3))"))
 def greedy_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truths in order take the first unused prediction both of whose ends are near, in either direction."""
     truth, pred = _sides(spark, sf_dir)
@@ -47,7 +55,7 @@ def greedy_line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rates(truth, pred, pairs)
 
 
-@query()
+@query(_PAIRS.format(order="gt, case when y = py then -pred else pred + 1000000 end", fits="abs(x - px) <= greatest(0.6::double, 0.02::double * abs(x))"))
 def greedy_dim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truths in order by value within max(0.6, 2%): the last unused one of the same kind, else the first that fits."""
     truth, pred = _sides(spark, sf_dir)
@@ -58,7 +66,7 @@ def greedy_dim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rates(truth, pred, pairs)
 
 
-@query()
+@query(_PAIRS.format(order="-pl, pred, d, gt", fits="d < greatest(8.0::double, 0.3::double * r) and abs(r - pr) <= 0.35::double * r"))
 def detection_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections by score take the nearest unused truth within max(8, 30%) of its radius."""
     truth, pred = _sides(spark, sf_dir)
@@ -73,7 +81,9 @@ def _close(kept: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.hypot(kept[:, 0] - p[0], kept[:, 1] - p[1]) < 0.6 * np.maximum(kept[:, 2], p[2])
 
 
-@query()
+@query(PRIMS + """, l as (select graph, view, list([struct_pack(pi := pi, x := x, y := y, r := r)] order by -r, pi) as c from p group by all),
+k as (select graph, view, unnest(list_reduce(c, lambda a, e: case when list_bool_or(list_transform(a, lambda k: 25 * ((k.x - e[1].x) * (k.x - e[1].x) + (k.y - e[1].y) * (k.y - e[1].y)) < 9 * greatest(k.r, e[1].r) * greatest(k.r, e[1].r))) then a else a || e end)) as e from l)
+select graph, view, e.pi as pi, e.r as r from k""")
 def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circles kept by falling radius where none kept is near."""
     p = prims(spark, sf_dir).select("graph", "view", "pi", "x", "y", "r").withColumn("score", -F.col("r"))
@@ -81,7 +91,9 @@ def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("graph", "view", "pi", "r")
 
 
-@query()
+@query("""with l as (select source, lang, list([struct_pack(id := doc_id, n := 1, len := n_chars, b := 0::bigint)] order by n_chars nulls first, doc_id) as c from documents group by all),
+k as (select source, lang, unnest(list_reduce(c, lambda a, e: a || [case when a[-1].n + 1 > 16 or e[1].len * (a[-1].n + 1) > 60000 then struct_pack(id := e[1].id, n := 1, len := e[1].len, b := a[-1].b + 1) else struct_pack(id := e[1].id, n := a[-1].n + 1, len := e[1].len, b := a[-1].b) end])) as e from l)
+select e.id as doc_id, source, lang, e.len as n_chars, e.b as batch from k""")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of at most 16 documents and 60,000 padded characters, by source and language."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
@@ -103,17 +115,6 @@ def number_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("p_partkey", kernels.canonical_number("v").alias("text"), kernels.exact_round("v").alias("rounded")).withColumn("same", F.col("text").cast("double") == F.col("rounded"))
 
 
-@query()
-def hidden_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden rows whose face is visible in another view and not in this one, dropped with a share of 0.3 by a seeded hash."""
-    p = prims(spark, sf_dir)
-    seen = p.where("role = 'vis'").groupBy("graph", "face").agg(F.collect_set("view").alias("views"))
-    h = p.where("role = 'hid'").join(seen, ["graph", "face"])
-    able = ~F.array_contains("views", F.col("view"))
-    key = F.concat_ws("/", "graph", "pi")
-    return h.where(able).select("graph", "pi", kernels.dropped_out(key, 7, 0.3).alias("is_dropped"))
-
-
 @query(PRIMS + """select graph, pi, '{"v":"' || view || '",' || case when role = 'vis' then '"s":1,' else '' end || '"c":[' || x || ',' || y || '],"r":' || r || '}' as text, true as same from p""")
 def compact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as short-keyed JSON and read back; nulls are left out."""

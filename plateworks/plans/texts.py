@@ -60,7 +60,8 @@ def prompt_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("prompt"), (F.col("n") > 100000).alias("too_long"))
 
 
-@query()
+# crc32 bit by bit, over the bytes of a text.
+@query("select p_partkey, xor(list_reduce([4294967295::bigint] || list_transform(string_split('0:' || p_partkey, ''), lambda x: ascii(x)::bigint), lambda c, b: list_reduce([xor(c, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) as seed from part")
 def seed_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seed for each record: crc32 of the run's seed and the record's id."""
     return table(spark, sf_dir, "part").select("p_partkey", F.crc32(F.concat(F.lit("0:"), F.col("p_partkey").cast("string")).cast("binary")).alias("seed"))
