@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plateworks.operators import selection
+from plateworks.shared import written
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str, spread: bool = True) -> DataFrame:
@@ -20,12 +21,20 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, spread: bool = True)
 
     Groups of any size are ordered slice by slice; ``spread=False`` is for groups that stay small, such as one drawing.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    return ranked(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, spread)
+
+
+def ranked(counted: DataFrame, by: Sequence[str], value: str, spread: bool = True) -> DataFrame:
+    """As histogram(), of values that are counted already: (by, value, _n), one row for each value.
+
+    Spread counts are written to the shared folder, as the offsets of slices are an aggregate of the same table: what is above is worked out once.
+    """
+    counted = counted.where(F.col(value).isNotNull()).select(*by, value, "_n")
     group = Window.partitionBy(*by)
     if not spread:
         upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return counted.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(group))
-    d = selection.with_offsets(counted.withColumn("_part", selection.slice_of(F.col(value))), by, "_part", F.sum("_n"))
+    d = selection.with_offsets(written(counted.withColumn("_part", selection.slice_of(F.col(value))), "histogram"), by, "_part", F.sum("_n"))
     upto = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.withColumn("_upto", F.col("_before") + F.sum("_n").over(upto)).drop("_part", "_before")
 
@@ -58,7 +67,11 @@ def true_median(value: str) -> Column:
 
 def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, n, min, median (truncated), mean (1 decimal), p90, p95, p99, max: the floor form of percentiles."""
-    h = histogram(df, by, value)
+    return described(histogram(df, by, value), by, value)
+
+
+def described(h: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """The same of a histogram."""
     mean = F.sum(F.col(value) * F.col("_n")) / F.sum("_n")
     ranks = {f"p{q}": at_rank(value, floor_index(q)) for q in (90, 95, 99)}
     return h.groupBy(*by).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plateworks.operators import rules, stats
 from plateworks.plans.registry import query
+from plateworks.shared import written
 from plateworks.sources import table
 
 WARN, FAIL = 6.0, 7.0
@@ -44,18 +45,19 @@ DIST = """count(*) as n, min(v) as min, floor(median(v))::bigint as median, roun
 k as (select lang, {DIST} from (select lang, n_words as v from a where status = 'OK') group by lang)
 select lang, n_pairs, n_skipped, n_quarantined, n_warned, over_512, n, min, median, mean, p90, p95, p99, max from t left join k using (lang)""")
 def audited_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a language: statuses, warnings, cap coverage and the distribution of what is kept."""
-    a = audited(spark, sf_dir)
-    kept = a.where(F.col("status") == "OK")
-    is_ = lambda c, v: F.count_if(F.col(c) == v)
-    totals = a.groupBy("lang").agg(
-        F.count("*").alias("n_pairs"),
-        is_("status", "SKIP").alias("n_skipped"),
-        is_("status", "QUARANTINE").alias("n_quarantined"),
-        is_("severity", "warning").alias("n_warned"),
-        F.count_if((F.col("status") == "OK") & (F.col("n_words") + 40 > 512)).alias("over_512"),
+    """One row a language: statuses, warnings, cap coverage and the distribution of what is kept. Documents are read once, into counts."""
+    counts = written(audited(spark, sf_dir).groupBy("lang", "status", "severity", "n_words").agg(F.count("*").alias("_n")), "audited")
+    total = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    ok = F.col("status") == "OK"
+    totals = counts.groupBy("lang").agg(
+        F.sum("_n").alias("n_pairs"),
+        total(F.col("status") == "SKIP").alias("n_skipped"),
+        total(F.col("status") == "QUARANTINE").alias("n_quarantined"),
+        total(F.col("severity") == "warning").alias("n_warned"),
+        total(ok & (F.col("n_words") + 40 > 512)).alias("over_512"),
     )
-    return totals.join(stats.distribution(kept, ["lang"], "n_words"), "lang", "left")
+    kept = counts.where(ok).groupBy("lang", "n_words").agg(F.sum("_n").alias("_n"))
+    return totals.join(stats.described(stats.ranked(kept, ["lang"], "n_words"), ["lang"], "n_words"), "lang", "left")
 
 
 @query(AUDITED + "select doc_id, status, severity from a")

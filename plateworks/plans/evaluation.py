@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plateworks.operators import rules, stats
 from plateworks.plans.registry import query
+from plateworks.shared import written
 from plateworks.sources import table
 
 #: Failure labels in the order in which they are tested.
@@ -59,13 +60,18 @@ select run, count(*) as n, round(avg(v), 6) as mean, round(median(v), 6) as medi
 def fold_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best score of each fixture of the whole subset; missing and unscored ones count as 0."""
     r = rows(spark, sf_dir)
-    best = r.groupBy("run", "fixture").agg(F.max("iou").alias("iou"))
-    # Runs are few; pairing them with the fixtures is the subset that scores are folded over.
-    grid = best.select("fixture").distinct().join(F.broadcast(best.select("run").distinct()))
-    folded = grid.join(best, ["run", "fixture"], "left").withColumn("v", F.coalesce("iou", F.lit(0.0)))
-    main = folded.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.count("iou") / F.count("*"), 6).alias("valid_rate"))
-    h = stats.histogram(folded, ["run"], "v").groupBy("run").agg(F.round(stats.true_median("v"), 6).alias("median"))
-    return main.join(h, "run")
+    best = written(r.groupBy("run", "fixture").agg(F.max("iou").alias("iou")), "best")
+    fixtures = best.agg(F.count_distinct("fixture").alias("_all"))  # one row
+    # Fixtures that a run lacks are so many zeros more.
+    v = F.coalesce("iou", F.lit(0.0))
+    counted = best.groupBy("run", v.alias("v")).agg(F.count("*").alias("_n"))
+    missing = best.groupBy("run").agg(F.count("*").alias("_k")).join(F.broadcast(fixtures)).select("run", F.lit(0.0).alias("v"), (F.col("_all") - F.col("_k")).alias("_n")).where("_n > 0")
+    counted = counted.unionByName(missing).groupBy("run", "v").agg(F.sum("_n").alias("_n"))
+    h = stats.ranked(counted, ["run"], "v")
+    mean = F.sum(F.col("v") * F.col("_n")) / F.sum("_n")
+    folded = h.groupBy("run").agg(F.sum("_n").alias("n"), F.round(mean, 6).alias("mean"), F.round(stats.true_median("v"), 6).alias("median"))
+    valid = best.groupBy("run").agg(F.count("iou").alias("_ok"))
+    return folded.join(valid, "run").select("run", "n", "mean", "median", F.round(F.col("_ok") / F.col("n"), 6).alias("valid_rate"))
 
 
 SCORES = ROWS + """, s as (select run, fixture, arg_max(case when k < 5 then 'missing' when k < 10 then 'invalid' else 'valid' end, event_id) as status, coalesce(arg_max(coalesce(iou, 0), event_id), 0) as score,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plateworks.operators import drawing, graph, rules, selection, stats
 from plateworks.plans.registry import query
+from plateworks.shared import written
 from plateworks.sources import table
 
 _ALL = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -57,13 +58,6 @@ def dup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("graph", "view", "role", "x", "y", "len", "first_pi", text("id").alias("ids"), text("face").alias("faces"))
 
 
-@query(PRIMS + "select graph, view, x, y, len, case when bool_or(role = 'vis') and bool_or(role = 'hid') then 'vh' else min(role) end as role, count(*) as n from p group by graph, view, x, y, len")
-def hidden_into_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prims(spark, sf_dir).groupBy("graph", "view", "x", "y", "len")
-    both = F.bool_or(F.col("role") == "vis") & F.bool_or(F.col("role") == "hid")
-    return p.agg(F.when(both, "vh").otherwise(F.min("role")).alias("role"), F.count("*").alias("n"))
-
-
 @query(PRIMS + "select graph, view, pi, row_number() over (partition by graph order by case view when 'N' then 0 when 'R' then 1 else 9 end, view, case role when 'vis' then 0 else 1 end, x, y, r, pi) as place from p")
 def canonical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order of views (known ones first), roles, first point, radius; ties by emission."""
@@ -91,18 +85,6 @@ def ref_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b.select(F.lit("order").alias("rule"), F.col("l_orderkey").alias("id")))
 
 
-_WALK = """with recursive n as (select s_suppkey as id, case when s_suppkey % 7 <> 0 then (s_suppkey * 3 + 1) % 100 end as parent from {t}),
-w as (select id, parent as at, 1 as depth from n where parent is not null
- union all select w.id, n.parent as at, w.depth + 1 as depth from w join n on n.id = w.at where n.parent is not null and w.depth < 12)
-select id, max(depth) as depth, max(depth) >= 12 as in_cycle from w group by id"""
-
-
-@query(_WALK.format(t="supplier"))
-def parent_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features whose walk over parents does not end within 12 steps, as its SQL has it; parent_cycle_all walks to the end. A supplier's parent is a function of its key."""
-    return spark.sql(_WALK, t=table(spark, sf_dir, "supplier"))
-
-
 @query("""with recursive n as (select s_suppkey as id, case when s_suppkey % 7 <> 0 then (s_suppkey * 3 + 1) % 100 end as parent, (select count(*) from supplier) as most from supplier),
 w as (select id, parent as at, 1 as depth, most from n where parent is not null
  union all select w.id, n.parent as at, w.depth + 1 as depth, w.most from w join n on n.id = w.at where n.parent is not null and w.depth <= w.most)
@@ -216,7 +198,7 @@ def _shares(c: str) -> str:
 @query(PRIMS + f"""select graph, t.share as recall, q.share as precision from ({_shares(_coverage('hid', 'vis'))}) t full join ({_shares(_coverage('vis', 'hid'))}) q using (graph)""")
 def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length-weighted share of the lines of one side, sampled every 6 units at most, that lies within 7 of a line of the other side in the view: recall and precision."""
-    p = prims(spark, sf_dir).select("graph", "view", "role", "pi", "x", "y", "len")
+    p = written(prims(spark, sf_dir), "prims").select("graph", "view", "role", "pi", "x", "y", "len")
 
     def share(a: str, b: str, name: str) -> DataFrame:
         m, i = F.col("m"), F.col("i")
@@ -234,20 +216,6 @@ def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share("hid", "vis", "recall").join(share("vis", "hid", "precision"), "graph", "full")
 
 
-@query(PRIMS + """, r as (select distinct graph, r from p where role = 'vis'), e as (select distinct graph, len as e from p where role = 'hid'),
-s as (select distinct r.graph, r.r / e.e as s from r join e using (graph)),
-v as (select s.graph, s.s, count(distinct r.r) as support from s join r using (graph) join e using (graph) where abs(r.r - s.s * e.e) <= 0.06 * r.r group by all)
-select graph, round(arg_max(s, (support, -s)), 9) as scale, max(support) as support from v group by graph""")
-def scale_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scale that most radii agree on within 6 percent, the smallest of equals."""
-    p = prims(spark, sf_dir)
-    r = p.where("role = 'vis'").select("graph", "r").distinct()
-    e = p.where("role = 'hid'").select("graph", F.col("len").alias("e")).distinct()
-    s = r.join(e, "graph").select("graph", (F.col("r") / F.col("e")).alias("s")).distinct()
-    v = s.join(r, "graph").join(e, "graph").where(F.abs(F.col("r") - F.col("s") * F.col("e")) <= F.lit(0.06) * F.col("r")).groupBy("graph", "s").agg(F.count_distinct("r").alias("support"))
-    return v.groupBy("graph").agg(F.round(F.max_by("s", F.struct("support", -F.col("s"))), 9).alias("scale"), F.max("support").alias("support"))
-
-
 @query(PRIMS + "select graph, count(*) as n_votes, round(median(x / r), 6) as px_per_mm, round(stddev_pop(x / r) / median(x / r), 6) as spread from p group by graph")
 def scale_selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of the votes of a drawing's bound diameters and how far they spread."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plateworks.operators import drawing, kernels, recovery, solve, tiles
 from plateworks.plans.graphs import PRIMS, prims
 from plateworks.plans.registry import query
+from plateworks.shared import written
 from plateworks.sources import table
 
 
@@ -24,7 +25,7 @@ k as (select graph, unnest(list_reduce(c, lambda a, e: case when list_bool_or(li
 select graph, e.no as no, e.x as x, e.y as y, round(e.r, 6) as r from k""")
 def anchor_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circles that a diameter is written for and that no detection stands for, at the scale that the other diameters of the drawing give."""
-    p = prims(spark, sf_dir).withColumns({"x": F.col("x") * 6.0, "y": F.col("y") * 12.0})
+    p = written(prims(spark, sf_dir), "prims").withColumns({"x": F.col("x") * 6.0, "y": F.col("y") * 12.0})
     detections = p.where("role = 'hid'").select("graph", "x", "y", (F.col("r") * 5.0).alias("r"))
     anchors = p.where("role = 'vis' and face % 4 < 2").select("graph", F.col("pi").alias("no"), "x", "y", (2 * F.col("r") + F.col("face") % 2).cast("double").alias("value"))
     return recovery.recovered(detections, anchors, "graph").withColumn("r", F.round("r", 6))
@@ -52,7 +53,7 @@ f as (select graph, role as kind, len / 10.0 as value, refs, min(tile * 1000000
 select graph, row_number() over (partition by graph order by first) as no, kind, value::double as value, array_to_string(refs, ',') as refs, n_merged from f""")
 def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations of merged tiles, with references to the lines and circles that stay; equal kind, value and set of references are one."""
-    p = prims(spark, sf_dir)
+    p = written(prims(spark, sf_dir), "prims")
     line = F.col("pi") % 3 != 0
     tile = F.when(F.col("view") == "A", 0).when(F.col("view") == "N", 1).otherwise(2)
     n, x, odd = F.col("len"), F.col("x") * 4, F.col("pi") % 2

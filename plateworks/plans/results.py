@@ -9,6 +9,7 @@ from plateworks.operators import kernels, stats
 from plateworks.plans.graphs import PRIMS, prims
 from plateworks.plans.registry import SQL, query
 from plateworks.plans.serial import serialised
+from plateworks.shared import written
 from plateworks.sources import table
 
 
@@ -47,7 +48,7 @@ b as (select view, count(*) as n_dims, round(count(*) filter (same_kind) / count
 select view, n_curves, type_agree_rate, n_dims, type_acc, link_total, link_ok, round(link_ok / nullif(link_total, 0), 3) as link_acc from a full join b using (view)""")
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of types over matched curves, of kinds over matched dimensions, and whether the references of a dimension, mapped through the curves, are those of its truth."""
-    p = prims(spark, sf_dir).select("graph", "view", "role", "pi", "x", "y", "r", "face")
+    p = written(prims(spark, sf_dir), "prims").select("graph", "view", "role", "pi", "x", "y", "r", "face")
 
     def side(role: str, by: list[str], name: str, *more: str) -> DataFrame:
         n = F.row_number().over(Window.partitionBy("graph", "view", *by).orderBy("pi"))

@@ -58,13 +58,6 @@ def iid_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.orderBy(selection.draw(F.col("p_partkey"), 9), "p_partkey").limit(100)
 
 
-@query("select p_type, min(h) as first_draw, count(*) as n, greatest(1, (count(*) * 0.1)::int - ((count(*) * 0.1)::int > count(*) * 0.1)::int) as n_val from (select p_type, md5('3:' || p_partkey) as h from part) group by 1")
-def prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows of a shuffled list are for validation: a tenth, at least one."""
-    p = table(spark, sf_dir, "part").withColumn("h", selection.draw(F.col("p_partkey"), 3))
-    return p.groupBy("p_type").agg(F.min("h").alias("first_draw"), F.count("*").alias("n"), F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(0.1))).cast("int").alias("n_val"))
-
-
 @query("select doc_id, lang, row_number() over (partition by lang order by n_chars, doc_id) as place, n_chars from documents")
 def length_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank by length within the language, ties by id."""

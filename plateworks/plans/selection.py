@@ -124,23 +124,6 @@ def pair_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.first_by(f, ["graph"], F.col("rank"), ["image"])
 
 
-@query("""with b as (select item_id, unnest(string_split(text, '.')) as line, generate_subscripts(string_split(text, '.'), 1) as pos from benchmark),
-g as (select source, unnest(string_split(text, '.')) as line, generate_subscripts(string_split(text, '.'), 1) as pos from (select source, arg_min(text, doc_id) as text from documents group by source)),
-n as (select item_id, count(*) as nb from b group by 1), m as (select source, count(*) as ng from g group by 1),
-j as (select b.item_id, g.source, count(*) filter (b.line = g.line) as same from b join g using (pos) group by all)
-select n.item_id, count(*) filter (nb = ng and nb - coalesce(same, 0) <= greatest(20, nb // 200)) as n_leaks from n cross join m left join j on j.item_id = n.item_id and j.source = m.source group by n.item_id""")
-def leak_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against each source's first document only, as its SQL has it; leak_positional_all takes all documents."""
-    cut = lambda df, key: df.select(key, F.size(F.split("text", r"\.", -1)).alias("n"), F.split("text", r"\.", -1).alias("lines"))
-    items = cut(table(spark, sf_dir, "benchmark"), "item_id")
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
-    # Equal numbers of lines are the equality that the join needs; no other pair can be a leak.
-    pairs = items.join(cut(docs, "source").select("n", F.col("lines").alias("theirs")), "n")
-    same = F.size(F.filter(F.zip_with("lines", "theirs", lambda a, b: a == b), lambda x: x))
-    leaks = pairs.where(F.col("n") - same <= F.greatest(F.lit(20), F.floor(F.col("n") / 200))).groupBy("item_id").agg(F.count("*").alias("_l"))
-    return items.select("item_id").join(leaks, "item_id", "left").select("item_id", F.coalesce("_l", F.lit(0)).cast("long").alias("n_leaks"))
-
-
 @query("""with b as (select item_id, string_split(text, '.') as lines from benchmark), d as (select row_number() over () as doc, string_split(text, '.') as lines from documents),
 p as (select item_id, doc, b.lines as x, d.lines as y, unnest(range(1, len(b.lines) + 1)) as pos from b join d on len(b.lines) = len(d.lines)),
 q as (select item_id, doc, count(*) as n, count(*) filter (x[pos] = y[pos]) as same from p group by all),
@@ -149,13 +132,24 @@ select item_id, coalesce(n_leaks, 0) as n_leaks from benchmark left join l using
 def leak_positional_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items against all documents, line by line (here: sentence): as many lines and few that differ are a leak."""
     cut = lambda t, *key: table(spark, sf_dir, t).select(*key, F.split("text", r"\.", -1).alias("lines")).withColumn("n", F.size("lines"))
-    items, docs, may = cut("benchmark", "item_id"), cut("documents"), 20
+    items, docs = cut("benchmark", "item_id"), cut("documents")
     # Up to so many lines all may differ, so that documents count by their number of lines.
+    may = F.greatest(F.lit(20), F.floor(F.col("n") / 200).cast("int"))
     short = items.where(F.col("n") <= may).join(docs.where(F.col("n") <= may).groupBy("n").agg(F.count("*").alias("_l")), "n").select("item_id", "_l")
-    pairs = items.where(F.col("n") > may).join(docs.where(F.col("n") > may).select("n", F.col("lines").alias("theirs")), "n")
+    # Longer ones are cut into one run more than lines may differ: a leak shares a whole run, so equal runs in one place are what is joined.
+    bounds = F.sequence(F.lit(0), may)
+    begin = lambda i: F.floor(i * F.col("n") / (may + 1)).cast("int")
+    runs = F.transform(bounds, lambda i: F.struct(i.alias("run"), F.xxhash64(F.slice("lines", begin(i) + 1, begin(i + 1) - begin(i))).alias("h")))
+    # Equal documents count together.
+    long = docs.where(F.col("n") > may).groupBy("n", "lines").agg(F.count("*").alias("times")).withColumn("doc", F.xxhash64("lines")).withColumn("doc2", F.xxhash64("lines", F.lit(2)))
+    asked = items.where(F.col("n") > may)
+    places = lambda df, *key: df.select("n", *key, F.explode(runs).alias("r")).select("n", *key, "r.run", "r.h")
+    pairs = places(asked, "item_id").join(places(long, "doc", "doc2"), ["n", "run", "h"]).select("item_id", "n", "doc", "doc2").distinct()
+    both = pairs.join(asked.select("item_id", "lines"), "item_id").join(long.select("doc", "doc2", "times", F.col("lines").alias("theirs")), ["doc", "doc2"])
     same = F.size(F.filter(F.zip_with("lines", "theirs", lambda a, b: a == b), lambda x: x))
-    long = pairs.where(F.col("n") - same <= F.greatest(F.lit(may), F.floor(F.col("n") / 200))).groupBy("item_id").agg(F.count("*").alias("_l"))
-    return items.select("item_id").join(short.unionByName(long), "item_id", "left").select("item_id", F.coalesce("_l", F.lit(0)).cast("long").alias("n_leaks"))
+    found = both.where(F.col("n") - same <= may).groupBy("item_id").agg(F.sum("times").alias("_l"))
+    leaks = short.unionByName(found).groupBy("item_id").agg(F.sum("_l").alias("_l"))
+    return items.select("item_id").join(leaks, "item_id", "left").select("item_id", F.coalesce("_l", F.lit(0)).cast("long").alias("n_leaks"))
 
 
 @query("select o_orderkey as id, coalesce(case when o_orderkey % 3 = 0 then o_orderpriority end, case when o_orderkey % 3 = 1 then o_orderstatus end, 'visible') as line_role from orders")

@@ -9,20 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateworks.operators import drawing, rules, selection
+from plateworks.operators.records import number
 from plateworks.plans.graphs import PRIMS, prims
 from plateworks.plans.registry import query
+from plateworks.shared import written
 from plateworks.sources import table
 
 #: Bins of the shared grid.
 GRID = 1000
 
 
-def number(v: Column) -> Column:
-    """Canonical text of a number: two decimals without trailing zeros, no negative zero."""
-    s = F.regexp_replace(F.format_string("%.2f", v.cast("double")), r"\.?0+$", "")
-    return F.when(v.isNotNull(), F.when(s == "-0", "0").otherwise(s))
-
-
 _NUM = "case when regexp_replace(printf('%.2f', ({0})::double), '\\.?0+$', '') = '-0' then '0' else regexp_replace(printf('%.2f', ({0})::double), '\\.?0+$', '') end"
 
 
@@ -248,7 +244,7 @@ select graph, 'PART unit=mm bbox=' || any_value(w) || ',' || any_value(h) || ' g
 from vs join ext using (graph) left join dims using (graph) group by graph""")
 def serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each drawing: hidden lines that visible ones cover left out, coordinates on the shared grid, tags and diameters at their primitives, other annotations as dimensions."""
-    p = prims(spark, sf_dir)
+    p = written(prims(spark, sf_dir), "prims")
     x, y, r, n = (F.col(c) for c in ("x", "y", "r", "len"))
     line = F.col("pi") % 3 != 0
     ext = p.groupBy("graph").agg(F.max(F.greatest(x + n, x + r, y + r)).alias("ext"), F.max(x + n).alias("w"), F.max(y + r).alias("h"))

@@ -134,20 +134,6 @@ def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(b, "label").select("vec_id", unit("x").alias("ux"), unit("y").alias("uy"), F.round(F.col("z") - F.col("z0"), 6).alias("az"))
 
 
-@query(_CLOUD + """, v as (select distinct label, floor(x * 4)::bigint as i, floor(y * 4)::bigint as j, floor(z * 4)::bigint as k from c),
-n as (select label, count(*) as n from v group by 1), s as (select a.label as la, b.label as lb, count(*) as shared from v a join v b using (i, j, k) where a.label < b.label group by all)
-select la, lb, shared, na.n + nb.n - shared as either, round(shared / (na.n + nb.n - shared), 6) as iou from s join n na on na.label = la join n nb on nb.label = lb""")
-def voxel_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occupied cells that two clouds share: cells are distinct before they meet."""
-    cell = lambda a: F.floor(F.col(a) * 4).cast("long")
-    v = cloud(spark, sf_dir).select("label", cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("k")).distinct()
-    n = v.groupBy("label").agg(F.count("*").alias("n"))
-    a, b = v.withColumnRenamed("label", "la"), v.withColumnRenamed("label", "lb")
-    s = a.join(b, ["i", "j", "k"]).where("la < lb").groupBy("la", "lb").agg(F.count("*").alias("shared"))
-    s = s.join(n.toDF("la", "na"), "la").join(n.toDF("lb", "nb"), "lb").withColumn("either", F.col("na") + F.col("nb") - F.col("shared"))
-    return s.select("la", "lb", "shared", "either", F.round(F.col("shared") / F.col("either"), 6).alias("iou"))
-
-
 @query(_CLOUD + """, d as (select a.label, a.vec_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from c a join c b on b.label = (a.label + 1) % 10 group by all)
 select label, count(*) as n, round(avg(d), 5) as mean_sq from d group by label""")
 def chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
