@@ -54,10 +54,16 @@ def usable(v: Column) -> Column:
     return F.coalesce(finite & F.exists(wide, lambda x: x != 0), F.lit(False))
 
 
+def mild(vectors: np.ndarray) -> np.ndarray:
+    """The vectors, each divided by the power of 2 that brings its largest component to 0.5 or more but under 1: squares neither over- nor underflow, and cosines stay."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 class Block:
     """Vectors with their sorted projections."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int):
+        vectors = mild(vectors)
         self.ids, self.vectors, self.seed = ids, vectors, seed
         self.norm = np.sqrt((vectors * vectors).sum(axis=1))
         places = ((vectors / self.norm[:, None]) @ directions(vectors.shape[1], PROJECTIONS, seed)).T
@@ -78,6 +84,7 @@ class Block:
 
     def nearest(self, qids: list[int], queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids and cosines of the k nearest that are found for each query, nearest first; rows with its own id are passed over."""
+        queries = mild(queries)
         lows, highs = (w.tolist() for w in self.windows(queries))
         for qid, query, low, high in zip(qids, queries, lows, highs, strict=True):
             yield self._nearest(qid, query, low, high, k)
