@@ -26,8 +26,8 @@ from plateworks.llm.names import fresh
 
 #: Labelled documents taken for a language (in expectation), and characters in all that its automaton is built of, at most: each gives a piece.
 DOCS, CHARS = 400, 60_000
-#: Languages learned at most (those with most labelled documents), and characters of all of them together.
-LANGS, ALL_CHARS = 64, 1_500_000
+#: Characters of all languages together, and what each has at least: these bound the model, and so do they the number of languages (30,000).
+ALL_CHARS, LEAST_CHARS = 1_500_000, 50
 SEGMENT = 256
 #: Bytes up to which the automata of a worker are laid out as dense tables; others look their transitions up.
 DENSE_BYTES = 160 << 20
@@ -217,23 +217,24 @@ class Model:
         return langs, scores, bits
 
 
-def fit(labelled: DataFrame, *, key: str, text: str, lang: str, docs: int = DOCS, langs: int = LANGS) -> Model:
+def fit(labelled: DataFrame, *, key: str, text: str, lang: str, docs: int = DOCS) -> Model:
     """The model of a bounded sample: about ``docs`` documents a language by the hash of key and text, of each a piece at a place that the hash draws.
 
-    The ``langs`` languages with most labelled documents are learned, others (a dirty column may have any number) are not. Null languages and null
-    texts are not sampled. The sample is the only thing that comes to the driver: at most about ALL_CHARS characters.
+    All languages are learned, as long as each can have LEAST_CHARS of ALL_CHARS; of more (a dirty column may have any number) those with most labelled
+    documents. Null languages and null texts are not sampled. The sample is the only thing that comes to the driver: at most about ALL_CHARS characters.
     """
     named = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    counts = named.groupBy("l").count().orderBy(F.desc("count"), "l").limit(langs).collect()
+    counts = named.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(ALL_CHARS // LEAST_CHARS).collect()
     chars = min(CHARS, ALL_CHARS // max(1, len(counts)))
+    piece = max(LEAST_CHARS, chars // docs)
+    # A language that has few characters gets them from few documents.
+    share = lambda n: min(1_000_000, 1 + 1_000_000 * min(docs, max(1, 2 * chars // piece)) // n)
+    known = labelled.sparkSession.createDataFrame([(r["l"], share(r["n"])) for r in counts], "l string, share long")  # a row a language
     drawn = named.withColumn("h", F.xxhash64(F.lit("sample"), "k", "t"))
     draw = F.pmod("h", F.lit(1_000_000))
-    wanted = F.lit(False)
-    for row in counts:
-        wanted = wanted | ((F.col("l") == row["l"]) & (draw < min(1_000_000, 1 + 1_000_000 * docs // row["count"])))
-    piece = max(50, chars // docs)
     place = F.pmod(F.xxhash64(F.lit("place"), "h"), F.greatest(F.char_length("t") - piece + 1, F.lit(1)).cast("long")).cast("int")
-    rows = drawn.where(wanted).select("l", F.substring("t", place + 1, F.lit(piece)).alias("t"), draw.alias("d")).orderBy("d", "t").collect()
+    sampled = drawn.join(F.broadcast(known), "l").where(draw < F.col("share"))
+    rows = sampled.select("l", F.substring("t", place + 1, F.lit(piece)).alias("t"), draw.alias("d")).orderBy("d", "t").collect()
     texts: dict[str, list[str]] = {}
     for r in rows:
         texts.setdefault(r["l"], []).append(r["t"])
