@@ -1,54 +1,15 @@
-"""Where intermediate tables go: the shared folder that the cluster names."""
+"""Where intermediate tables go: the shared folder that the cluster names, by the library's own helper."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from plateworks.shared import mark, release, shared_dir, written
 
-#: Folders that this process has written and not yet released, oldest first.
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset, a local master gets a new temporary folder; on a cluster that is an error."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        master = sc.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='plateworks-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there. release() deletes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plateworks-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["checkpointed", "mark", "release", "shared_dir", "written"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder. Its files go with the last reference if spark.cleaner.referenceTracking.cleanCheckpoints is true, else with the folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def mark() -> int:
-    """How many written tables there are now, for release()."""
-    return len(_WRITTEN)
-
-
-def release(spark: SparkSession, begin: int = 0, end: int | None = None) -> None:
-    """Deletes the tables written between two marks: for callers who have stored what was made of them."""
-    for path in _WRITTEN[begin:end]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _WRITTEN[begin:end]

@@ -85,7 +85,7 @@ def test_pipeline_is_its_plain_version(spark, tik):
 
 def test_stages_keep_extra_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
-    names = ["target", "_hash", "n_lines", "_words", "_order", "_row", "_key", "size"]
+    names = ["_quality", "_lines", "_mix", "target", "_hash", "n_lines", "_words", "_order", "_row", "_key", "size"]
     docs = docs.withColumns({c: F.lit(c) for c in names})
     for name, stage in corpus_pipeline.STAGES[:4]:
         docs = corpus_pipeline.written(stage(spark, docs, SF), name)
