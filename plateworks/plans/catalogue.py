@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plateworks.plans import bundles, checks, evaluation, graphs, kernels, measures, projected, recover, results, roundtrip, sampling, selection, serial, shapes, texts  # noqa: F401  they register
+from plateworks.plans import bundles, checks, evaluation, exports, graphs, kernels, measures, projected, recover, results, roundtrip, sampling, selection, serial, shapes, texts  # noqa: F401  they register
 from plateworks.plans.registry import QUERIES, SQL, Query
 
 
