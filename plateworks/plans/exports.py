@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateworks.operators import emit
+from plateworks.operators import bundles, emit, kernels, stats
 from plateworks.plans.graphs import PRIMS, prims
 from plateworks.plans.registry import query
 from plateworks.shared import written
@@ -101,3 +101,89 @@ def dimension_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, g, t = (F.col(c) for c in "abgt")
     md5 = lambda c: F.md5(F.regexp_replace(c, r"-(0\.0+)(?![0-9])", "$1").cast("binary"))
     return p.select("p_partkey", *[md5(emit.dimension(a, b, g, t, F.col("text"), x)).alias(n) for n, x in (("across", True), ("upright", False))], md5(emit.centre_cross(a, g, b)).alias("cross"))
+
+
+_TAKE = "list_reduce(c, lambda a, e: case when list_bool_or(list_transform(a, lambda k: k.g = e[1].g or k.p = e[1].p)) then a else a || e end)"
+
+
+def _take(name: str, of: str, by: str, order: str, more: str = "") -> str:
+    return f"{name} as (select {by}, unnest({_TAKE}) as e from (select {by}, list([struct_pack(g := gt, p := pred{more})] order by {order}) as c from {of} group by all))"
+
+
+@query(PRIMS + f""", b as (select graph, view, pi, role, case pi % 3 when 0 then 'line' when 1 then 'circle' else 'arc' end as type, unnest(['all', case when face % 3 = 0 then 'hidden' else 'visible' end]) as scope, x, y, r, len, face from p),
+t as (select graph, view, scope, pi as gt, type, x, y, r, len, face from b where role = 'vis'), q as (select graph, view, scope, pi as pred, type as pt, x as px, y as py, r as pr, len as pl, face as pf from b where role = 'hid'),
+cc as (select *, sqrt((x - px) ** 2 + (y - py) ** 2) as d from t join q using (graph, view, scope) where type <> 'line' and pt <> 'line' and sqrt((x - px) ** 2 + (y - py) ** 2) < 3.5 and abs(r - pr) < greatest(1.8::double, 0.25::double * r)),
+lc as (select * from t join q using (graph, view, scope) where type = 'line' and pt = 'line' and y = py and ((abs(x - px) < 3 and abs(x + len - px - pl) < 3) or (abs(x - px - pl) < 3 and abs(x + len - px) < 3))),
+dc as (select *, 2 * r + x % 5 / 10.0::double as v, 2 * pr + px % 5 / 10.0::double as pv from t join q using (graph, view, scope) where scope = 'all' and face % 4 < 2 and pf % 4 < 2 and abs(2 * r + x % 5 / 10.0::double - 2 * pr - px % 5 / 10.0::double) <= greatest(0.6::double, 0.02::double * abs(2 * r + x % 5 / 10.0::double))),
+{_take('cm', 'cc', 'graph, view, scope', 'gt, d, pred', ', same := type = pt')}, {_take('lm', 'lc', 'graph, view, scope', 'gt, pred')},
+{_take('dm', 'dc', 'graph, view', 'gt, case when face % 3 = pf % 3 then -pred else pred + 1000000 end', ', kind := face % 3, same := face % 3 = pf % 3, err := abs(v - pv)')},
+n as (select view, 'curve' as part, scope, count(*) filter (role = 'vis') as n_gt, count(*) filter (role = 'hid') as n_pred from b where type <> 'line' group by all union all select view, 'line', scope, count(*) filter (role = 'vis'), count(*) filter (role = 'hid') from b where type = 'line' group by all
+ union all select view, 'dimension', 'all', count(*) filter (role = 'vis'), count(*) filter (role = 'hid') from b where scope = 'all' and face % 4 < 2 group by all),
+k as (select graph, view, e.g as gt, e.p as pred from cm where scope = 'all'),
+ok as (select dm.view, e.kind as kind, e.same as same, e.err as err, exists (select 1 from k where k.graph = dm.graph and k.view = dm.view and ((k.pred = e.p and k.gt in (e.g, e.g + 1)) or (k.pred = e.p + 1 and k.gt in (e.g, e.g + 1)))) as linked from dm),
+m as (select view, 'curve' as part, scope, count(*) as tp, round(count(*) filter (e.same) / count(*), 3) as type_rate, null::double as diameter_mae, null::bigint as link_ok, null::bigint as link_total from cm group by all union all select view, 'line', scope, count(*), null, null, null, null from lm group by all
+ union all select view, 'dimension', 'all', count(*), round(count(*) filter (same) / count(*), 3), round(sum(case when kind = 0 then round(err * 10)::bigint end) / 10.0::double / nullif(count(*) filter (kind = 0), 0), 3), count(*) filter (kind < 2 and linked), count(*) filter (kind < 2) from ok group by all),
+j as (select n.*, coalesce(tp, 0)::bigint as tp, type_rate, diameter_mae, link_ok, link_total from n left join m using (view, part, scope))
+select view, part, scope, n_gt, n_pred, tp, round(coalesce(tp / nullif(n_pred, 0), 0), 3) as precision, round(coalesce(tp / nullif(n_gt, 0), 0), 3) as recall, round(case when tp > 0 then 2 * (tp / n_pred) * (tp / n_gt) / (tp / n_pred + tp / n_gt) else 0 end, 3) as f1,
+ type_rate, diameter_mae, link_ok, link_total, round(link_ok / nullif(link_total, 0), 3) as link_acc from j""")
+def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score report of curves (circles and arcs), lines and dimensions, over all, visible and hidden ones: matches, rates, agreement of types, error of diameters, and dimensions whose references lead to the right curves.
+
+    Hidden primitives stand for predictions; what is visible among either side is told by the face.
+    """
+    p = written(prims(spark, sf_dir), "prims")
+    pi, face = F.col("pi"), F.col("face")
+    kind = F.when(pi % 3 == 0, "line").when(pi % 3 == 1, "circle").otherwise("arc")
+    both = p.select("graph", "view", "role", "pi", kind.alias("type"), "x", "y", "r", "len", "face", (2 * F.col("r") + F.col("x") % 5 / 10).alias("v"), F.explode(F.array(F.lit("all"), F.when(face % 3 == 0, "hidden").otherwise("visible"))).alias("scope"))
+    by = ["graph", "view", "scope"]
+    t = both.where("role = 'vis'").withColumnRenamed("pi", "gt").drop("role")
+    q = both.where("role = 'hid'").select(*by, F.col("pi").alias("pred"), *[F.col(c).alias(f"p{c}") for c in ("type", "x", "y", "r", "len", "face", "v")])
+    pairs = t.join(q, by)
+    curve, line = lambda c: F.col(c) != "line", lambda c: F.col(c) == "line"
+    d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+    near = curve("type") & curve("ptype") & (d < 3.5) & (F.abs(F.col("r") - F.col("pr")) < F.greatest(F.lit(1.8), F.lit(0.25) * F.col("r")))
+    curves = kernels.greedy(pairs.where(near).select(*by, "gt", "pred", d.alias("d")), by, "gt", "pred", ["gt", "d", "pred"])
+    e, pe = F.col("x") + F.col("len"), F.col("px") + F.col("plen")
+    close = lambda a, b: F.abs(a - b) < 3
+    ends = (close(F.col("x"), F.col("px")) & close(e, pe)) | (close(F.col("x"), pe) & close(e, F.col("px")))
+    straight = line("type") & line("ptype") & (F.col("y") == F.col("py")) & ends
+    lines = kernels.greedy(pairs.where(straight).select(*by, "gt", "pred"), by, "gt", "pred", ["gt", "pred"])
+    fits = (F.col("scope") == "all") & (face % 4 < 2) & (F.col("pface") % 4 < 2) & (F.abs(F.col("v") - F.col("pv")) <= F.greatest(F.lit(0.6), F.lit(0.02) * F.abs("v")))
+    rank = F.when(face % 3 == F.col("pface") % 3, -F.col("pred")).otherwise(F.col("pred") + 1_000_000)
+    dims = written(kernels.greedy(pairs.where(fits).select("graph", "view", "gt", "pred", rank.alias("rank")), ["graph", "view"], "gt", "pred", ["gt", "rank"]), "dims")
+    # What is counted of each pair comes from both sides again.
+    side = lambda name, *c: p.select("graph", "view", F.col("pi").alias(name), *c)
+    curves = written(curves.join(side("gt", kind.alias("type")), ["graph", "view", "gt"]).join(side("pred", kind.alias("ptype")), ["graph", "view", "pred"]), "curves")
+    value = 2 * F.col("r") + F.col("x") % 5 / 10
+    dims = dims.join(side("gt", (face % 3).alias("kind"), value.alias("v")), ["graph", "view", "gt"]).join(side("pred", (face % 3).alias("pkind"), value.alias("pv")), ["graph", "view", "pred"])
+    # A dimension refers to its primitive and the next one.
+    to = curves.where("scope = 'all'").select("graph", "view", F.col("pred").alias("ref"), F.col("gt").alias("mapped"))
+    refs = dims.select("graph", "view", "gt", F.explode(F.array(F.col("pred"), F.col("pred") + 1)).alias("ref")).join(to, ["graph", "view", "ref"])
+    linked = refs.where((F.col("mapped") == F.col("gt")) | (F.col("mapped") == F.col("gt") + 1)).select("graph", "view", "gt").distinct().withColumn("ok", F.lit(True))
+    dims = dims.join(linked, ["graph", "view", "gt"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    rate = lambda c: F.round(F.count_if(c) / F.count("*"), 3)
+    tenths = F.sum(F.when(F.col("kind") == 0, F.round(F.abs(F.col("v") - F.col("pv")) * 10).cast("long")))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    a = curves.groupBy("view", F.lit("curve").alias("part"), "scope").agg(F.count("*").alias("tp"), rate(F.col("type") == F.col("ptype")).alias("type_rate")).select("*", null("double", "diameter_mae"), null("long", "link_ok"), null("long", "link_total"))
+    b = lines.groupBy("view", F.lit("line").alias("part"), "scope").agg(F.count("*").alias("tp")).select("*", null("double", "type_rate"), null("double", "diameter_mae"), null("long", "link_ok"), null("long", "link_total"))
+    c = dims.groupBy("view", F.lit("dimension").alias("part"), F.lit("all").alias("scope")).agg(F.count("*").alias("tp"), rate(F.col("kind") == F.col("pkind")).alias("type_rate"), F.round(tenths / 10 / F.nullif(F.count_if(F.col("kind") == 0), F.lit(0)), 3).alias("diameter_mae"), F.count_if((F.col("kind") < 2) & F.col("ok")).alias("link_ok"), F.count_if(F.col("kind") < 2).alias("link_total"))
+    part = F.when(line("type"), "line").otherwise("curve")
+    sides = (F.count_if(F.col("role") == "vis").alias("n_gt"), F.count_if(F.col("role") == "hid").alias("n_pred"))
+    n = both.groupBy("view", part.alias("part"), "scope").agg(*sides)
+    n = n.unionByName(both.where("scope = 'all' and face % 4 < 2").groupBy("view", F.lit("dimension").alias("part"), "scope").agg(*sides))
+    j = n.join(a.unionByName(b).unionByName(c), ["view", "part", "scope"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    m = stats.precision_recall(F.col("tp"), F.col("n_pred"), F.col("n_gt"))
+    acc = F.round(F.col("link_ok") / F.nullif(F.col("link_total"), F.lit(0)), 3)
+    return j.select("view", "part", "scope", "n_gt", "n_pred", "tp", *[v.alias(k) for k, v in m.items()], "type_rate", "diameter_mae", "link_ok", "link_total", acc.alias("link_acc"))
+
+
+@query("""with d as (select doc_id, coalesce(source, 'none') || '/' || doc_id as id, lang, n_chars from documents), r as (select id || '__clean' as file_name, 'clean' as variant, doc_id, 0 as v, n_chars from d union all select id || '__scan', 'scan', doc_id, 1, n_chars from d where doc_id % 3 > 0),
+n as (select *, row_number() over (order by doc_id, v) as n, count(*) over () as total from r), s as (select *, case when n <= greatest(1, floor(total * 0.1::double)) then 'val' else 'train' end as split from n)
+select split, variant, count(*) as n, min(n_chars) as min, max(n_chars) as max, (sum(n_chars) // count(*))::bigint as mean from s group by all""")
+def variant_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a clean variant each, and some with a scan, written by split in one pass, and what each part holds: the first tenth is for validation."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string")).alias("id"), "n_chars")
+    variants = {"clean": F.lit(True), "scan": F.col("doc_id") % 3 > 0}
+    done = bundles.variants(d, "id", variants, order=["doc_id"], share=0.1)
+    stats_ = bundles.write_bundle(done, bundles.new_folder(spark), F.col("n_chars"))
+    return stats_.select("split", "variant", "n", "min", "max", "mean")
