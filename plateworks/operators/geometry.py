@@ -64,6 +64,14 @@ def tile_starts(extent: Column, tile: int, overlap: float) -> Column:
     return F.when(extent <= tile, F.array(F.lit(0).cast("long"))).otherwise(starts)
 
 
+def tiles(width: Column, height: Column, tile: int, overlap: float) -> Column:
+    """The tiles of a sheet, row by row, as struct<i, x0, y0, x1, y1>."""
+    xs, ys = tile_starts(width, tile, overlap), tile_starts(height, tile, overlap)
+    boxes = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x0"), y.alias("y0"), F.least(x + tile, width).alias("x1"), F.least(y + tile, height).alias("y1")))))
+    return F.transform(boxes, lambda b, i: F.struct(i.cast("long").alias("i"), *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")]))
+
+
+
 def sheet_scale(width: Column, height: Column, room_w: float, room_h: float) -> Column:
     """The largest nice scale at which both sides fit, else the smallest."""
     fits = [F.when((width * s <= room_w) & (height * s <= room_h), F.lit(s)) for s in SHEET_SCALES]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plateworks.operators import rules
 from plateworks.plans.graphs import PRIMS, prims
 from plateworks.plans.registry import query
+from plateworks.shared import written
 
 
 @query(PRIMS + """select graph, 'coords' as gate, count(*) as n from p where len = 1 group by graph
@@ -20,25 +21,32 @@ def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("graph", "gate").agg(F.count("*").alias("n"))
 
 
-@query(PRIMS + """select graph, pi, abs(y * 10 - r) <= 2 and (25 - x)::double / len between -0.1 and 1.1 as on_segment, case when len = 1 then sqrt((25 - x) * (25 - x) + (r - y * 10) * (r - y * 10)) <= 2 else false end as near_point from p""")
+@query(PRIMS + """, s as (select graph, pi, x::double as x1, y * 10.0::double as y1, (x + len - 1)::double as x2, (y * 10 + face % 3 * (len - 1))::double as y2, 25.25::double as px, r * 1.5::double + 0.25 as py from p), q as (select *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) as sq from s),
+t as (select *, case when sq < 1e-6 then null else ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / sq end as t from q)
+select graph, pi, sq < 1e-6 as is_point, case when sq < 1e-6 then sqrt((px - x1) ** 2 + (py - y1) ** 2) < 2.1::double else t >= -0.1::double and t <= 1.1::double and sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2) < 2.1::double end as on_segment from t""")
 def segment_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the point (25, r) lies on a line, or near it where the line is a point."""
-    x, off = 25 - F.col("x"), F.col("r") - F.col("y") * 10
-    on = (F.abs(off) <= 2) & (x / F.col("len")).between(-0.1, 1.1)
-    near = F.when(F.col("len") == 1, F.sqrt(x * x + off * off) <= 2).otherwise(False)
-    return prims(spark, sf_dir).select("graph", "pi", on.alias("on_segment"), near.alias("near_point"))
-
-
-@query(PRIMS + """, v as (select graph, view, min(x) as x0, max(x + len) as x1, sqrt(power(max(x + len) - min(x), 2) + 1) as diag from p where role = 'vis' group by all)
-select p.graph, count(*) filter (p.x + p.r between x0 - greatest(5, 0.15 * diag) and x1 + greatest(5, 0.15 * diag)) as n_inside, count(*) as n from p join v on p.graph = v.graph and p.view = v.view where p.role = 'hid' group by p.graph""")
+    """Whether a point lies on a segment of any direction, a share past its ends included, or near one that is a point."""
+    x, y, n = F.col("x").cast("double"), F.col("y") * 10.0, F.col("len") - 1
+    x2, y2, px, py = x + n, y + F.col("face") % 3 * n, F.lit(25.25), F.col("r") * 1.5 + 0.25
+    dx, dy = x2 - x, y2 - y
+    square = dx * dx + dy * dy
+    t = ((px - x) * dx + (py - y) * dy) / F.nullif(square, F.lit(0.0))
+    beside = F.hypot(px - x - t * dx, py - y - t * dy) < 2.1
+    on = F.when(square < 1e-6, F.hypot(px - x, py - y) < 2.1).otherwise((t >= -0.1) & (t <= 1.1) & beside)
+    return prims(spark, sf_dir).select("graph", "pi", (square < 1e-6).alias("is_point"), on.alias("on_segment"))
+
+
+@query(PRIMS + """, v as (select graph, view, min(x) as x0, max(x + len) as x1, min(y * 4) as y0, max(y * 4 + r) as y1 from p where role = 'vis' group by all), w as (select *, greatest(5, 0.15::double * sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) as m from v)
+select p.graph, count(*) filter (p.x + p.r between x0 - m and x1 + m and p.y * 4 + 3 * p.len between y0 - m and y1 + m) as n_inside, count(*) as n from p join w on p.graph = w.graph and p.view = w.view where p.role = 'hid' group by p.graph""")
 def centre_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centre marks that lie in their view, widened by a share of its diagonal."""
-    p = prims(spark, sf_dir)
-    end = F.col("x") + F.col("len")
-    width = F.max(end) - F.min("x")
-    v = p.where("role = 'vis'").groupBy("graph", "view").agg(F.min("x").alias("x0"), F.max(end).alias("x1"), F.sqrt(width * width + 1).alias("diag"))
-    margin = F.greatest(F.lit(5.0), F.lit(0.15) * F.col("diag"))
-    inside = (F.col("x") + F.col("r")).between(F.col("x0") - margin, F.col("x1") + margin)
+    """Centre marks that lie in their view along both axes, widened by a share of its diagonal."""
+    p = written(prims(spark, sf_dir), "prims")
+    x, y = F.col("x"), F.col("y") * 4
+    box = {"x0": F.min(x), "x1": F.max(x + F.col("len")), "y0": F.min(y), "y1": F.max(y + F.col("r"))}
+    v = p.where("role = 'vis'").groupBy("graph", "view").agg(*[c.alias(k) for k, c in box.items()])
+    margin = F.greatest(F.lit(5.0), 0.15 * F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    within = lambda c, k: c.between(F.col(f"{k}0") - margin, F.col(f"{k}1") + margin)
+    inside = within(x + F.col("r"), "x") & within(y + 3 * F.col("len"), "y")
     return p.where("role = 'hid'").join(v, ["graph", "view"]).groupBy("graph").agg(F.count_if(inside).alias("n_inside"), F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ quantity, discount and tax the geometry, and the supplier the face. The geometry
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plateworks.operators import drawing, graph, rules, selection, stats
@@ -252,14 +252,30 @@ def cylinder_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("id", F.concat(F.lit("cyl"), n.cast("string")))
 
 
-@query(PRIMS + """, b as (select graph, min(x) - 5 as lo, max(x) + 5 as hi from p where role = 'vis' group by graph)
-select p.graph, count(*) as n, count(*) filter (b.lo is null or p.x between b.lo and b.hi) as n_inside from p left join b using (graph) group by p.graph""")
+_SCAN = "((({x}) - 20) * cos(radians(turn)) - (({y}) - 2) * sin(radians(turn))) * 1.25::double + 20 + 3 as {u}, ((({x}) - 20) * sin(radians(turn)) + (({y}) - 2) * cos(radians(turn))) * 1.25::double + 2 - 1 as {v}"
+
+
+@query(PRIMS + f""", q as (select *, graph % 5 * 7 as turn, y * 6 as yy from p), b as (select graph, turn, min(x) - 5.3::double as x0, max(x + len) + 5.3::double as x1, min(yy) - 5.3::double as y0, max(yy + r) + 5.3::double as y1 from q where role = 'vis' group by all),
+k as (select graph, turn, unnest([x0, x1, x1, x0]) as cx, unnest([y0, y0, y1, y1]) as cy from b), m as (select graph, {_SCAN.format(x='cx', y='cy', u='u', v='v')} from k), g as (select graph, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1 from m group by graph),
+d as (select graph, {_SCAN.format(x='x + r', y='yy + 2 * len', u='u', v='v')} from q)
+select d.graph, count(*) as n, count(*) filter (u0 is null or (u between u0 and u1 and v between v0 and v1)) as n_inside from d left join g using (graph) group by d.graph""")
 def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What lies in the region that labels span, widened; without labels everything does."""
-    p = prims(spark, sf_dir)
-    b = p.where("role = 'vis'").groupBy("graph").agg((F.min("x") - 5).alias("lo"), (F.max("x") + 5).alias("hi"))
-    inside = F.col("lo").isNull() | F.col("x").between(F.col("lo"), F.col("hi"))
-    return p.join(b, "graph", "left").groupBy("graph").agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"))
+    """Detections in the region that labels span, widened, both in the coordinates of a turned and scaled scan: of the region the box around its mapped corners; without labels everything is inside."""
+    turn = F.radians(F.col("graph") % 5 * 7)
+
+    def scan(x: Column, y: Column) -> tuple[Column, Column]:
+        x, y = x - 20, y - 2
+        return (x * F.cos(turn) - y * F.sin(turn)) * 1.25 + 23, (x * F.sin(turn) + y * F.cos(turn)) * 1.25 + 1
+
+    p = written(prims(spark, sf_dir).withColumn("yy", F.col("y") * 6), "prims")
+    box = {"x0": F.min("x") - 5.3, "x1": F.max(F.col("x") + F.col("len")) + 5.3, "y0": F.min("yy") - 5.3, "y1": F.max(F.col("yy") + F.col("r")) + 5.3}
+    b = p.where("role = 'vis'").groupBy("graph").agg(*[c.alias(k) for k, c in box.items()])
+    corners = [scan(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]
+    region = b.select("graph", *[f(*[c[i] for c in corners]).alias(f"{k}{j}") for i, k in enumerate("uv") for j, f in enumerate((F.least, F.greatest))])
+    u, v = scan(F.col("x") + F.col("r"), F.col("yy") + 2 * F.col("len"))
+    d = p.select("graph", u.alias("u"), v.alias("v")).join(region, "graph", "left")
+    inside = F.col("u0").isNull() | (F.col("u").between(F.col("u0"), F.col("u1")) & F.col("v").between(F.col("v0"), F.col("v1")))
+    return d.groupBy("graph").agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"))
 
 
 @query(PRIMS + "select case when r < 3 then '1-3' when r < 6 then '3-6' else '6-' end as band, count(*) as n, count(*) filter (role = 'vis') as n_hit, round(count(*) filter (role = 'vis') / count(*), 6) as recall from p group by 1")

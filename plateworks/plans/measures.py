@@ -1,8 +1,8 @@
-"""Measures on drawings: null scales, merged tiles, peaks, extents of planes, projected circles, radii from dimensions, recall by level, splits."""
+"""Measures on drawings: null scales, peaks, extents of planes, projected circles, radii from dimensions, recall by level, splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plateworks.operators import selection
@@ -143,12 +143,13 @@ def projected_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("p_partkey", "v.view", kind.alias("kind"), F.col("r").alias("major"), F.round(F.col("r") * along / F.sqrt("sq"), 6).alias("minor"))
 
 
-@query("""with c as (select (l_suppkey % 50)::bigint as map, l_linenumber::bigint as y, l_quantity::bigint as x, (l_partkey // 7)::bigint as tile, max(round(l_discount * 100)::bigint) as heat, max(round(l_tax * 100)::bigint) as r from lineitem group by all)
-select a.map, a.tile, a.y, a.x, a.heat, round(sum(b.r)::bigint / count(*), 6) as r from c a join c b on b.map = a.map and b.tile = a.tile and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 group by all having max(b.heat) = a.heat and a.heat > 2""")
+@query("""with c as (select (l_suppkey % 50)::bigint as map, l_linenumber::bigint as y, l_quantity::bigint as x, (l_partkey // 7)::bigint as tile, max(round(l_discount * 100)::bigint) as heat, max(round(l_tax * 100)::bigint) as r from lineitem group by all),
+k as (select a.map, a.tile, a.y, a.x, a.heat, round(exp(avg(ln(greatest(b.r, 1)))), 6) as r from c a join c b on b.map = a.map and b.tile = a.tile and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 group by all having max(b.heat) = a.heat and a.heat > 2)
+select map, tile, y, x, heat, r from k qualify row_number() over (partition by map order by heat desc, tile, y, x) <= 200""")
 def heat_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a heat map over the threshold that no neighbour tops, with the mean radius of the cells around.
+    """The 200 hottest cells of a heat map over the threshold that no neighbour tops, with the radius that the logarithms around have in the mean.
 
-    Each cell sends itself to the nine cells around, so a peak is found by one aggregate however large a map is.
+    Each cell sends itself to the nine cells around, so a peak is found by one aggregate however large a map is, and the limit works in each task first.
     """
     whole = lambda c: F.round(F.col(c) * 100).cast("long")
     cells = table(spark, sf_dir, "lineitem").select(
@@ -157,5 +158,7 @@ def heat_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells.groupBy("map", "tile", "y", "x").agg(F.max("heat").alias("heat"), F.max("r").alias("r"))
     around = F.explode(F.array(*[F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x"), F.lit(i == j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     s = c.select("map", "tile", "heat", "r", around.alias("at")).groupBy("map", "tile", F.col("at.y").alias("y"), F.col("at.x").alias("x"))
-    s = s.agg(F.max(F.when(F.col("at.own"), F.col("heat"))).alias("heat"), F.max("heat").alias("top"), F.sum("r").alias("sum"), F.count("*").alias("n"))
-    return s.where("heat = top and heat > 2").select("map", "tile", "y", "x", "heat", F.round(F.col("sum") / F.col("n"), 6).alias("r"))
+    s = s.agg(F.max(F.when(F.col("at.own"), F.col("heat"))).alias("heat"), F.max("heat").alias("top"), F.avg(F.ln(F.greatest("r", F.lit(1)))).alias("code"))
+    peaks = s.where("heat = top and heat > 2").select("map", "tile", "y", "x", "heat", F.round(F.exp("code"), 6).alias("r"))
+    place = F.row_number().over(Window.partitionBy("map").orderBy(F.desc("heat"), "tile", "y", "x"))
+    return peaks.withColumn("_p", place).where("_p <= 200").drop("_p")

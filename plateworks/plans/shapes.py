@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateworks.operators import geometry as g
 from plateworks.operators import rules
 from plateworks.plans.registry import query
+from plateworks.shared import written
 from plateworks.sources import table
 
 _POINTS = "with p as (select p_partkey as id, p_size::double as x, (p_partkey % 37)::double as y, (p_partkey % 11)::double as z, p_retailprice as v from part)\n"
@@ -98,15 +99,17 @@ def envelope_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", ((d > 0) & (F.abs(v - 1000) <= 1.5 * d + F.greatest(F.lit(1.0), F.lit(0.1) * d))).alias("is_inside"), ill.alias("ill"))
 
 
-@query("""with o as (select o_orderkey, (o_totalprice / 100)::bigint as e from orders), n as (select *, ceil((e - 1024) / 840.0)::bigint + 1 as n from o),
-s as (select o_orderkey, e, case when e <= 1024 then [0] else list_transform(range(n), lambda i: least(round_even(i * (e - 1024) / (n - 1), 0)::bigint, e - 1024)) end as st from n)
-select o_orderkey, len(st) as n_tiles, list_max(st) as last_start, list_sum(st)::bigint as sum_starts from s""")
+@query("""with o as (select o_orderkey, unnest(['x', 'y']) as axis, unnest([round_even(o_totalprice / 100, 0)::bigint, (o_custkey % 37) * 90 + 200]) as e from orders), n as (select *, ceil((e - 1024) / 840.0)::bigint + 1 as n from o),
+s as (select o_orderkey, axis, e, case when e <= 1024 then [0] else list_transform(range(n), lambda i: least(round_even(i * (e - 1024) / (n - 1), 0)::bigint, e - 1024)) end as st from n),
+g as (select x.o_orderkey, x.e as w, y.e as h, unnest(range(len(x.st) * len(y.st))) as i, x.st as xs, y.st as ys from s x join s y on x.o_orderkey = y.o_orderkey and x.axis = 'x' and y.axis = 'y'),
+t as (select o_orderkey, i, xs[(i % len(xs) + 1)::int] as x0, ys[(i // len(xs) + 1)::int] as y0, w, h from g)
+select o_orderkey, count(*) as n_tiles, max(least(x0 + 1024, w)) as x_end, max(least(y0 + 1024, h)) as y_end, sum(i * (x0 + 3 * y0))::bigint as weight, sum((least(x0 + 1024, w) - x0) * (least(y0 + 1024, h) - y0))::bigint as area from t group by o_orderkey""")
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of 1024 with an overlap of 0.18 along extents of many sizes."""
-    e = F.rint(F.col("o_totalprice") / 100).cast("long")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", e.alias("e"))
-    s = o.withColumn("st", g.tile_starts(F.col("e"), 1024, 0.18))
-    return s.select("o_orderkey", F.size("st").cast("long").alias("n_tiles"), F.array_max("st").alias("last_start"), F.aggregate("st", F.lit(0).cast("long"), lambda a, b: a + b).alias("sum_starts"))
+    """Tiles of 1024 by 1024 with an overlap of 0.18 over sheets of many sizes, numbered row by row: how many, where they end, and sums that tell each one's number and box."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.rint(F.col("o_totalprice") / 100).cast("long").alias("w"), (F.col("o_custkey") % 37 * 90 + 200).alias("h"))
+    t = o.select("o_orderkey", F.explode(g.tiles(F.col("w"), F.col("h"), 1024, 0.18)).alias("t")).select("o_orderkey", "t.*")
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return t.groupBy("o_orderkey").agg(F.count("*").alias("n_tiles"), F.max("x1").alias("x_end"), F.max("y1").alias("y_end"), F.sum(F.col("i") * (F.col("x0") + 3 * F.col("y0"))).alias("weight"), F.sum(area).alias("area"))
 
 
 @query(_POINTS + "select id, coalesce((select max(s) from (select unnest([10.0, 5.0, 4.0, 2.5, 2.0, 1.0, 0.5, 0.4, 0.25, 0.2, 0.1, 0.05]) as s) q where p.x * 8 * s <= 360 and p.y * 8 * s <= 250), 0.05)::double as scale from p")
@@ -134,19 +137,28 @@ def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(b, "label").select("vec_id", unit("x").alias("ux"), unit("y").alias("uy"), F.round(F.col("z") - F.col("z0"), 6).alias("az"))
 
 
-@query(_CLOUD + """, d as (select a.label, a.vec_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from c a join c b on b.label = (a.label + 1) % 10 group by all)
-select label, count(*) as n, round(avg(d), 5) as mean_sq from d group by label""")
+@query(_CLOUD + """, d as (select a.label, a.vec_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from c a join c b on b.label = (a.label + 1) % 10 group by all),
+e as (select a.label, b.vec_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from c a join c b on b.label = (a.label + 1) % 10 group by all),
+f as (select label, count(*) as n, avg(d) as there from d group by label), h as (select label, avg(d) as back from e group by label)
+select label, n, round(there, 5) as mean_sq, round(back, 5) as mean_sq_back, round(there + back, 5) as chamfer from f join h using (label)""")
 def chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean squared distance of a cloud's points to the next cloud, which they meet in blocks of about 1,000 points."""
-    c = cloud(spark, sf_dir)
-    a = c.select("vec_id", F.col("label"), ((F.col("label") + 1) % 10).alias("other"), "x", "y", "z")
+    """Mean squared distance of a cloud's points to the next cloud, of that one's points to this one, and the sum. Points meet the other cloud in blocks of about 1,000."""
+    c = written(cloud(spark, sf_dir), "cloud")
     parts = F.ceil(F.count("*") / 1000).alias("parts")
     b = c.join(c.groupBy("label").agg(parts), "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    b = b.groupBy("label", "block").agg(F.collect_list(F.struct("x", "y", "z")).alias("pts")).select(F.col("label").alias("other"), "pts")
+    b = written(b.groupBy("label", "block").agg(F.collect_list(F.struct("x", "y", "z")).alias("pts")), "blocks").select(F.col("label").alias("other"), "pts")
     sq = lambda p, k: (F.col(k) - p[k]) * (F.col(k) - p[k])
     near = F.array_min(F.transform("pts", lambda p: sq(p, "x") + sq(p, "y") + sq(p, "z")))
-    d = a.join(b, "other").select("label", "vec_id", near.alias("d")).groupBy("label", "vec_id").agg(F.min("d").alias("d"))
-    return d.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("d"), 5).alias("mean_sq"))
+
+    def mean(pair: Column, other: Column, name: str) -> DataFrame:
+        """Of the points of a cloud, to the cloud ``other``; pair: the number of the pair of clouds."""
+        d = c.select("vec_id", pair.alias("label"), other.alias("other"), "x", "y", "z").join(b, "other").select("label", "vec_id", near.alias("d")).groupBy("label", "vec_id").agg(F.min("d").alias("d"))
+        return d.groupBy("label").agg(F.count("*").alias(f"n_{name}"), F.avg("d").alias(name))
+
+    label = F.col("label")
+    both = mean(label, (label + 1) % 10, "there").join(mean((label + 9) % 10, (label + 9) % 10, "back"), "label")
+    there, back = F.col("there"), F.col("back")
+    return both.select("label", F.col("n_there").alias("n"), F.round(there, 5).alias("mean_sq"), F.round(back, 5).alias("mean_sq_back"), F.round(there + back, 5).alias("chamfer"))
 
 
 @query(_POINTS + "select id, case when z = 0 then 'polyline' when z < 4 then 'line' when z < 8 then 'circle' else 'ellipse' end as kind, case when z = 0 then 'fallback' when x > 45 then 'rejected' else 'ok' end as status from p")
