@@ -14,7 +14,7 @@ import corpus_pipeline
 from plateworks.llm import chat, langid, mixing, quality, queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents conversations labels".split()
+TABLES = "documents conversations embeddings labels".split()
 
 
 @pytest.fixture(scope="module")
