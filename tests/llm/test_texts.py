@@ -69,9 +69,10 @@ def test_many_letters_keep_languages_apart():
     assert m.classify([text(k, 30) for k in scripts])[0] == list(scripts)
 
 
-def test_no_more_languages_than_the_bound(spark):
+def test_no_more_languages_than_the_characters_allow(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ALL_CHARS", 3 * langid.LEAST_CHARS)
     df = spark.createDataFrame([(i, f"text of language number {i % 7} abc", f"l{i % 7}") for i in range(70)], "doc_id long, text string, lang string")
-    assert langid.fit(df, key="doc_id", text="text", lang="lang", langs=3).langs == ["l0", "l1", "l2"]
+    assert langid.fit(df, key="doc_id", text="text", lang="lang").langs == ["l0", "l1", "l2"]
 
 
 def test_language_identification_held_out(spark):
