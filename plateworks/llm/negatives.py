@@ -265,7 +265,10 @@ class Block:
         a, b = (col(c).to_numpy() for c in ("_a", "_b"))
         order = np.lexsort((b, a))
         self.rows = _matrix(col("_v"), self.dim)[order]
-        self.labels = np.array(col("_label").to_pylist(), object)[order]
+        labels = col("_label").to_pylist()
+        self.names = {x: i for i, x in enumerate(sorted(set(labels)))}
+        self.labels = np.array([self.names[x] for x in labels], np.int64)[order]
+        self.top = float(np.abs(self.rows).max(initial=0))
         self.h1, self.h2 = (col(c).to_numpy()[order] for c in ("_h1", "_h2"))
         ids = col("_ids").to_pylist()
         self.ids = [ids[i] for i in order.tolist()]
@@ -274,8 +277,8 @@ class Block:
         self.a, self.b = np.unique(a), np.unique(b)
         self.codes, self.radii = index.of(self.dim), index.layouts[self.dim].radii
 
-    def batches(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(bound of the first cell, entries) of cells by falling bound, AT_ONCE entries or one cell together; no later cell has a greater bound."""
+    def batches(self, q: np.ndarray) -> Iterator[tuple[float, list[tuple[int, int]]]]:
+        """(bound of the first cell, where their entries stand) of cells by falling bound, AT_ONCE entries or one cell together; no later cell has a greater bound."""
         one, two = self.codes.bounds(q, self.radii)
         top, held, n = math.inf, [], 0
         for bound, i, j in by_falling_sum(one[self.a], two[self.b]):
@@ -284,23 +287,28 @@ class Block:
                 continue
             if not held:
                 top = bound
-            held.append(np.arange(*cell))
+            held.append(cell)
             n += cell[1] - cell[0]
             if n >= AT_ONCE:
-                yield top, np.concatenate(held)
+                yield top, held
                 held, n = [], 0
         if held:
-            yield top, np.concatenate(held)
+            yield top, held
 
     def search(self, q: np.ndarray, label: str, h: tuple[int, int], windows: list[dict], k: int, same: bool) -> Iterator[tuple[int, int, int, bool]]:
         """(window, score, id, whether of the query's own entry): the k best of each window, ties to the lesser id."""
         found: list[list] = [[] for _ in windows]
         need = [w["floor"] for w in windows]
-        for bound, rows in self.batches(q):
+        code = self.names.get(label, -1)
+        # Sums of products that a double holds exactly; cells are scored where they stand.
+        plain = self.dim * self.top * float(np.abs(q).max(initial=0)) < 2**53
+        for bound, cells in self.batches(q):
             if bound < min(need):
                 break
-            rows = rows[(self.labels[rows] == label) == same]
-            scores = products(self.rows[rows], q)
+            rows = np.concatenate([np.arange(a, b) for a, b in cells])
+            scores = np.concatenate([self.rows[a:b] @ q for a, b in cells]).astype(np.int64) if plain else products(self.rows[rows], q)
+            fit = (self.labels[rows] == code) == same
+            rows, scores = rows[fit], scores[fit]
             for i, w in enumerate(windows):
                 good = np.flatnonzero((scores >= max(need[i], w["low"])) & (scores <= w["high"]))
                 if len(good):
