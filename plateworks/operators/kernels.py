@@ -8,7 +8,7 @@ from __future__ import annotations
 import ast
 import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -39,13 +39,13 @@ def _rows(batches: Iterator[pa.RecordBatch], by: list[str], cols: list[str]) ->
         yield batch, each(batch)
 
 
-def greedy(df: DataFrame, by: list[str], left: str, right: str, order: list[str]) -> DataFrame:
+def greedy(df: DataFrame, by: list[str], left: str, right: str, order: list[str], more: Sequence[str] = ()) -> DataFrame:
     """One-to-one pairs of candidates (by, left, right and others), taken group by group in the given order.
 
     A pair is taken if neither side is yet. Where each left row takes the best that is left, in the order of the left rows,
-    ``order`` begins with their ordinal.
+    ``order`` begins with their ordinal. Pairs keep the columns ``more``, so that what is counted of them needs no join.
     """
-    names = [*by, left, right]
+    names = [*by, left, right, *more]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used: tuple[set, set] = set(), set()

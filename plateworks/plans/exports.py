@@ -129,7 +129,8 @@ select view, part, scope, n_gt, n_pred, tp, round(coalesce(tp / nullif(n_pred, 0
 def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score report of curves (circles and arcs), lines and dimensions, over all, visible and hidden ones: matches, rates, agreement of types, error of diameters, and dimensions whose references lead to the right curves.
 
-    Hidden primitives stand for predictions; what is visible among either side is told by the face.
+    Hidden primitives stand for predictions; what is visible among either side is told by the face. Both sides grow with the input and Parquet
+    files tell far less than their size in memory, so they are merged and never broadcast.
     """
     p = written(prims(spark, sf_dir), "prims")
     pi, face = F.col("pi"), F.col("face")
@@ -138,11 +139,12 @@ def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["graph", "view", "scope"]
     t = both.where("role = 'vis'").withColumnRenamed("pi", "gt").drop("role")
     q = both.where("role = 'hid'").select(*by, F.col("pi").alias("pred"), *[F.col(c).alias(f"p{c}") for c in ("type", "x", "y", "r", "len", "face", "v")])
-    pairs = t.join(q, by)
+    pairs = t.join(q.hint("merge"), by)
     curve, line = lambda c: F.col(c) != "line", lambda c: F.col(c) == "line"
     d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     near = curve("type") & curve("ptype") & (d < 3.5) & (F.abs(F.col("r") - F.col("pr")) < F.greatest(F.lit(1.8), F.lit(0.25) * F.col("r")))
-    curves = kernels.greedy(pairs.where(near).select(*by, "gt", "pred", d.alias("d")), by, "gt", "pred", ["gt", "d", "pred"])
+    curves = kernels.greedy(pairs.where(near).select(*by, "gt", "pred", d.alias("d"), (F.col("type") == F.col("ptype")).alias("same")), by, "gt", "pred", ["gt", "d", "pred"], ["same"])
+    curves = written(curves, "curves")
     e, pe = F.col("x") + F.col("len"), F.col("px") + F.col("plen")
     close = lambda a, b: F.abs(a - b) < 3
     ends = (close(F.col("x"), F.col("px")) & close(e, pe)) | (close(F.col("x"), pe) & close(e, F.col("px")))
@@ -150,23 +152,20 @@ def score_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = kernels.greedy(pairs.where(straight).select(*by, "gt", "pred"), by, "gt", "pred", ["gt", "pred"])
     fits = (F.col("scope") == "all") & (face % 4 < 2) & (F.col("pface") % 4 < 2) & (F.abs(F.col("v") - F.col("pv")) <= F.greatest(F.lit(0.6), F.lit(0.02) * F.abs("v")))
     rank = F.when(face % 3 == F.col("pface") % 3, -F.col("pred")).otherwise(F.col("pred") + 1_000_000)
-    dims = written(kernels.greedy(pairs.where(fits).select("graph", "view", "gt", "pred", rank.alias("rank")), ["graph", "view"], "gt", "pred", ["gt", "rank"]), "dims")
-    # What is counted of each pair comes from both sides again.
-    side = lambda name, *c: p.select("graph", "view", F.col("pi").alias(name), *c)
-    curves = written(curves.join(side("gt", kind.alias("type")), ["graph", "view", "gt"]).join(side("pred", kind.alias("ptype")), ["graph", "view", "pred"]), "curves")
-    value = 2 * F.col("r") + F.col("x") % 5 / 10
-    dims = dims.join(side("gt", (face % 3).alias("kind"), value.alias("v")), ["graph", "view", "gt"]).join(side("pred", (face % 3).alias("pkind"), value.alias("pv")), ["graph", "view", "pred"])
+    told = {"kind": face % 3, "same": face % 3 == F.col("pface") % 3, "err": F.abs(F.col("v") - F.col("pv"))}
+    dims = pairs.where(fits).select("graph", "view", "gt", "pred", rank.alias("rank"), *[c.alias(k) for k, c in told.items()])
+    dims = written(kernels.greedy(dims, ["graph", "view"], "gt", "pred", ["gt", "rank"], list(told)), "dims")
     # A dimension refers to its primitive and the next one.
     to = curves.where("scope = 'all'").select("graph", "view", F.col("pred").alias("ref"), F.col("gt").alias("mapped"))
-    refs = dims.select("graph", "view", "gt", F.explode(F.array(F.col("pred"), F.col("pred") + 1)).alias("ref")).join(to, ["graph", "view", "ref"])
+    refs = dims.select("graph", "view", "gt", F.explode(F.array(F.col("pred"), F.col("pred") + 1)).alias("ref")).join(to.hint("merge"), ["graph", "view", "ref"])
     linked = refs.where((F.col("mapped") == F.col("gt")) | (F.col("mapped") == F.col("gt") + 1)).select("graph", "view", "gt").distinct().withColumn("ok", F.lit(True))
-    dims = dims.join(linked, ["graph", "view", "gt"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    dims = dims.join(linked.hint("merge"), ["graph", "view", "gt"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     rate = lambda c: F.round(F.count_if(c) / F.count("*"), 3)
-    tenths = F.sum(F.when(F.col("kind") == 0, F.round(F.abs(F.col("v") - F.col("pv")) * 10).cast("long")))
+    tenths = F.sum(F.when(F.col("kind") == 0, F.round(F.col("err") * 10).cast("long")))
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    a = curves.groupBy("view", F.lit("curve").alias("part"), "scope").agg(F.count("*").alias("tp"), rate(F.col("type") == F.col("ptype")).alias("type_rate")).select("*", null("double", "diameter_mae"), null("long", "link_ok"), null("long", "link_total"))
+    a = curves.groupBy("view", F.lit("curve").alias("part"), "scope").agg(F.count("*").alias("tp"), rate(F.col("same")).alias("type_rate")).select("*", null("double", "diameter_mae"), null("long", "link_ok"), null("long", "link_total"))
     b = lines.groupBy("view", F.lit("line").alias("part"), "scope").agg(F.count("*").alias("tp")).select("*", null("double", "type_rate"), null("double", "diameter_mae"), null("long", "link_ok"), null("long", "link_total"))
-    c = dims.groupBy("view", F.lit("dimension").alias("part"), F.lit("all").alias("scope")).agg(F.count("*").alias("tp"), rate(F.col("kind") == F.col("pkind")).alias("type_rate"), F.round(tenths / 10 / F.nullif(F.count_if(F.col("kind") == 0), F.lit(0)), 3).alias("diameter_mae"), F.count_if((F.col("kind") < 2) & F.col("ok")).alias("link_ok"), F.count_if(F.col("kind") < 2).alias("link_total"))
+    c = dims.groupBy("view", F.lit("dimension").alias("part"), F.lit("all").alias("scope")).agg(F.count("*").alias("tp"), rate(F.col("same")).alias("type_rate"), F.round(tenths / 10 / F.nullif(F.count_if(F.col("kind") == 0), F.lit(0)), 3).alias("diameter_mae"), F.count_if((F.col("kind") < 2) & F.col("ok")).alias("link_ok"), F.count_if(F.col("kind") < 2).alias("link_total"))
     part = F.when(line("type"), "line").otherwise("curve")
     sides = (F.count_if(F.col("role") == "vis").alias("n_gt"), F.count_if(F.col("role") == "hid").alias("n_pred"))
     n = both.groupBy("view", part.alias("part"), "scope").agg(*sides)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plateworks.operators import bundles, emit
+from plateworks.plans import exports
 
 SHAPE = "g long, id long, type string, role string, x1 double, y1 double, x2 double, y2 double, cx double, cy double, r double, a1 double, a2 double"
 
@@ -82,3 +83,9 @@ def test_variants_and_splits(spark, tmp_path, share):
         sizes = [size[f.split("__")[0]] for f, (v, s) in want.items() if (s, v) == key]
         assert told[key] == (len(sizes), min(sizes), max(sizes), sum(sizes) // len(sizes))
     assert bundles.variants(df.where("false"), "id", {"clean": F.lit(True)}, order=["at"], share=share).collect() == []
+
+
+def test_score_parts_broadcasts_no_side(spark):
+    """Only the report itself, of a few rows a view, may be sent whole."""
+    plan = exports.score_parts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") > 2
