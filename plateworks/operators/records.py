@@ -22,8 +22,12 @@ _N = r"-?\d+(?:\.\d+)?"
 
 def number(v: Column) -> Column:
     """Canonical text of a number: two decimals without trailing zeros, no negative zero."""
-    s = F.regexp_replace(F.format_string("%.2f", v.cast("double")), r"\.?0+$", "")
-    return F.when(v.isNotNull(), F.when(s == "-0", "0").otherwise(s))
+    v = v.cast("double")
+    # Formatter and pattern are slow: whole numbers and decimals, which round alike, go without. What has no decimal (infinite or too large) is left.
+    whole = F.when((F.abs(v) < 1e15) & (v == F.floor(v)), v.cast("long").cast("string"))
+    decimal = v.try_cast("decimal(38,2)").cast("string")
+    short = F.rtrim(F.rtrim(decimal, F.lit("0")), F.lit("."))
+    return F.when(v.isNotNull(), F.coalesce(whole, short, F.regexp_replace(F.format_string("%.2f", v), r"\.?0+$", "")))
 
 
 def complete(df: DataFrame, key: str) -> DataFrame:
@@ -46,20 +50,24 @@ def parse(df: DataFrame, key: str, text: str) -> DataFrame:
     is_row = first.isin(*TYPES.values()) & F.col("under").isNotNull() & (F.size("t") >= 3)
     record = F.when(first.isin("PART", "FEAT", "BLEND", "VIEW", "DIM"), first).when(is_row, "ROW")
     d = lines.withColumn("record", record).where("record is not null")
+    # A primitive's tokens from the third on are found by one pattern each in their text, once a row: each column below is used several times, so it is made before.
+    row = F.when(F.col("record") == "ROW", F.concat(F.lit(" "), F.array_join(F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0))), " "), F.lit(" ")))
+    d = d.select(key, "n", "record", "t", "under", F.array_join("t", " ").alias("_line"), row.alias("_row"))
     of = lambda kind, c: F.when(F.col("record") == kind, c)
-    given = lambda name: F.regexp_extract(F.array_join("t", " "), rf" {name}=(\S*)", 1)
+    last = lambda mark, pattern: F.regexp_extract("_row", rf"(?s)^.* {mark}({pattern}) ", 1)
+    every = lambda mark, pattern: F.regexp_extract_all("_row", F.lit(rf"(?<= {mark})({pattern})(?= )"), 1)
+    arc = F.when(F.col("t")[0] == TYPES["ellipse"], last("e", rf"{_N}\.\.{_N}")).otherwise(last("a", rf"{_N}\.\.{_N}"))
+    found = {"_c": last("c", f"{_N},{_N}"), "_pts": every("", f"{_N},{_N}"), "_arc": arc, "_tags": last("", r"C\d+(?:,C\d+)*"), "_dias": every("DIA", _N)} | {f"_{k}": last(m, _N) for k, m in {"r": "r", "rmaj": "rj", "rmin": "rn", "rot": "rot"}.items()}
+    d = d.withColumns(found)
+    given = lambda name: F.regexp_extract("_line", rf" {name}=(\S*)", 1)
     have = lambda name: F.nullif(given(name), F.lit(""))
     real = lambda c: c.try_cast("double")
-    rest = F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0)))
-    some = lambda pattern: F.filter(rest, lambda x: x.rlike(f"^{pattern}$"))
-    cut = lambda pattern, skip: F.transform(some(pattern), lambda x: F.substring(x, skip + 1, 1_000))
-    pair = lambda x: F.transform(F.split(x, ","), lambda v: v.try_cast("double"))
-    ends = lambda x: F.transform(F.split(x, r"\.\."), lambda v: v.try_cast("double"))
-    last = lambda a: F.element_at(F.when(F.size(a) > 0, a), -1)
+    reals = lambda a: F.transform(a, lambda v: v.try_cast("double"))
+    # An empty text would cost try_cast an exception.
+    some = lambda name, c: F.when(F.col(name) != "", c)
+    many = lambda name, f: F.when(F.size(name) > 0, F.transform(name, f))
     span = F.regexp_extract_all(token(6), F.lit(rf"^([A-Za-z])({_N})\.\.({_N})$"), 0)
     group = lambda i: F.when(F.size(span) > 0, F.regexp_extract(token(6), rf"^([A-Za-z])({_N})\.\.({_N})$", i))
-    none = lambda a: F.when(F.size(a) > 0, a)
-    ellipse = first == TYPES["ellipse"]
     columns = {
         "view": F.when(F.col("record") == "VIEW", token(1)).when(F.col("record") == "ROW", F.col("under.name")).when(F.col("record") == "DIM", token(5)),
         "axes": of("VIEW", F.split(F.coalesce(have("axes"), F.lit(",")), ",")),
@@ -70,22 +78,22 @@ def parse(df: DataFrame, key: str, text: str) -> DataFrame:
         "dir": of("FEAT", have("dir")),
         "sel": of("BLEND", token(2)),
         "value": F.when(F.col("record") == "DIM", real(token(4))).when(F.col("record") == "BLEND", real(F.regexp_replace(token(3), "^v", ""))),
-        "r": F.when(F.col("record") == "FEAT", real(have("r"))).when(F.col("record") == "ROW", real(last(cut(rf"r{_N}", 1)))),
-        "rmaj": of("ROW", real(last(cut(rf"rj{_N}", 2)))),
-        "rmin": of("ROW", real(last(cut(rf"rn{_N}", 2)))),
-        "rot": of("ROW", real(last(cut(rf"rot{_N}", 3)))),
-        "c": of("ROW", pair(last(cut(rf"c{_N},{_N}", 1)))),
-        "pts": of("ROW", none(F.transform(some(rf"{_N},{_N}"), pair))),
-        "arc": of("ROW", ends(F.when(ellipse, last(cut(rf"e{_N}\.\.{_N}", 1))).otherwise(last(cut(rf"a{_N}\.\.{_N}", 1))))),
-        "tags": of("ROW", F.split(last(some(r"C\d+(?:,C\d+)*")), ",")),
-        "dias": of("ROW", none(F.transform(cut(rf"DIA{_N}", 3), lambda x: x.try_cast("double")))),
+        "r": F.when(F.col("record") == "FEAT", real(have("r"))).when(F.col("record") == "ROW", some("_r", real(F.col("_r")))),
+        "rmaj": some("_rmaj", real(F.col("_rmaj"))),
+        "rmin": some("_rmin", real(F.col("_rmin"))),
+        "rot": some("_rot", real(F.col("_rot"))),
+        "c": some("_c", reals(F.split("_c", ","))),
+        "pts": many("_pts", lambda p: reals(F.split(p, ","))),
+        "arc": some("_arc", reals(F.split("_arc", r"\.\."))),
+        "tags": some("_tags", F.split("_tags", ",")),
+        "dias": many("_dias", real),
         "bbox": of("PART", F.transform(F.filter(F.split(F.coalesce(have("bbox"), F.lit("")), ","), lambda x: x != ""), lambda x: x.try_cast("double"))),
         "grid": of("PART", have("grid").try_cast("long")),
         "ext": of("PART", F.when(have("grid").isNotNull(), F.coalesce(real(have("ext")), F.lit(0.0)))),
         "low": of("DIM", real(group(2))),
         "high": of("DIM", real(group(3))),
     }
-    return complete(d.select(key, "n", "record", "t", "under").withColumns(columns), key)
+    return complete(d.withColumns(columns), key)
 
 
 def line(tokens: bool = False) -> Column:
@@ -115,5 +123,7 @@ def line(tokens: bool = False) -> Column:
 
 def emit(records: DataFrame, key: str, tokens: bool = False) -> DataFrame:
     """(key, text): the records of each drawing by n, a line each; records without what their line needs are left out."""
-    lines = records.select(key, F.struct("n", line(tokens).alias("t")).alias("s")).where("s.t is not null")
-    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("text"))
+    lines = records.select(key, F.struct("n", line(tokens).alias("t")).alias("s"))
+    # Records without a line go after the aggregate: a filter before it would make each line twice.
+    texts = lines.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]).alias("_t"))
+    return texts.where(F.exists("_t", lambda t: t.isNotNull())).select(key, F.array_join("_t", "\n").alias("text"))

@@ -174,3 +174,14 @@ def test_records_of_odd_texts(spark):
     tokens = {r.id: r.text for r in records.emit(read.where("id = 'b'"), "id", tokens=True).collect()}
     assert tokens["b"] == "VIEW v axes=X,Y\nL vis <|coord_12|>,-<|coord_3|> <|coord_1|>,<|coord_1|> C7"
     assert records.emit(read.where("false"), "id").collect() == []
+
+
+def test_lines_are_made_once(spark):
+    """A filter before the aggregate would make each line a second time."""
+    read = spark.createDataFrame([(1, 0, "VIEW", "N")], "id long, n long, record string, view string")
+    plan = records.emit(records.complete(read, "id"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("Aggregate")[-1]
+    odd = [0.125, 2.675, 1.005, -0.001, -0.0, 12.5, 100.0, 1e15, -1e20, 1e37, float("nan"), float("inf"), None, 1234567.891]
+    d = spark.createDataFrame(list(enumerate(odd)), "k long, v double").select("k", records.number(F.col("v")).alias("t"), F.regexp_replace(F.format_string("%.2f", "v"), r"\.?0+$", "").alias("w"))
+    for row in d.collect():
+        assert row.t == (None if odd[row.k] is None else "0" if row.w == "-0" else row.w)
