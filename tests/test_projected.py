@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plateworks.operators import heat, matching, projection, records
@@ -188,6 +189,27 @@ def test_lines_are_made_once(spark):
         assert row.t == (None if odd[row.k] is None else "0" if row.w == "-0" else row.w)
 
 
+@pytest.mark.parametrize("block", [64, 5])
+def test_heat_of_blocks(spark, monkeypatch, block):
+    """Cells of a map in several blocks are those of one; circles, not cells, are shuffled, once."""
+    monkeypatch.setattr(heat, "BLOCK", block)
+    circles = [(1, 0.0, 0.0, 4.0), (1, 79.0, 47.0, 90.0), (1, 33.0, 20.0, 12.0), (1, 33.0, 20.0, 30.0), (2, 80.0, 1.0, 2.0)]
+    made = heat.targets(spark.createDataFrame(circles, "g long, x double, y double, r double"), ["g"], width=20, height=12, stride=4)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for _, x, y, r in circles[:4]:
+        s, gx, gy = max(1.0, r / 4 * 0.3), x / 4, y / 4
+        cy, cx = min(round(gy), 11), min(round(gx), 19)
+        for iy in range(12):
+            for ix in range(20):
+                if abs(iy - gy) <= 3 * s and abs(ix - gx) <= 3 * s:
+                    own, beside = (iy, ix) == (cy, cx), abs(iy - cy) <= 1 and abs(ix - cx) <= 1
+                    h, q, o = want.get((iy, ix), (0.0, -1.0, False))
+                    want[iy, ix] = (max(h, 1.0 if own else math.exp(-((iy - gy) ** 2 + (ix - gx) ** 2) / (2 * s * s))), max(q, math.log(max(r, 1)) if beside else -1.0), o or own)
+    got = {(c.iy, c.ix): (c.heat, -1.0 if c.radius is None else c.radius, c.centre) for c in made.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_all_peaks(spark):
     """More than 200 peaks of a map come out, and their cells are dealt out once."""
     sf = "/root/testdata/sf0.01"
