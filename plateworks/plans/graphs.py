@@ -202,14 +202,15 @@ def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def share(a: str, b: str, name: str) -> DataFrame:
         m, i = F.col("m"), F.col("i")
-        s = p.where(F.col("role") == a).withColumn("m", F.greatest(F.lit(1), F.floor(F.col("len") * 10 / 6)).cast("long")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))))
+        # Lines are dealt out by view, before they are sampled; samples, what they meet and their sums stay there.
+        s = p.where(F.col("role") == a).repartition("graph", "view").withColumn("m", F.greatest(F.lit(1), F.floor(F.col("len") * 10 / 6)).cast("long")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))))
         s = s.select("graph", "view", "pi", "y", "len", "m", "i", (F.col("x") * 10 * m + F.col("len") * 10 * i).alias("px"))
-        v = p.where(F.col("role") == b).select("graph", "view", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("len").alias("vl"))
+        v = p.where(F.col("role") == b).repartition("graph", "view").select("graph", "view", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("len").alias("vl"))
         dx = F.greatest(F.col("vx") * 10 * m - F.col("px"), F.col("px") - (F.col("vx") + F.col("vl")) * 10 * m, F.lit(0))
         dy = (F.col("y") - F.col("vy")) * 10 * m
         hit = F.coalesce(F.bool_or(dx * dx + dy * dy < 49 * m * m), F.lit(False))
-        c = s.join(v, ["graph", "view"], "left").groupBy("graph", "pi", "len", "m", "i").agg(hit.alias("hit"))
-        line = c.groupBy("graph", "pi", "len", "m").agg(F.count_if("hit").alias("hits"))
+        c = s.join(v.hint("merge"), ["graph", "view"], "left").groupBy("graph", "view", "pi", "len", "m", "i").agg(hit.alias("hit"))
+        line = c.groupBy("graph", "view", "pi", "len", "m").agg(F.count_if("hit").alias("hits"))
         whole = line.groupBy("graph").agg(F.sum(F.expr("hits * 1000000 div (m + 1) * len")).alias("sum"), F.sum("len").alias("len"))
         return whole.select("graph", (F.expr("sum div len") / 1_000_000).alias(name))
 

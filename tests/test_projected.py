@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plateworks.operators import heat, matching, projection, records
-from plateworks.plans import measures
+from plateworks.plans import graphs, measures
 
 
 def on(p, a, b):
@@ -216,3 +216,9 @@ def test_all_peaks(spark):
     peaks = measures.heat_peaks(spark, sf)
     assert peaks.groupBy("map").count().agg(F.max("count")).first()[0] > 200
     assert peaks._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_samples_stay_in_place(spark):
+    """Lines are shuffled, not their samples."""
+    plan = graphs.line_coverage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "pi#" not in "".join(x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines() if "Exchange hashpartitioning" in x)
