@@ -91,6 +91,8 @@ def constraint_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = F.array(*always)
     all_ = F.when(k % 11 != 0, F.array_append(all_, c("fix", r, 10))).otherwise(all_)
     all_ = F.when(k % 13 == 0, F.array_append(all_, c("fix", w + 3, 2))).otherwise(all_)
+    # A part is a few bytes in the table but takes about a millisecond here, so parts are dealt out first: files alone would give few tasks.
+    p = p.repartition(4 * spark.sparkContext.defaultParallelism, "k")
     s = solve.solve(p.select("k", seed.alias("seed"), all_.cast(f"array<{solve.CONSTRAINT}>").alias("constraints")))
     at = lambda i: F.when(F.col("solution.status") != "unmet", F.round(F.col("solution.values")[i], 6) + 0.0)
     return s.select(F.col("k").alias("part"), "solution.status", "solution.rank", at(4).alias("x2"), at(5).alias("y2"), at(8).alias("cx"), at(9).alias("cy"), at(10).alias("r"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plateworks.operators import drawing, recovery, solve, tiles
+from plateworks.plans import recover
 
 
 def plain_recovery(dets, anchors):
@@ -170,3 +171,7 @@ def test_rows_all_of_whose_tags_show_elsewhere(spark):
         if role == "hid" and tags and all(shows(t) and view not in shows(t) for t in tags):
             want.add(pi)
     assert got == want and want
+
+
+def test_parts_are_dealt_out(spark):
+    assert recover.constraint_solve(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
