@@ -10,6 +10,7 @@ import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,10 @@ def greedy(df: DataFrame, by: list[str], left: str, right: str, order: list[str]
     return in_order(df, by, order).select(names).mapInArrow(take, T.StructType([df.schema[c] for c in names]))
 
 
+#: Points that first_kept compares at once.
+CHUNK = 64
+
+
 class _Kept:
     """Points of a group that stay, in an array that doubles as it fills."""
 
@@ -85,22 +90,42 @@ class _Kept:
 def first_kept(df: DataFrame, by: list[str], order: list[str], near: Callable[[np.ndarray, np.ndarray], np.ndarray], at: list[str], ids: str, out: str = "kept") -> DataFrame:
     """df with ``out``: the id of the row that stands for each. In order, a row stays and stands for itself if it is near none that stays before it; else the first of those stands for it.
 
-    near gets the points (columns ``at``) that stay and a point. Groups are read row by row; what is held is the points of one group that stay.
+    near gets points (columns ``at``) that stay, as (points, columns, 1), and points that come, as (columns, points), and tells for all pairs of them.
+    A group is read in chunks of CHUNK rows; what is held is the points of one group that stay.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, df.schema[ids].dataType)])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, names = _Kept(len(at)), []
-        for batch, rows in _rows(batches, by, [ids, *at]):
-            stands = []
-            for begins, (name, *p) in rows:
-                if begins:
+        for batch, rows in _rows(batches, by, [ids]):
+            mine, begins = [], []
+            for i, (begin, (name,)) in enumerate(rows):
+                mine.append(name)
+                if begin:
+                    begins.append(i)
+            points = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in at]).astype(float)
+            stands, fresh = [], set(begins)
+            for low, high in pairwise(sorted({0, *begins, len(mine)})):
+                if low in fresh:
                     kept, names = _Kept(len(at)), []
-                first = kept.first(p, near)
-                if first < 0:
-                    kept.add(p)
-                    names.append(name)
-                stands.append(name if first < 0 else names[first])
+                for a in range(low, high, CHUNK):
+                    p = points[a : min(a + CHUNK, high)]
+                    m = len(p)
+                    # A point is met by those that stay from before, the first of them first, then by those of its chunk.
+                    old = near(kept.rows[: kept.n, :, None], p.T) if kept.n else np.zeros((1, m), bool)
+                    first, there, own = old.argmax(axis=0).tolist(), old.any(axis=0).tolist(), near(p[:, :, None], p.T).T.tolist()
+                    new: list[int] = []
+                    for j in range(m):
+                        at_ = names[first[j]] if there[j] else None
+                        if not there[j]:
+                            i = next((i for i in new if own[j][i]), j)
+                            at_ = mine[a + i]
+                            if i == j:
+                                new.append(j)
+                        stands.append(at_)
+                    for j in new:
+                        kept.add(p[j])
+                        names.append(mine[a + j])
             yield batch.append_column(out, pa.array(stands, batch.column(ids).type))
 
     return in_order(df, by, order).mapInArrow(keep, schema)

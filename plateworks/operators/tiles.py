@@ -13,7 +13,7 @@ APART, RADIUS, RADIUS_SHARE = 20.0, 8.0, 0.2
 
 
 def _same(kept: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Columns: whether it is a line, its ends x1, y1, x2, y2, or else the centre twice, and the radius."""
+    """For all pairs of points that stay and points that come. Columns: whether it is a line, its ends x1, y1, x2, y2, or else the centre twice, and the radius."""
     far = lambda i, j: np.hypot(kept[:, i] - p[j], kept[:, i + 1] - p[j + 1]) < APART
     line = (far(1, 1) & far(3, 3)) | (far(1, 3) & far(3, 1))
     curve = far(1, 1) & (np.abs(kept[:, 5] - p[5]) < np.maximum(RADIUS, RADIUS_SHARE * kept[:, 5]))
@@ -53,7 +53,7 @@ def remapped(dims: DataFrame, prims: DataFrame, sheet: str) -> DataFrame:
     known = prims.select(sheet, "tile", F.col("id").alias("_id"), "kept").dropDuplicates([sheet, "tile", "_id"])
     value = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
     d = dims.select(sheet, "tile", "ord", "kind", value.alias("value"), F.posexplode_outer("refs").alias("_pos", "_id"))
-    d = d.join(known, [sheet, "tile", "_id"], "left").groupBy(sheet, "tile", "ord", "kind", "value")
+    d = d.join(known.hint("merge"), [sheet, "tile", "_id"], "left").groupBy(sheet, "tile", "ord", "kind", "value")
     d = d.agg(F.array_sort(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("_pos", "kept")))).alias("_r"))
     d = d.select(sheet, "tile", "ord", "kind", "value", F.transform("_r", lambda r: r["kept"]).alias("refs"))
     row = F.struct("tile", "ord", "value", "refs")

@@ -7,7 +7,7 @@ from statistics import median
 import numpy as np
 from pyspark.sql import functions as F
 
-from plateworks.operators import drawing, recovery, solve, tiles
+from plateworks.operators import drawing, kernels, recovery, solve, tiles
 from plateworks.plans import recover
 
 
@@ -173,5 +173,29 @@ def test_rows_all_of_whose_tags_show_elsewhere(spark):
     assert got == want and want
 
 
+def test_first_kept_over_chunks_and_batches(spark, monkeypatch):
+    """Groups longer than a chunk and than a batch, against a plain loop; near is asked for chunks, not for each point."""
+    rng = random.Random(5)
+    rows = [(g, i, rng.uniform(0, 60), rng.uniform(0, 9)) for g, n in ((1, 150), (2, 3), (3, 90)) for i in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    calls = spark.sparkContext.accumulator(0)
+
+    def near(kept, p):
+        calls.add(1)
+        return (abs(kept[:, 0] - p[0]) < 1) & (abs(kept[:, 1] - p[1]) < 2)
+
+    try:
+        got = {(r.g, r.i): r.kept for r in kernels.first_kept(spark.createDataFrame(rows, "g long, i long, x double, y double"), ["g"], ["i"], near, ["x", "y"], "i").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    stay = []
+    for g, i, x, y in rows:
+        k = next((j for h, j, u, v in stay if h == g and abs(u - x) < 1 and abs(v - y) < 2), None)
+        if k is None:
+            stay.append((g, i, x, y))
+        assert got[g, i] == (i if k is None else k)
+    assert calls.value < len(rows) / 5
+
+
 def test_parts_are_dealt_out(spark):
     assert recover.constraint_solve(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
