@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plateworks.operators import clouds, rules
 from plateworks.operators import geometry as g
-from plateworks.operators import rules
 from plateworks.plans.registry import query
 from plateworks.shared import written
 from plateworks.sources import table
@@ -142,23 +142,20 @@ e as (select a.label, b.vec_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z -
 f as (select label, count(*) as n, avg(d) as there from d group by label), h as (select label, avg(d) as back from e group by label)
 select label, n, round(there, 5) as mean_sq, round(back, 5) as mean_sq_back, round(there + back, 5) as chamfer from f join h using (label)""")
 def chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean squared distance of a cloud's points to the next cloud, of that one's points to this one, and the sum. Points meet the other cloud in blocks of about 1,000."""
+    """Mean squared distance of a cloud's points to the next cloud, of that one's points to this one, and the sum."""
     c = written(cloud(spark, sf_dir), "cloud")
-    parts = F.ceil(F.count("*") / 1000).alias("parts")
-    b = c.join(c.groupBy("label").agg(parts), "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    b = written(b.groupBy("label", "block").agg(F.collect_list(F.struct("x", "y", "z")).alias("pts")), "blocks").select(F.col("label").alias("other"), "pts")
-    sq = lambda p, k: (F.col(k) - p[k]) * (F.col(k) - p[k])
-    near = F.array_min(F.transform("pts", lambda p: sq(p, "x") + sq(p, "y") + sq(p, "z")))
-
-    def mean(pair: Column, other: Column, name: str) -> DataFrame:
-        """Of the points of a cloud, to the cloud ``other``; pair: the number of the pair of clouds."""
-        d = c.select("vec_id", pair.alias("label"), other.alias("other"), "x", "y", "z").join(b, "other").select("label", "vec_id", near.alias("d")).groupBy("label", "vec_id").agg(F.min("d").alias("d"))
-        return d.groupBy("label").agg(F.count("*").alias(f"n_{name}"), F.avg("d").alias(name))
-
-    label = F.col("label")
-    both = mean(label, (label + 1) % 10, "there").join(mean((label + 9) % 10, (label + 9) % 10, "back"), "label")
-    there, back = F.col("there"), F.col("back")
-    return both.select("label", F.col("n_there").alias("n"), F.round(there, 5).alias("mean_sq"), F.round(back, 5).alias("mean_sq_back"), F.round(there + back, 5).alias("chamfer"))
+    label, after = F.col("label"), (F.col("label") + 1) % 10
+    pairs = c.where("label is not null").select("label").distinct()
+    there = pairs.select(F.col("label").alias("pair"), F.lit(True).alias("there"), label.alias("from"), after.alias("to"))
+    back = pairs.select(F.col("label").alias("pair"), F.lit(False).alias("there"), after.alias("from"), label.alias("to"))
+    asked = c.withColumnRenamed("label", "from").join(there.unionByName(back), "from")
+    d = clouds.nearest_sq(asked, c.withColumnRenamed("label", "to"), "to")
+    # Rows of one vec_id count once, with the least distance.
+    d = d.groupBy("pair", "there", "vec_id").agg(F.min("sq").alias("d")).groupBy("pair", "there").agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
+    of = lambda way, c: F.max(F.when(F.col("there") == way, F.col(c)))
+    both = d.groupBy(F.col("pair").alias("label")).agg(of(True, "n").alias("n"), of(True, "mean").alias("one"), of(False, "mean").alias("two"), F.count("*").alias("ways")).where("ways = 2")
+    one, two = F.col("one"), F.col("two")
+    return both.select("label", "n", F.round(one, 5).alias("mean_sq"), F.round(two, 5).alias("mean_sq_back"), F.round(one + two, 5).alias("chamfer"))
 
 
 @query(_POINTS + "select id, case when z = 0 then 'polyline' when z < 4 then 'line' when z < 8 then 'circle' else 'ellipse' end as kind, case when z = 0 then 'fallback' when x > 45 then 'rejected' else 'ok' end as status from p")
