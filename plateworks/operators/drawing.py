@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,11 +45,12 @@ def swept(x: Column, low: Column, high: Column) -> Column:
 def shown_elsewhere(df: DataFrame, drawing: str, view: str, row: str, tags: str, asked: Column, visible: Column) -> DataFrame:
     """The rows ``asked`` for all of whose tags are on a visible row of the drawing, but on none of the row's own view. Rows without tags are none.
 
-    A row is known by (drawing, row). Each tag of a row meets the views that show it, and a row stays if all its tags pass.
+    A row is known by (drawing, row). Tags shown in a drawing and in each of its views come by windows: rows that lie together by drawing are not moved again.
     """
-    each = df.withColumn("_tag", F.explode(F.array_distinct(tags)))
-    views = each.where(visible).groupBy(drawing, "_tag").agg(F.collect_set(view).alias("_views"))
-    met = each.where(asked).join(views, [drawing, "_tag"], "left")
-    passes = F.coalesce(~F.array_contains("_views", F.col(view)), F.lit(False))
-    good = met.groupBy(drawing, row).agg(F.bool_and(passes).alias("_all")).where("_all").drop("_all")
-    return df.where(asked).join(good, [drawing, row], "left_semi")
+    shown = F.when(visible, F.col(tags))
+    # Visible rows of an unknown view show their tags, but in no view that could be a row's own.
+    d = df.withColumns({"_asked": F.coalesce(asked, F.lit(False)), "_mine": F.collect_set(shown).over(Window.partitionBy(drawing, view)), "_all": F.collect_set(shown).over(Window.partitionBy(drawing))})
+    known = F.filter(F.array_distinct(F.flatten("_all")), lambda t: t.isNotNull())
+    fails = F.col(drawing).isNull() | F.col(row).isNull() | F.col(view).isNull() | (F.size(F.array_except(tags, known)) > 0) | F.coalesce(F.arrays_overlap(tags, F.flatten("_mine")), F.lit(False))
+    d = d.where("_asked").where(F.size(tags) > 0).withColumn("_fails", fails)
+    return d.withColumn("_any", F.max("_fails").over(Window.partitionBy(drawing, row))).where("not _any").select(df.columns)

@@ -19,9 +19,10 @@ _ALL = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedpric
 
 def prims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """graph, view, role, pi (emission ordinal), x, y, len, r, face."""
-    order = Window.partitionBy("l_partkey").orderBy(*_ALL)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("graph"),
+    # Numbered under the name that the rows keep, so that what is worked out by drawing afterwards finds them in place.
+    order = Window.partitionBy("graph").orderBy(*_ALL)
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "graph").select(
+        "graph",
         F.col("l_returnflag").alias("view"),
         F.when(F.col("l_linestatus") == "F", "vis").otherwise("hid").alias("role"),
         F.row_number().over(order).cast("long").alias("pi"),

@@ -106,6 +106,7 @@ def hidden_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden rows all of whose tags are visible in another view and not in this one, dropped with a share of 0.3 by a seeded hash."""
     faces = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).cast("long").alias("face"), F.concat(F.lit("cyl"), (F.col("s_nationkey") % 6).cast("string")).alias("tag"))
     tags = faces.groupBy("face").agg(F.collect_set("tag").alias("tags"))
-    p = prims(spark, sf_dir).join(tags, "face", "left")
+    # Faces are numbered modulo 20, so their tags are few rows of few names, whatever the number of suppliers.
+    p = prims(spark, sf_dir).select("graph", "view", "role", "pi", "face").join(F.broadcast(tags), "face", "left")
     able = drawing.shown_elsewhere(p, "graph", "view", "pi", "tags", F.col("role") == "hid", F.col("role").isin("vis", "vh"))
     return able.select("graph", "pi", kernels.dropped_out(F.concat_ws("/", "graph", "pi"), 7, 0.3).alias("is_dropped"))

@@ -173,6 +173,16 @@ def test_rows_all_of_whose_tags_show_elsewhere(spark):
     assert got == want and want
 
 
+def test_rows_shown_elsewhere_are_moved_once(spark):
+    """Nulls show nowhere; a row known twice passes only as a whole; primitives that lie together by drawing are shuffled once."""
+    rows = [(1, "A", 1, "vis", ["a"]), (1, "B", 2, "hid", ["a"]), (1, None, 3, "hid", ["a"]), (None, "B", 4, "hid", ["a"]), (1, "B", 5, "hid", ["a", None]), (1, "B", 6, "hid", ["a"]), (1, "A", 6, "hid", ["a"]), (1, "B", 7, None, ["a"]), (2, None, 8, "vis", ["b"]), (2, "B", 9, "hid", ["b"])]
+    df = spark.createDataFrame(rows, "graph int, view string, pi int, role string, tags array<string>")
+    got = drawing.shown_elsewhere(df, "graph", "view", "pi", "tags", F.col("role") == "hid", F.col("role") == "vis")
+    assert got.columns == df.columns and sorted(r.pi for r in got.collect()) == [2, 9]
+    plan = recover.hidden_dropout(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Exchange hashpartitioning(face" in plan and "SortMergeJoin" not in plan
+
+
 def test_first_kept_over_chunks_and_batches(spark, monkeypatch):
     """Groups longer than a chunk and than a batch, against a plain loop; near is asked for chunks, not for each point."""
     rng = random.Random(5)
