@@ -17,6 +17,7 @@ one that is near. Each block of probes first meets one block of the index, and o
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,8 @@ EDITS, PER = 2, 12
 HOT = 32
 #: Bytes of lines in a block of a hot key, on average.
 BLOCK_BYTES = 1 << 16
-#: Two 64-bit hashes tell lines apart.
-ID = ["_h1", "_h2"]
+#: Two 64-bit hashes tell lines apart; behind the table of distinct lines their number does, which takes far less room in a shuffle.
+NAME, ID = ["_h1", "_h2"], ["_u"]
 #: Characters of a chunk that is compared as a whole.
 CHUNK = 12
 _LETTERS = "etaoinshrdlucmfw"
@@ -151,23 +152,23 @@ def _ids(line: Column) -> list[Column]:
 
 
 def coded(lines: DataFrame, most: int) -> DataFrame:
-    """lines (_line and others) with _n (length), the id, _i and _p (hashes of segments and probes), without the text."""
+    """lines (_line and others) with _n (length), the name, _i and _p (hashes of segments and probes), without the text."""
     others = [c for c in lines.columns if c != "_line"]
     d = lines.withColumn("_n", F.char_length("_line"))
     line, n = F.col("_line"), F.col("_n")
     return d.select(*others, "_n", *_ids(line), index_hashes(line, n, most).alias("_i"), probe_hashes(line, n, most).alias("_p"))
 
 
-def entries(distinct: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(_k, id, _n) of the index and (_k, id, _n, _longer) of the probes of distinct coded lines. _longer: the probe is for shorter lines."""
+def entries(distinct: DataFrame, most: int, ids: Sequence[str] = NAME) -> tuple[DataFrame, DataFrame]:
+    """(_k, ids) of the index and (_k, ids, _longer) of the probes of distinct coded lines. _longer: the probe is for shorter lines."""
     parts, places = most + 1, _places(most)
     less, nth = (F.array(*[F.lit(p[k]).cast("long") for p in places]) for k in (0, 1))
 
     def keyed(hashes: str, length: Column, number: Column, *more: Column) -> DataFrame:
-        e = distinct.select(*ID, "_n", F.posexplode(hashes).alias("_at", "_h"))
+        e = distinct.select(*ids, "_n", F.posexplode(hashes).alias("_at", "_h"))
         # Length and number of the segment stand above its hash in one number.
         key = F.shiftleft(length * parts + number, 32).bitwiseOR(F.col("_h").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        return e.select(key.alias("_k"), *ID, "_n", *more)
+        return e.select(key.alias("_k"), *ids, *more)
 
     n = F.col("_n").cast("long")
     fewer = F.get(less, F.col("_at"))
@@ -189,9 +190,9 @@ def _near(a: Column, b: Column, most: int, per: int) -> Column:
     return alike & (distance(a["line"], b["line"], most) <= allowed(F.least(a["n"], b["n"]), most, per))
 
 
-def _joined(index: DataFrame, probes: DataFrame) -> DataFrame:
+def _joined(index: DataFrame, probes: DataFrame, ids: Sequence[str] = NAME) -> DataFrame:
     """(a, b): structs of the ids of lines that meet under a key, each pair once."""
-    a, b = (F.struct(*[F.col(f"{s}.{c}") for c in ID]) for s in "ip")
+    a, b = (F.struct(*[F.col(f"{s}.{c}") for c in ids]) for s in "ip")
     met = index.alias("i").join(probes.alias("p"), "_k").select(a.alias("a"), b.alias("b"), "_longer")
     return met.where((F.col("a") != F.col("b")) & (F.col("_longer") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
 
@@ -199,7 +200,7 @@ def _joined(index: DataFrame, probes: DataFrame) -> DataFrame:
 def _blocks(side: DataFrame, texts: DataFrame, hot: DataFrame, count: str, name: str, block_bytes: int) -> DataFrame:
     """(_k, _ib, _pb, name_block, name): blocks of one side's lines under hot keys, as arrays of structs by rising place. hot is small or shuffled; a block is bounded by its bytes."""
     n = F.greatest(F.lit(1), F.ceil(F.col(count) * (F.col("_n") + 64) / block_bytes)).cast("int")
-    d = side.drop("_n").join(hot, "_k").join(texts, ID)
+    d = side.join(hot, "_k").join(texts, ID)
     d = d.withColumn("_b", F.pmod(F.xxhash64(F.lit(name), *ID), n).cast("int"))
     line = F.struct("_first", *ID, F.col("_s").alias("s"), F.col("_g").alias("g"), F.col("_w").alias("w"), F.col("_line").alias("line"), F.col("_n").alias("n"))
     return d.groupBy("_k", "_b").agg(F.array_sort(F.collect_set(line)).alias(name))
@@ -242,23 +243,23 @@ def _hot_near(index: DataFrame, probes: DataFrame, hot: DataFrame, texts: DataFr
 def near_lines(distinct: DataFrame, lines_of, most: int = EDITS, per: int = PER, *, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Ids of the lines to which an earlier one is near.
 
-    distinct: coded lines (id, _n, _first, _i, _p), each once. lines_of gives, for a table of (id, _first), their texts as (id, _line).
+    distinct: a written table of coded lines (id, name, _n, _first, _i, _p), each once. lines_of gives, for a table of (name, _first), their texts as (name, _line).
     """
     long = distinct.where(F.col("_n") >= per)
-    index, probes = entries(long, most)
+    index, probes = entries(long, most, ID)
     counted = index.groupBy("_k").agg(F.count("*").alias("_ci")).where(F.col("_ci") > hot)
     busy = checkpointed(counted)
     n_hot = busy.count()
     small = lambda df: F.broadcast(df) if n_hot <= SMALL else df
     usual = index.join(small(busy), "_k", "left_anti") if n_hot else index
-    maybe = checkpointed(_joined(usual, probes))
+    maybe = checkpointed(_joined(usual, probes, ID))
     asked = maybe.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").distinct()
     if n_hot:
         hot_index, hot_probes = (checkpointed(e.join(small(busy), "_k", "left_semi")) for e in (index, probes))
         keys = small(busy.join(hot_probes.groupBy("_k").agg(F.count("*").alias("_cp")), "_k"))
         asked = asked.unionByName(hot_index.select(*ID)).unionByName(hot_probes.select(*ID)).distinct()
-    named = checkpointed(_semi(distinct.select(*ID, "_first"), asked, ID))
-    texts = lines_of(named.select(*ID, "_first")).join(named, ID)
+    named = checkpointed(_semi(distinct.select(*ID, *NAME, "_first"), asked, ID))
+    texts = lines_of(named.select(*NAME, "_first")).join(named, NAME)
     texts = written(texts.select(*ID, "_first", "_line", F.char_length("_line").alias("_n"), _sketch(F.col("_line")).alias("_s"), _cut_sketches(F.col("_line"), most).alias("_c")), "line-texts")
     texts = texts.select(*ID, "_first", "_line", "_n", "_s", F.col("_c.g").alias("_g"), F.col("_c.w").alias("_w"))
 
@@ -288,15 +289,15 @@ def marks(docs: DataFrame, *, most: int = EDITS, per: int = PER, hot: int = HOT,
     elsewhere, so that nothing needs to be joined by line once more. near: an earlier line is near.
     """
     place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("_pos").alias("pos"))
-    all_lines = coded(_lines(docs), most).select(*ID, place.alias("_at"), "_n", "_i", "_p")
-    one = all_lines.groupBy(*ID).agg(F.min("_at").alias("_first"), *[F.any_value(c).alias(c) for c in ("_n", "_i", "_p")])
-    distinct = written(one, "distinct")
+    all_lines = coded(_lines(docs), most).select(*NAME, place.alias("_at"), "_n", "_i", "_p")
+    one = all_lines.groupBy(*NAME).agg(F.min("_at").alias("_first"), *[F.any_value(c).alias(c) for c in ("_n", "_i", "_p")])
+    distinct = written(one.select(F.monotonically_increasing_id().alias("_u"), "*"), "distinct")
 
     def lines_of(named: DataFrame) -> DataFrame:
         # Only documents in which such a line stands first are cut again.
         homes = named.select(F.col("_first.hash").alias("_hash")).distinct()
         cut = _lines(_semi(docs, homes, "_hash")).select(*_ids(F.col("_line")), "_line")
-        return _semi(cut, named.select(*ID), ID).dropDuplicates(ID)
+        return _semi(cut, named.select(*NAME), NAME).dropDuplicates(NAME)
 
     later = near_lines(distinct, lines_of, most, per, hot=hot, block_bytes=block_bytes).withColumn("_near", F.lit(True))
     first = _semi(distinct.select(*ID, "_first"), later, ID, "left")

@@ -98,6 +98,14 @@ def near_places(rows, most):
     return out
 
 
+def test_entries_take_little_room(spark):
+    """Behind the table of distinct lines an entry is a key and a number: two hashes in each of the 25 entries of a line took most of the disk."""
+    c = lines.coded(spark.createDataFrame([("a line of some length that is long enough",)], "_line string"), 2).withColumn("_u", F.lit(7).cast("long"))
+    index, probes = lines.entries(c, 2, lines.ID)
+    assert index.columns == ["_k", "_u"] and probes.columns == ["_k", "_u", "_longer"]
+    assert {r["_u"] for r in index.union(probes.drop("_longer")).collect()} == {7}
+
+
 def test_template_lines_make_rows_in_proportion(spark):
     """1,200 numbered lines of one template: all under a few hot keys, a row for each pair of blocks."""
     rows = [(i, f"row {i:06d} of the table has been loaded into the warehouse today") for i in range(1200)]
