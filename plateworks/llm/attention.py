@@ -50,6 +50,7 @@ class Attention:
         rng = np.random.default_rng(seed)
         some = lambda *shape: (rng.standard_normal(shape) / math.sqrt(shape[-2])).astype(np.float32)
         by_class = counts.reshape(CLASSES, MEMBERS).astype(float)
+        self.adam: Adam | None = None
         self.share = (counts + 1) / (counts.sum() + SYMBOLS)
         log = lambda share: np.maximum(np.log(np.maximum(share, 1e-13)), -30).astype(np.float32)
         self.p = {
@@ -83,17 +84,6 @@ class Attention:
         z += self.p["hidden0"]
         return np.maximum(z, 0, out=z)
 
-    def by_class(self, z: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(class, places with a target of that class, logits of its members there)."""
-        group = (target // MEMBERS).astype(np.uint8)
-        order = np.argsort(group, kind="stable")
-        z, cuts = z[order], np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[c], cuts[c + 1]
-            logits = z[a:b] @ self.p["member"][c]
-            logits += self.p["member0"][c]
-            yield c, order[a:b], logits
-
     def gradient(self, codes: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the places to use (a mask), and its gradient."""
         p, (n, w) = self.p, codes.shape
@@ -101,63 +91,130 @@ class Attention:
         flat = mixed.reshape(n * w, 2 * WIDTH)[use.ravel()]
         t, m = target[use], int(use.sum())
         z = self.hidden(flat)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        logits = z @ p["class"] + p["class0"]
-        d = np.exp(logits - _log_sum(logits)[:, None])
-        at = np.arange(m)
-        loss = -np.log(np.maximum(d[at, t // MEMBERS], 1e-30)).sum()
-        d[at, t // MEMBERS] -= 1
+        g: dict[str, np.ndarray] = {}
+        # Places are taken class by class, so that each class has its members' part in one run.
+        group = (t // MEMBERS).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        z, t, group = z.take(order, axis=0), t.take(order), group.take(order)
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
+        runs = [(c, cuts[c], cuts[c + 1]) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+        d = z @ p["class"]
+        d += p["class0"]
+        loss = _missed(d, group)
         g["class"], g["class0"], dz = z.T @ d, d.sum(axis=0), d @ p["class"].T
-        for c, rows, inner in self.by_class(z, t):
-            d = np.exp(inner - _log_sum(inner)[:, None])
-            loss -= np.log(np.maximum(d[np.arange(len(rows)), t[rows] % MEMBERS], 1e-30)).sum()
-            d[np.arange(len(rows)), t[rows] % MEMBERS] -= 1
-            g["member"][c], g["member0"][c] = z[rows].T @ d, d.sum(axis=0)
-            dz[rows] += d @ p["member"][c].T
+        inner = np.empty((m, MEMBERS), z.dtype)
+        for c, i, j in runs:
+            np.matmul(z[i:j], p["member"][c], out=inner[i:j])
+            inner[i:j] += p["member0"][c]
+        loss += _missed(inner, t % MEMBERS)
+        g["member"], g["member0"] = np.zeros_like(p["member"]), np.zeros_like(p["member0"])
+        for c, i, j in runs:
+            np.matmul(z[i:j].T, inner[i:j], out=g["member"][c])
+            g["member0"][c] = inner[i:j].sum(axis=0)
+            dz[i:j] += inner[i:j] @ p["member"][c].T
         dz *= z > 0
-        g["hidden"], g["hidden0"] = flat.T @ dz, dz.sum(axis=0)
-        dmixed = np.zeros((n * w, 2 * WIDTH), np.float32)
-        dmixed[use.ravel()] = dz @ p["hidden"].T
+        back = np.empty_like(dz)
+        back[order] = dz
+        g["hidden"], g["hidden0"] = flat.T @ back, back.sum(axis=0)
+        dmixed = np.zeros((n * w, 2 * WIDTH), z.dtype)
+        dmixed[use.ravel()] = back @ p["hidden"].T
         dmixed = dmixed.reshape(n, w, 2 * WIDTH)
-        dx, dout = dmixed[..., :WIDTH].copy(), dmixed[..., WIDTH:]
+        dx, dout = dmixed[..., :WIDTH], dmixed[..., WIDTH:]
         q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        da = np.matmul(dout, v.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(WIDTH))
-        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dout)], axis=2)
-        g["qkv"] = x.reshape(-1, WIDTH).T @ dqkv.reshape(-1, 3 * WIDTH)
-        dx += (dqkv.reshape(-1, 3 * WIDTH) @ p["qkv"].T).reshape(n, w, WIDTH)
-        np.add.at(g["symbol"], codes.ravel(), dx.reshape(-1, WIDTH))
+        ds = np.matmul(dout, v.transpose(0, 2, 1))
+        ds -= np.einsum("nij,nij->ni", a, ds)[..., None]
+        ds *= a
+        ds *= np.float32(1 / math.sqrt(WIDTH))
+        dqkv = np.empty_like(qkv)
+        np.matmul(ds, k, out=dqkv[..., :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dout, out=dqkv[..., 2 * WIDTH :])
+        dqkv = dqkv.reshape(n * w, 3 * WIDTH)
+        g["qkv"] = x.reshape(n * w, WIDTH).T @ dqkv
+        dx = dx + (dqkv @ p["qkv"].T).reshape(n, w, WIDTH)
+        at = codes.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["symbol"] = np.bincount(at.ravel(), weights=dx.ravel(), minlength=SYMBOLS * WIDTH).reshape(SYMBOLS, WIDTH)
+        g["place"] = np.zeros_like(p["place"])
         g["place"][:w] = dx.sum(axis=0)
         return float(loss) / max(m, 1), {k: v / np.float32(max(m, 1)) for k, v in g.items()}
 
-    def train(self, sequences: list[np.ndarray], steps: int = STEPS, seed: int = 12) -> list[float]:
-        """Adam over random windows of the sequences of codes; the loss of each step."""
-        # Every window a sequence can be cut into at a step of half a window; a lone symbol predicts nothing.
-        cuts = [(i, a) for i, s in enumerate(sequences) for a in range(0, max(1, len(s) - 1), WINDOW // 2) if len(s) > 1]
-        if not cuts:
-            return []
-        rng, losses = np.random.default_rng(seed), []
-        m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in "12")
-        for step in range(1, steps + 1):
-            codes, target, use = np.zeros((BATCH, WINDOW), np.int64), np.zeros((BATCH, WINDOW), np.int64), np.zeros((BATCH, WINDOW), bool)
-            for j, c in enumerate(rng.integers(len(cuts), size=BATCH).tolist()):
-                i, a = cuts[c]
-                part = sequences[i][a : a + WINDOW + 1]
-                codes[j, : len(part) - 1], target[j, : len(part) - 1], use[j, : len(part) - 1] = part[:-1], part[1:], True
-            loss, g = self.gradient(codes, target, use)
-            losses.append(loss)
-            rate = RATE * (1 - 0.9 * step / steps)
-            for k, v in g.items():
-                m1[k] += np.float32(0.1) * (v - m1[k])
-                m2[k] += np.float32(0.01) * (v * v - m2[k])
-                fair = np.float32(rate / (1 - 0.9**step)) / (np.sqrt(m2[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-                self.p[k] -= fair * m1[k]
+    def train(self, sequences: list[np.ndarray], steps: int = STEPS, seed: int = 12, rates: tuple[float, float] = (RATE, RATE / 10), batch: int = BATCH) -> list[float]:
+        """Adam over the windows of the sequences of codes, all of them in each pass, in as many passes as it takes to make so many steps; the loss of each step.
+
+        rates: of the first step and of the last. What Adam keeps stays for the next call.
+        """
+        np.empty(1 << 24, np.uint8)  # once such a block is freed, the allocator keeps what the steps free, which would cost page faults again
+        windows, rng = Windows(sequences, batch), np.random.default_rng(seed)
+        passes = max(1, -(-steps // max(1, windows.batches)))
+        whole, losses = passes * windows.batches, []
+        self.adam = self.adam or Adam(self.p)
+        for _ in range(passes):
+            for drawn in windows.drawn(rng):
+                loss, g = self.gradient(*drawn)
+                losses.append(loss)
+                self.adam.step(g, rates[0] + (rates[1] - rates[0]) * len(losses) / whole)
         return losses
 
+    def vector(self) -> np.ndarray:
+        """All parameters in a row."""
+        return np.concatenate([v.ravel() for v in self.p.values()]).astype(float)
+
+    def load(self, vector: np.ndarray) -> None:
+        """Parameters as vector() gives them."""
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: part.reshape(v.shape).astype(v.dtype) for (k, v), part in zip(self.p.items(), np.split(vector, cuts), strict=True)}
+        self.adam = None
+
     def tables(self) -> "Tables":
         return Tables(self)
 
 
+class Windows:
+    """Sequences cut into windows, in which each symbol but a sequence's first is predicted once."""
+
+    def __init__(self, sequences: list[np.ndarray], batch: int):
+        self.batch = batch
+        length = np.array([max(0, len(s) - 1) for s in sequences], np.int64)
+        begin = np.append(0, np.cumsum([len(s) for s in sequences]))[:-1].astype(np.int64)
+        windows = -(-length // WINDOW)
+        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.start, self.size = np.repeat(begin, windows) + nth * WINDOW, np.minimum(WINDOW, np.repeat(length, windows) - nth * WINDOW)
+        self.stream = np.concatenate([*sequences, np.zeros(WINDOW + 1, np.int64)]).astype(np.int32)
+        self.batches = -(-len(self.start) // batch)
+
+    def drawn(self, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(codes, targets, places to use) of all windows once, a batch at a time, in random order."""
+        order = rng.permutation(len(self.start))
+        for at in range(0, len(order), self.batch):
+            some = order[at : at + self.batch]
+            part = self.stream.take(self.start[some, None] + np.arange(WINDOW + 1))
+            yield part[:, :-1], part[:, 1:], np.arange(WINDOW) < self.size[some, None]
+
+
+class Adam:
+    """Steps on parameters by name, which change in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.n = p, 0
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in "12")
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.n += 1
+        fair, least = np.float32(rate * math.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)), np.float32(1e-8 * math.sqrt(1 - 0.99**self.n))
+        for k, v in g.items():
+            m1, m2, v = self.m1[k], self.m2[k], v.astype(np.float32, copy=False)
+            m1 += np.float32(0.1) * (v - m1)
+            v *= v
+            v -= m2
+            v *= np.float32(0.01)
+            m2 += v
+            d = np.sqrt(m2)
+            d += least
+            np.divide(m1, d, out=d)
+            d *= fair
+            self.p[k] -= d
+
+
 class Tables:
     """The model laid out for scoring: all that is linear in a symbol or a place is worked out beforehand."""
 
@@ -253,5 +310,12 @@ class Tables:
         return np.bincount(owner, weights=total, minlength=len(length)) / math.log(10)
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    return np.log(np.exp(np.minimum(logits, _TOP)).sum(axis=1))
+def _missed(logits: np.ndarray, target: np.ndarray) -> float:
+    """The loss of the targets; the logits become its gradient."""
+    np.exp(np.minimum(logits, _TOP, out=logits), out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    at = np.arange(len(target)) * logits.shape[1] + target
+    flat = logits.reshape(-1)
+    loss = -np.log(np.maximum(flat[at], 1e-30)).sum()
+    flat[at] -= 1
+    return float(loss)

@@ -122,6 +122,44 @@ def test_model_prefers_the_language_it_learned(spark):
     assert got[1000].score < 1.5 * mean and best > mean > 1.06 * best
 
 
+@pytest.mark.parametrize("first", [20_000, 500, 1])
+def test_all_of_each_training_text_is_learned(spark, monkeypatch, first):
+    """4,200 short texts and a long one, in one turn and in three: each symbol and each end once, in every turn's weights too."""
+    monkeypatch.setattr(scoring, "FIRST", first)
+    rows = [(i, f"w{i % 7} x") for i in range(4200)] + [(9000, "begin " + "a b " * 4000 + "end"), (9001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = df.select(F.col("doc_id").alias("_uid"), "text", F.lit(True).alias("_learn"))
+    counts = scoring.count_words(texts, "text", "_learn").cache()
+    known = scoring.vocabulary(counts, **RULES)
+    assert known.symbols_to_learn == sum(len(scoring.word_ids(pa.array(words_of(t)[:-1], pa.string()), **RULES)[0]) + 1 for _, t in rows)
+
+    def run(batches):
+        for b in batches:
+            w = scoring.Words(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("_uid"), known.texts(w, known.places(w.known))[0]], names=["_uid", "_symbols"])
+
+    coded = texts.select("_uid", "text").mapInArrow(run, "_uid long, _symbols binary").cache()
+    assert scoring.count_pairs(coded, known.symbol_counts).sum() == known.symbols_to_learn
+    model = scoring.fit(coded, known.symbols_to_learn, known.symbol_counts, steps=1)
+    assert model.learned == known.symbols_to_learn
+    assert all(np.isfinite(v).all() for v in model.attention.p.values())
+    other = scoring.fit(coded.where("_uid <> 4199"), known.symbols_to_learn, known.symbol_counts, steps=1)
+    assert other.learned < model.learned and not np.array_equal(other.attention.vector(), model.attention.vector())
+
+
+def test_turns_learn_as_one_does(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(["ba", "du", "ki", "so"], 3))
+    rows = [(i, " ".join(word() for _ in range(60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sums = []
+    for first in (1_000_000, 20_000):
+        monkeypatch.setattr(scoring, "FIRST", first)
+        done = scoring.score(df, F.col("doc_id") < 380, key="doc_id", text="text", steps=150, **RULES).where("doc_id >= 380")
+        sums.append(done.agg(F.avg("lm.score")).first()[0])
+    assert sums[1] > 1.03 * sums[0] and sums[0] < 0
+
+
 def test_empty_and_nothing_to_learn(spark, tmp_path):
     df = documents(spark)
     assert scoring.score(df.where("false"), F.lit(True), key="doc_id", text="text", **RULES).collect() == []
