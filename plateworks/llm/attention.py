@@ -6,6 +6,7 @@ predicts the next symbol in two steps, its class and then the member of the clas
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -68,73 +69,89 @@ class Attention:
     def mixed(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """What the hidden layer gets for each place of windows (windows, places), and what the backward pass needs."""
         p, (n, w) = self.p, codes.shape
-        x = p["symbol"][codes] + p["place"][:w]
-        qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, w, 3 * WIDTH)
-        q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(1 / math.sqrt(WIDTH))
-        np.minimum(a, _TOP, out=a)
-        np.exp(a, out=a)
-        a *= np.tri(w, dtype=np.float32)  # no place sees a later one
-        a /= a.sum(axis=2, keepdims=True)
-        return np.concatenate([x, np.matmul(a, v)], axis=2), x, qkv, a
+        symbol, place = np.zeros((SYMBOLS, 2 * WIDTH), p["symbol"].dtype), np.zeros((w, 2 * WIDTH), p["place"].dtype)
+        symbol[:, :WIDTH], place[:, :WIDTH] = p["symbol"], p["place"][:w]
+        qkv = p["qkv"].copy()
+        qkv[:, :WIDTH] *= np.float32(1 / math.sqrt(WIDTH))
+        mixed, linear, a = (np.empty((n, w, size), symbol.dtype) for size in (2 * WIDTH, 3 * WIDTH, w))
+        mask, ones = np.tri(w, dtype=symbol.dtype), np.ones(w, symbol.dtype)
+        for at in range(0, n, TOGETHER):
+            part, e, many = mixed[at : at + TOGETHER], a[at : at + TOGETHER], linear[at : at + TOGETHER]
+            np.add(symbol.take(codes[at : at + TOGETHER], axis=0), place, out=part)
+            np.matmul(part.reshape(-1, 2 * WIDTH)[:, :WIDTH], qkv, out=many.reshape(-1, 3 * WIDTH))
+            np.matmul(many[..., :WIDTH], many[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1), out=e)
+            _exp(e)
+            e *= mask  # no place sees a later one
+            e *= (1 / (e @ ones))[..., None]
+            np.matmul(e, many[..., 2 * WIDTH :], out=part[..., WIDTH:])
+        return mixed, linear, a, qkv
 
     def hidden(self, mixed: np.ndarray) -> np.ndarray:
         z = mixed @ self.p["hidden"]
         z += self.p["hidden0"]
-        return np.maximum(z, 0, out=z)
+        return np.maximum(z, np.zeros_like(z), out=z)
+
+    def last(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each class the layer of classes and that of its members side by side: weights and biases."""
+        p, kind = self.p, self.p["class"].dtype
+        weights, biases = np.empty((CLASSES, HIDDEN, CLASSES + MEMBERS), kind), np.empty((CLASSES, CLASSES + MEMBERS), kind)
+        weights[..., :CLASSES], weights[..., CLASSES:] = p["class"], p["member"]
+        biases[:, :CLASSES], biases[:, CLASSES:] = p["class0"], p["member0"]
+        return weights, biases
 
     def gradient(self, codes: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the places to use (a mask), and its gradient."""
+        """Mean loss over the places to use (a mask), and its gradient. Work goes in parts that stay in a core's cache."""
         p, (n, w) = self.p, codes.shape
-        mixed, x, qkv, a = self.mixed(codes)
-        flat = mixed.reshape(n * w, 2 * WIDTH)[use.ravel()]
-        t, m = target[use], int(use.sum())
-        z = self.hidden(flat)
-        g: dict[str, np.ndarray] = {}
+        mixed, linear, a, qkv = self.mixed(codes)
+        rows = mixed.reshape(n * w, 2 * WIDTH)
         # Places are taken class by class, so that each class has its members' part in one run.
-        group = (t // MEMBERS).astype(np.uint8)
+        places = np.flatnonzero(use)
+        t = target.ravel().take(places)
+        m, group = len(t), (t // MEMBERS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        z, t, group = z.take(order, axis=0), t.take(order), group.take(order)
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-        runs = [(c, cuts[c], cuts[c + 1]) for c in np.flatnonzero(np.diff(cuts)).tolist()]
-        d = z @ p["class"]
-        d += p["class0"]
-        loss = _missed(d, group)
-        g["class"], g["class0"], dz = z.T @ d, d.sum(axis=0), d @ p["class"].T
-        inner = np.empty((m, MEMBERS), z.dtype)
-        for c, i, j in runs:
-            np.matmul(z[i:j], p["member"][c], out=inner[i:j])
-            inner[i:j] += p["member0"][c]
-        loss += _missed(inner, t % MEMBERS)
-        g["member"], g["member0"] = np.zeros_like(p["member"]), np.zeros_like(p["member0"])
-        for c, i, j in runs:
-            np.matmul(z[i:j].T, inner[i:j], out=g["member"][c])
-            g["member0"][c] = inner[i:j].sum(axis=0)
-            dz[i:j] += inner[i:j] @ p["member"][c].T
-        dz *= z > 0
-        back = np.empty_like(dz)
-        back[order] = dz
-        g["hidden"], g["hidden0"] = flat.T @ back, back.sum(axis=0)
-        dmixed = np.zeros((n * w, 2 * WIDTH), z.dtype)
-        dmixed[use.ravel()] = back @ p["hidden"].T
-        dmixed = dmixed.reshape(n, w, 2 * WIDTH)
-        dx, dout = dmixed[..., :WIDTH], dmixed[..., WIDTH:]
-        q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        ds = np.matmul(dout, v.transpose(0, 2, 1))
-        ds -= np.einsum("nij,nij->ni", a, ds)[..., None]
-        ds *= a
-        ds *= np.float32(1 / math.sqrt(WIDTH))
-        dqkv = np.empty_like(qkv)
-        np.matmul(ds, k, out=dqkv[..., :WIDTH])
-        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
-        np.matmul(a.transpose(0, 2, 1), dout, out=dqkv[..., 2 * WIDTH :])
-        dqkv = dqkv.reshape(n * w, 3 * WIDTH)
-        g["qkv"] = x.reshape(n * w, WIDTH).T @ dqkv
-        dx = dx + (dqkv @ p["qkv"].T).reshape(n, w, WIDTH)
-        at = codes.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        places, t, group = places.take(order), t.take(order), group.take(order)
+        last, last0 = self.last()
+        dlast, dlast0 = np.zeros_like(last), np.zeros_like(last0)
+        g = {k: np.zeros_like(p[k]) for k in ("qkv", "hidden", "hidden0", "place")}
+        ones = np.ones(max(m, n * w), mixed.dtype)
+        dz = np.zeros((m + 1, HIDDEN), mixed.dtype)  # a row more, for places that are not used
+        loss = 0.0
+        for i, j, runs in _parts(group):
+            flat, d, back = rows.take(places[i:j], axis=0), np.empty((j - i, CLASSES + MEMBERS), mixed.dtype), dz[i:j]
+            z = self.hidden(flat)
+            for c, x, y in runs:
+                some = np.matmul(z[x:y], last[c], out=d[x:y])
+                some += last0[c]
+            loss += _missed(d, *_places(group[i:j], t[i:j]))
+            for c, x, y in runs:
+                np.matmul(z[x:y].T, d[x:y], out=dlast[c])
+                np.matmul(ones[: y - x], d[x:y], out=dlast0[c])
+                np.matmul(d[x:y], last[c].T, out=back[x:y])
+            back *= z > 0
+            g["hidden"] += flat.T @ back
+        g["hidden0"] = ones[:m] @ dz[:m]
+        g["class"], g["class0"] = dlast[..., :CLASSES].sum(axis=0), dlast0[:, :CLASSES].sum(axis=0)
+        g["member"], g["member0"] = dlast[..., CLASSES:], dlast0[:, CLASSES:]
+        where = np.full(n * w, m)
+        where[places] = np.arange(m)
+        dx = np.empty((n, w, WIDTH), mixed.dtype)
+        for at in range(0, n, TOGETHER):
+            part, e, many = mixed[at : at + TOGETHER], a[at : at + TOGETHER], linear[at : at + TOGETHER]
+            dpart = (dz.take(where[at * w : (at + TOGETHER) * w], axis=0) @ p["hidden"].T).reshape(part.shape)
+            dout = dpart[..., WIDTH:]
+            ds = np.matmul(dout, many[..., 2 * WIDTH :].transpose(0, 2, 1))
+            ds -= np.einsum("nij,nij->ni", dout, part[..., WIDTH:])[..., None]
+            ds *= e
+            back = np.empty_like(many)
+            np.matmul(ds, many[..., WIDTH : 2 * WIDTH], out=back[..., :WIDTH])
+            np.matmul(ds.transpose(0, 2, 1), many[..., :WIDTH], out=back[..., WIDTH : 2 * WIDTH])
+            np.matmul(e.transpose(0, 2, 1), dout, out=back[..., 2 * WIDTH :])
+            back = back.reshape(-1, 3 * WIDTH)
+            g["qkv"] += part.reshape(-1, 2 * WIDTH)[:, :WIDTH].T @ back
+            np.add(dpart[..., :WIDTH], (back @ qkv.T).reshape(-1, w, WIDTH), out=dx[at : at + TOGETHER])
+        g["qkv"][:, :WIDTH] *= np.float32(1 / math.sqrt(WIDTH))
+        at = np.arange(SYMBOLS * WIDTH).reshape(SYMBOLS, WIDTH).take(codes.ravel(), axis=0)
         g["symbol"] = np.bincount(at.ravel(), weights=dx.ravel(), minlength=SYMBOLS * WIDTH).reshape(SYMBOLS, WIDTH)
-        g["place"] = np.zeros_like(p["place"])
         g["place"][:w] = dx.sum(axis=0)
         return float(loss) / max(m, 1), {k: v / np.float32(max(m, 1)) for k, v in g.items()}
 
@@ -221,58 +238,48 @@ class Tables:
     def __init__(self, model: Attention):
         p = model.p
         self.model = model
-        parts = {"q": p["qkv"][:, :WIDTH] * np.float32(1 / math.sqrt(WIDTH)), "k": p["qkv"][:, WIDTH : 2 * WIDTH], "v": p["qkv"][:, 2 * WIDTH :] @ p["hidden"][WIDTH:], "x": p["hidden"][:WIDTH]}
+        q, k, v = p["qkv"][:, :WIDTH] * np.float32(1 / math.sqrt(WIDTH)), p["qkv"][:, WIDTH : 2 * WIDTH], p["qkv"][:, 2 * WIDTH :] @ p["hidden"][WIDTH:]
+        # What a place asks and adds itself, and what the others get of it.
+        parts = {"own": np.hstack([q, p["hidden"][:WIDTH]]), "given": np.hstack([k, v])}
         self.symbol = {n: np.ascontiguousarray(p["symbol"] @ m) for n, m in parts.items()}
         self.place = {n: np.ascontiguousarray(p["place"] @ m) for n, m in parts.items()}
-        self.place["x"] += p["hidden0"]
-        far = {n: np.linalg.norm(self.symbol[n], axis=1).max() + np.linalg.norm(self.place[n], axis=1).max() for n in "qk"}
-        self.mild = far["q"] * far["k"] < _TOP  # then no exp can overflow
+        self.place["own"][:, WIDTH:] += p["hidden0"]
         self.mask = np.tri(WINDOW, dtype=np.float32)
-        self.ones = np.ones(max(WINDOW, CLASSES, MEMBERS), np.float32)
+        self.ones = np.ones(WINDOW, np.float32)
+        self.last, self.last0 = model.last()
         self.plain = PLAIN * model.share
 
     def hidden(self, codes: np.ndarray, lead: int) -> np.ndarray:
         """The hidden layer at the places of windows from lead on: (windows, places, HIDDEN)."""
         w = codes.shape[1]
-        late = codes[:, lead:] if lead else codes
-
-        def at(part: str, of: np.ndarray, first: int) -> np.ndarray:
-            out = self.symbol[part].take(of, axis=0)
-            out += self.place[part][first:w]
-            return out
-
-        e = np.matmul(at("q", late, lead), at("k", codes, 0).transpose(0, 2, 1))
-        if not self.mild:
-            np.minimum(e, _TOP, out=e)
-        np.exp(e, out=e)
+        own, given = self.symbol["own"].take(codes[:, lead:], axis=0), self.symbol["given"].take(codes, axis=0)
+        own += self.place["own"][lead:w]
+        given += self.place["given"][:w]
+        e = np.matmul(own[..., :WIDTH], given[..., :WIDTH].transpose(0, 2, 1))
+        _exp(e)
         e *= self.mask[lead:w, :w]
-        z = np.matmul(e, at("v", codes, 0))
-        z *= (1 / (e @ self.ones[:w]))[:, :, None]
-        z += at("x", late, lead)
-        return np.maximum(z, 0, out=z)
+        e *= (1 / (e @ self.ones[:w]))[..., None]
+        z = np.matmul(e, given[..., WIDTH:])
+        z += own[..., WIDTH:]
+        return np.maximum(z, np.zeros_like(z), out=z)
 
     def log_share(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The natural logarithm of the probability of each target (int32), given the hidden layer at the place before it."""
-        p, n = self.model.p, len(target)
         group = (target // np.int32(MEMBERS)).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        z, target, group = z.take(order, axis=0), target.take(order), group.take(order)
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-        logits = z @ p["class"]
-        logits += p["class0"]
-        inner = np.empty((n, MEMBERS), np.float32)
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[c], cuts[c + 1]
-            np.matmul(z[a:b], p["member"][c], out=inner[a:b])
-            inner[a:b] += p["member0"][c]
-        place = np.arange(n, dtype=np.int64)
-        at = place * CLASSES + group, place * MEMBERS + target % np.int32(MEMBERS)
-        for x in (logits, inner):
-            np.exp(np.minimum(x, _TOP, out=x), out=x)
-        said = logits.ravel().take(at[0]).astype(float) * inner.ravel().take(at[1])
-        share = said / ((logits @ self.ones[:CLASSES]).astype(float) * (inner @ self.ones[:MEMBERS]))
-        out = np.empty(n)
-        out[order] = np.log((1 - PLAIN) * share + self.plain.take(target))
+        sorted_target, group, share = target.take(order), group.take(order), np.empty(len(target))
+        for i, j, runs in _parts(group):
+            some, d = z.take(order[i:j], axis=0), np.empty((j - i, CLASSES + MEMBERS), np.float32)
+            for c, x, y in runs:
+                part = np.matmul(some[x:y], self.last[c], out=d[x:y])
+                part += self.last0[c]
+            _exp(d)
+            sums = (d @ _halves(d.dtype)).astype(float)
+            one, two = _places(group[i:j], sorted_target[i:j])
+            flat = d.reshape(-1)
+            share[i:j] = flat.take(one).astype(float) * flat.take(two) / (sums[:, 0] * sums[:, 1])
+        out = np.empty(len(target))
+        out[order] = np.log((1 - PLAIN) * share + self.plain.take(sorted_target))
         return out
 
     def score(self, stream: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -310,12 +317,45 @@ class Tables:
         return np.bincount(owner, weights=total, minlength=len(length)) / math.log(10)
 
 
-def _missed(logits: np.ndarray, target: np.ndarray) -> float:
-    """The loss of the targets; the logits become its gradient."""
-    np.exp(np.minimum(logits, _TOP, out=logits), out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    at = np.arange(len(target)) * logits.shape[1] + target
+def _exp(x: np.ndarray) -> None:
+    """exp in place, of _TOP where it would be too much. The largest is asked for first, as a minimum takes longer."""
+    if x.size and x.max() > _TOP:
+        np.minimum(x, _TOP, out=x)
+    np.exp(x, out=x)
+
+
+@functools.cache
+def _halves(kind: np.dtype) -> np.ndarray:
+    """Times this, a row of classes and members becomes the sums of both; times its transpose, sums become such a row again."""
+    return np.kron(np.eye(2), np.ones((MEMBERS, 1))).astype(kind)
+
+
+def _parts(group: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """Sorted classes in parts that stay in a core's cache, if no class alone is larger: from, to, and each class with its run in the part."""
+    cuts, first = np.searchsorted(group, np.arange(CLASSES + 1)).tolist(), 0
+    while first < CLASSES:
+        end = first + 1
+        while end < CLASSES and cuts[end + 1] - cuts[first] <= TOGETHER * WINDOW:
+            end += 1
+        i, j = cuts[first], cuts[end]
+        if i < j:
+            yield i, j, [(c, cuts[c] - i, cuts[c + 1] - i) for c in range(first, end) if cuts[c] < cuts[c + 1]]
+        first = end
+
+
+def _places(group: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the targets' classes and members are among rows of classes and members side by side."""
+    begin = np.arange(len(target)) * (CLASSES + MEMBERS)
+    return begin + group, begin + (CLASSES + target % np.int32(MEMBERS))
+
+
+def _missed(logits: np.ndarray, one: np.ndarray, two: np.ndarray) -> float:
+    """The loss of the targets' classes and members at these places; the logits become its gradient."""
+    _exp(logits)
+    halves = _halves(logits.dtype)
+    logits *= (1 / (logits @ halves)) @ halves.T
     flat = logits.reshape(-1)
-    loss = -np.log(np.maximum(flat[at], 1e-30)).sum()
-    flat[at] -= 1
+    loss = -np.log(np.maximum(flat[one] * flat[two], 1e-30)).sum()
+    flat[one] -= 1
+    flat[two] -= 1
     return float(loss)

@@ -109,10 +109,10 @@ class Words:
             index, owner = index[keep], owner[keep]
         self.index, self.owner, self.texts = index, owner, len(texts)
 
-    def each(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, word, how often) of the different words of each text, text by text."""
-        n = max(1, len(self.known))
-        pair, times = np.unique(self.owner * np.int64(n) + self.index, return_counts=True)
+    def each(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word, how often) of those different words of each text that are asked for (a mask), text by text."""
+        n, asked = max(1, len(self.known)), words[self.index]
+        pair, times = np.unique(self.owner[asked] * np.int64(n) + self.index[asked], return_counts=True)
         return pair // n, pair % n, times
 
 
@@ -397,14 +397,14 @@ def score(df: DataFrame, learn: Column, *, key: str, text: str, path: str, patte
             n = len(batch)
             place = m.places(w.known)
             c = m.counts[place]
-            text_of, word, times = w.each()
-            told = c[word] >= 0
-            add = lambda weights: np.bincount(text_of[told], weights=weights, minlength=n)  # noqa: B023, E731
-            base = add(times[told] * np.log10(c[word[told]] + 1)) + math.log10(m.ends + 1)
-            known = add(times[told] * (c[word[told]] > 0)).astype(np.int64) + (m.ends > 0)
+            told = c >= 0
+            add = lambda weights: np.bincount(w.owner, weights=weights[w.index], minlength=n)  # noqa: B023, E731
+            base = add(np.where(told, np.log10(np.maximum(c, 0) + 1), 0.0)) + math.log10(m.ends + 1)
+            known = add((c > 0).astype(float)).astype(np.int64) + (m.ends > 0)
             n_tokens = np.bincount(w.owner, minlength=n) + 1
-            left = np.append(0, np.cumsum(np.bincount(text_of[~told], minlength=n)))
-            rest = pa.StructArray.from_arrays([w.known.take(pa.array(word[~told])), pa.array(times[~told].astype(np.int64))], names=["word", "n"])
+            text_of, word, times = w.each(~told)
+            left = np.append(0, np.cumsum(np.bincount(text_of, minlength=n)))
+            rest = pa.StructArray.from_arrays([w.known.take(pa.array(word)), pa.array(times.astype(np.int64))], names=["word", "n"])
             lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), rest)
             symbols, inside = m.texts(w, place)
             made = [pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(inside), symbols, lists]

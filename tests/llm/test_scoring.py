@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -34,6 +35,38 @@ def test_gradient_is_that_of_small_differences():
             assert abs((out[0] - out[1]) / 2e-5 - g[k][at]) < 1e-7
 
 
+def test_gradient_in_parts_is_the_sum_of_the_windows():
+    rng = np.random.default_rng(5)
+    m = attention.Attention(rng.integers(1, 50, attention.SYMBOLS))
+    m.p = {k: v.astype(float) for k, v in m.p.items()}
+    n, w = 2 * attention.TOGETHER + 9, attention.WINDOW
+    codes, use = rng.integers(0, attention.SYMBOLS, (n, w)), rng.random((n, w)) < 0.8
+    target = np.where(rng.random((n, w)) < 0.7, rng.integers(0, attention.MEMBERS, (n, w)), rng.integers(0, attention.SYMBOLS, (n, w)))  # a class larger than a part
+    loss, g = m.gradient(codes, target, use)
+    each = [(m.gradient(codes[i : i + 1], target[i : i + 1], use[i : i + 1]), use[i].sum()) for i in range(n)]
+    assert math.isclose(loss, sum(one[0] * k for one, k in each) / use.sum(), rel_tol=1e-9)
+    for name in m.p:
+        assert np.allclose(g[name], sum(one[1][name] * k for one, k in each) / use.sum(), atol=1e-12)
+
+
+def test_gradient_keeps_little_of_many_windows():
+    """What doesn't stay in a core's cache costs time: of all places at once there are ten arrays of vectors at most."""
+    rng = np.random.default_rng(6)
+    m, n, w = attention.Attention(rng.integers(1, 50, attention.SYMBOLS)), 2048, attention.WINDOW
+    codes, target = rng.integers(0, attention.SYMBOLS, (2, n, w)).astype(np.int32)
+    tracemalloc.start()
+    m.gradient(codes, target, np.ones((n, w), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * n * w * attention.HIDDEN * 4
+
+
+def test_exp_that_is_too_much():
+    x = np.array([[-1e4, 0, 79], [80, 90, 1e9]], np.float32)
+    attention._exp(x)
+    assert np.isfinite(x).all() and x[0, 0] == 0 and x[0, 1] == 1 and x[1, 0] == x[1, 1] == x[1, 2] > x[0, 2]
+
+
 def plain_score(m, seq):
     """A window after another; each symbol by the window that scores it."""
     p, out, a, n = m.p, 0.0, 0, len(seq) - 1
